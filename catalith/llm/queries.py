@@ -4,16 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catalith.llm import fingerprints, language_id, token_output, topk, toxicity
 from catalith.llm.common import table
 from catalith.llm.near_dedup import near_duplicates
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of every text, its edited text, and their likeness."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth vector."""
+    return topk.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their five-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_minhash_near_dedup": op6_minhash_near_dedup}
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's token ids, written as coded blocks and read back."""
+    return token_output.round_trip(table(spark, sf_dir, "documents"), token_output.default_tokenizer())
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the documents that aren't held out."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text, learned from the labels that aren't held out."""
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_exact_top_k": op4_exact_top_k,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_token_output": op8_token_output,
+    "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
+}
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
 
 OP6_SQL = r"""
 WITH RECURSIVE w AS (
@@ -38,4 +82,4 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component, d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = d.doc_id
 """
 
-ORACLES = {"op6_minhash_near_dedup": OP6_SQL}
+ORACLES = {"op4_exact_top_k": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL}
