@@ -47,6 +47,23 @@ class Filters:
     slots: np.ndarray
     false_positive: np.ndarray
 
+    def classify(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        texts = texts.cast(pa.string()).fill_null("")
+        docs, grams = _grams(texts)
+        mask = np.full(len(grams), _U(2**64 - 1))
+        for place in _places(grams):
+            mask &= self.slots[place]
+        total = np.bincount(docs, minlength=len(texts))
+        corrected = np.zeros((len(texts), max(1, len(self.languages))))
+        for bit, wrong in enumerate(self.false_positive):
+            hits = np.bincount(docs[(mask >> _U(bit)) & _U(1) == 1], minlength=len(texts))
+            corrected[:, bit] = np.maximum(0, (hits - total * wrong) / (1 - wrong))
+        best, known = corrected.argmax(axis=1), corrected.sum(axis=1)
+        score = np.divide(corrected.max(axis=1), known, out=np.zeros(len(known)), where=known > 0)
+        letters = np.array(pc.match_substring_regex(texts, r"\p{L}").to_pylist(), bool) & bool(self.languages)
+        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, score, 0.0)
+
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Text number and value of every n-gram."""
@@ -122,29 +139,26 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     held = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** SLOT_BITS slots, whatever the size of the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         for batch in slices(batches, "text"):
-            texts = batch.column("text")
-            docs, grams = _grams(texts)
-            mask = np.full(len(grams), _U(2**64 - 1))
-            for place in _places(grams):
-                mask &= model.slots[place]
-            total = np.bincount(docs, minlength=batch.num_rows)
-            corrected = np.zeros((batch.num_rows, max(1, len(model.languages))))
-            for bit, wrong in enumerate(model.false_positive):
-                hits = np.bincount(docs[(mask >> _U(bit)) & _U(1) == 1], minlength=batch.num_rows)
-                corrected[:, bit] = np.maximum(0, (hits - total * wrong) / (1 - wrong))
-            best, known = corrected.argmax(axis=1), corrected.sum(axis=1)
-            score = np.divide(corrected.max(axis=1), known, out=np.zeros(len(known)), where=known > 0)
-            letters = np.asarray(pc.match_substring_regex(texts.cast(pa.string()).fill_null(""), r"\p{L}"))
-            letters &= bool(model.languages)
-            names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))], ["doc_id", "lang_pred", "score"])
+            names, score = held.value.classify(batch.column("text"))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that have a language: not `und`, and a score above zero."""
+    held = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            names, score = held.value.classify(batch.column(text_col))
+            yield batch.filter(pa.array((score > 0) & (np.array(names) != UNKNOWN)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Column: the row's crc32 of the id as text leaves 1 modulo 3; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))

@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.llm import fingerprints, language_id, token_output, topk, toxicity
+from catalith.llm import chat, fingerprints, html_text, language_id, packing, token_output, topk, toxicity
 from catalith.llm.common import table
 from catalith.llm.near_dedup import near_duplicates
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations that begin no longer one, rendered."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in bins of several sizes."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed-syncmer fingerprints of every text, its edited text, and their likeness."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -24,6 +34,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's token ids, written as coded blocks and read back."""
     return token_output.round_trip(table(spark, sf_dir, "documents"), token_output.default_tokenizer())
@@ -40,14 +55,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_html_extraction": op5_html_extraction,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_token_output": op8_token_output,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
 
+OP1_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, sha256(coalesce(text, '')) AS digest,
+    concat(role IS NULL, text IS NULL) AS nulls, '<|' || lower(coalesce(role, '')) || '|>' || chr(10) || coalesce(text, '') AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list(role || chr(1) || digest || nulls ORDER BY turn NULLS FIRST, role, digest, nulls) AS k,
+    string_agg(said, chr(10) ORDER BY turn NULLS FIRST, role, digest, nulls) AS rendered
+  FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT k[1:n] AS k FROM (SELECT k, unnest(range(1, len(k))) AS n FROM c))
+SELECT min(conv_id) AS conv_id, len(k)::BIGINT AS n_turns, min(rendered) AS rendered
+FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = c.k) GROUP BY k
+"""
+
 OP4_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
@@ -82,4 +114,4 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component, d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = d.doc_id
 """
 
-ORACLES = {"op4_exact_top_k": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL}
+ORACLES = {"op1_chat_formatting": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL}

@@ -291,6 +291,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(read, "doc_id long, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score below 0.5."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        reader = Reader(model.landmarks) if model.landmarks else None
+        for batch in slices(batches, text_col):
+            if reader:
+                batch = batch.filter(pa.array(model.scores(reader.features(batch.column(text_col).to_pylist())) < 0.5))
+            yield batch
+
+    return docs.mapInArrow(read, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Column: the crc32 of the id as text is divisible by 5; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
