@@ -7,13 +7,13 @@ Two texts agree in a coordinate with the probability of their Jaccard similarity
 concentrated as for independent coordinates. The time is that of the set plus T log T, not their product.
 
 Bands of ROWS coordinates give candidate buckets. Texts with the same shingle set are one class before banding. Inside
-a bucket no all-pairs list is made: first every member is held against the bucket's smallest member (a star); the links
+a bucket no all-pairs list is made: first every member is held against a few heads of the bucket (stars); the links
 that stand are joined into components; then only members of one bucket that are in *different* components are paired,
-and only if their sizes and one-bit sketches allow the threshold. Every pair that counts as a link is verified on the
+once for all buckets that they share, and only if their sizes and four-bit sketches allow the threshold. Every pair that counts as a link is verified on the
 full shingle sets. Links inside a component are not needed, as they cannot change it; no link between components is
 skipped.
 
-Chance to miss a link of similarity exactly 0.85 in all bands: (1 - 0.85**8)**48 = 2.4e-7; the one-bit sketches are
+Chance to miss a link of similarity exactly 0.85 in all bands: (1 - 0.85**8)**48 = 2.4e-7; the four-bit sketches are
 compared five standard deviations below their mean, which adds 3e-7.
 """
 
@@ -31,7 +31,11 @@ from catalith.llm.common import SLICE_BYTES, flat_text, mix, shared_dir, slices,
 SHINGLE_WORDS = 5
 BANDS, ROWS = 48, 8
 BINS = BANDS * ROWS
-SIGN_WORDS = BINS // 64
+#: Bits of a coordinate that the small sketch keeps, and its 64-bit words.
+SIGN_BITS = 4
+SIGN_WORDS = BINS * SIGN_BITS // 64
+#: Heads of a bucket besides its smallest member.
+HEADS = 2
 #: Members of a bucket that stand in one block; larger buckets are paired block by block.
 BLOCK = 1024
 
@@ -156,8 +160,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(total)
         out = sketches(docs, hashes, n)
         bands = mix((out * _COLUMN).reshape(n, BANDS, ROWS).sum(axis=2, dtype=_U) + _SEED[:BANDS])
-        bits = (mix(out) >> _U(63)).astype(np.uint8)
-        sign = np.packbits(bits, axis=1).view(_U)
+        bits = (mix(out) >> _U(64 - SIGN_BITS)).astype(np.uint8)
+        planes = [np.packbits(bits >> k & 1, axis=1).view(_U) for k in range(SIGN_BITS)]
+        sign = np.stack(planes, axis=2).reshape(n, SIGN_WORDS)
         yield pa.record_batch([batch.column("doc_id"), pa.array(count), _signed(keys[0]), _signed(keys[1]), _lists(bands), _lists(sign)], ["doc_id", "n_shingles", "k1", "k2", "bands", "sign"])
 
 
@@ -190,13 +195,21 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _signed_columns(prefix: str) -> list:
+    """n_shingles and the sketch's words as columns prefix_n, prefix_0 ..; as plain numbers the join's code stays small enough to be compiled."""
+    return [F.coalesce("n_shingles", F.lit(0)).alias(f"{prefix}_n"), *[F.coalesce(F.col("sign")[i], F.lit(0)).alias(f"{prefix}_{i}") for i in range(SIGN_WORDS)]]
+
+
 def _agree(threshold: int) -> str:
-    """SQL: sizes and one-bit sketches of the two rows l and r allow a similarity of threshold %."""
+    """SQL: sizes and four-bit sketches of the two sides l and r allow a similarity of threshold %.
+
+    Word SIGN_BITS * i + k of a sketch holds bit k of 64 coordinates, so a coordinate differs if any of SIGN_BITS bits does.
+    """
     j = threshold / 100
-    mean = (1 + j) / 2
+    mean = j + (1 - j) / 2**SIGN_BITS
     least = BINS * mean - 5 * (BINS * mean * (1 - mean)) ** 0.5
-    differ = " + ".join(f"bit_count(l.sign[{i}] ^ r.sign[{i}])" for i in range(SIGN_WORDS))
-    return f"100 * least(l.n_shingles, r.n_shingles) >= {threshold} * greatest(l.n_shingles, r.n_shingles) and {differ} <= {int(BINS - least)}"
+    differ = " + ".join("bit_count(" + " | ".join(f"(l_{i} ^ r_{i})" for i in range(w, w + SIGN_BITS)) + ")" for w in range(0, SIGN_WORDS, SIGN_BITS))
+    return f"100 * least(l_n, r_n) >= {threshold} * greatest(l_n, r_n) and {differ} <= {int(BINS - least)}"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -222,21 +235,22 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     linkable = sk.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(linkable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes")
 
-    heads = classes.select(F.col("class_id").alias("doc_id"), "k1", "k2")
-    reps = linkable.join(heads, ["doc_id", "k1", "k2"], "left_semi")
+    firsts = classes.select(F.col("class_id").alias("doc_id"), "k1", "k2")
+    reps = linkable.join(firsts, ["doc_id", "k1", "k2"], "left_semi")
     rows = stored(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")), "bands")
-    stars = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count("*").alias("size")).filter("head <> last")
-    members = stored(rows.join(stars.select("bucket", "head", "size"), "bucket"), "members")
+    heads = [F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(HEADS)]
+    stars = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.array(*heads).alias("heads"), F.count("*").alias("size")).filter("head <> last")
+    members = stored(rows.join(stars.select("bucket", F.array_union(F.array("head"), "heads").alias("heads"), "size"), "bucket"), "members")
 
     ids = members.select("id").distinct()
-    nodes = stored(reps.select("doc_id", "k1", "k2", "n_shingles", "sign").withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "nodes")
+    nodes = stored(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sign", "bands").join(ids, "id", "left_semi"), "nodes")
     texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text", F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"))
     every = texts.mapInArrow(_sets, "doc_id long, k1 long, k2 long, words array<long>")
     sets = stored(every.select(F.col("doc_id").alias("id"), "words"), "sets")
 
     near = _agree(threshold)
-    star = members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(nodes.select(F.col("id").alias("a"), F.struct("n_shingles", "sign").alias("l")), "a").join(nodes.select(F.col("id").alias("b"), F.struct("n_shingles", "sign").alias("r")), "b").filter(near).select("a", "b").distinct()
+    star = members.select("id", F.explode("heads").alias("head")).filter("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
+    star = star.join(nodes.select(F.col("id").alias("a"), *_signed_columns("l")), "a").join(nodes.select(F.col("id").alias("b"), *_signed_columns("r")), "b").filter(near).select("a", "b").distinct()
     first = stored(_verified(star, sets, threshold).distinct(), "links")
     stage = components(first)
 
@@ -246,9 +260,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rest = held.join(still, "bucket", "left_semi").join(nodes, "id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = stored(rest.select("bucket", "id", "component", "n_shingles", "sign", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")), "rest")
-    on = F.expr(f"l.bucket = r.bucket and l.low = r.low and l.high = r.high and l.id < r.id and l.component <> r.component and {near}")
-    across = rest.alias("l").join(rest.alias("r"), on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.component").alias("u"), F.col("r.component").alias("v")).distinct()
+    earlier = F.slice("bands", 1, F.array_position("bands", F.col("bucket")).cast("int") - 1)
+    rest = stored(rest.select("bucket", "id", "component", "n_shingles", "sign", earlier.alias("earlier"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")), "rest")
+    side = lambda x: rest.select("bucket", "low", "high", F.col("id").alias(f"{x}_id"), F.col("component").alias(f"{x}_component"), F.col("earlier").alias(f"{x}_earlier"), *_signed_columns(x))
+    left, right = side("l"), side("r")
+    on = [left[c] == right[c] for c in ("bucket", "low", "high")] + [F.expr(f"l_id < r_id and l_component <> r_component and {near} and not arrays_overlap(l_earlier, r_earlier)")]
+    across = left.join(right, on).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.col("l_component").alias("u"), F.col("r_component").alias("v")).distinct()
     across = stored(across, "across")
     second = across.join(_verified(across.select("a", "b"), sets, threshold).distinct(), ["a", "b"], "left_semi")
 
