@@ -68,3 +68,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+_STEP = 0x9E3779B97F4A7C15
+_BYTE = np.random.Generator(np.random.PCG64(20240611)).integers(0, 2**64, 256, dtype=np.uint64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _STEP modulo 2**64, and of its inverse."""
+    if len(_powers[0]) < n:
+        for k, step in enumerate((_STEP, pow(_STEP, -1, 2**64))):
+            factors = np.full(max(n, SLICE_BYTES + 65_536), step, np.uint64)
+            factors[0] = 1
+            _powers[k] = np.multiply.accumulate(factors)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each pair of places, from one running sum."""
+    up, down = _power(len(data))
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[data] * up, out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import SLICE_BYTES, flat_text, mix, shared_dir, slices, stored
+from catalith.llm.common import flat_text, mix, shared_dir, slices, span_hashes, stored
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 48, 8
@@ -41,30 +41,14 @@ BLOCK = 1024
 
 _U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240611))
-_BYTE = _RANDOM.integers(0, 2**64, 256, dtype=_U)
-_STEP = _U(0x9E3779B97F4A7C15 | 1)
 _SHINGLE = [_U(int(x) | 1) for x in _RANDOM.integers(0, 2**63, SHINGLE_WORDS, dtype=_U)]
 _SEED = _RANDOM.integers(0, 2**64, 2 * BINS, dtype=_U)
 _COLUMN = _RANDOM.integers(0, 2**63, BINS, dtype=_U) | _U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = _BYTE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _NONE = _U(2**64 - 1)
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of _STEP modulo 2**64, and of its inverse."""
-    if len(_powers[0]) < n:
-        inverse = _U(pow(int(_STEP), -1, 2**64))
-        for k, step in enumerate((_STEP, inverse)):
-            factors = np.full(max(n, SLICE_BYTES + 65_536), step, _U)
-            factors[0] = 1
-            _powers[k] = np.multiply.accumulate(factors)
-    return _powers[0][:n], _powers[1][:n]
-
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ordered by text and then hash: their text numbers and the hashes."""
@@ -83,11 +67,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     after[-1], after[:-1] = False, word[1:]
     after[first[1:] - 1] = False
     end = np.flatnonzero(word & ~after) + 1
-    up, down = _power(size)
-    sums = np.empty(size + 1, _U)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * up, out=sums[1:])
-    words = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
+    words = span_hashes(_LOWER[data], start, end)
     doc = np.searchsorted(offsets, start, side="right") - 1
     count = np.bincount(doc, minlength=len(offsets) - 1)
     place = np.cumsum(count) - count

@@ -17,10 +17,10 @@ then the u32 words. All numbers are little-endian.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.common import shared_dir, slices, stored
+from catalith.llm.common import flat_text, shared_dir, slices, span_hashes, stored
 
 #: The id that ends a document.
 END = 0
-BITS, LANES, CHECKPOINT, BLOCK, SHARD = 20, 64, 16_384, 524_288, 8 << 20
+BITS, LANES, CHECKPOINT, BLOCK, SHARD = 20, 64, 16_384, 524_288, 4 << 20
 #: Pieces of text that a task remembers.
-MEMORY = 600_000
+MEMORY = 1_500_000
 VERSION = 1
 _U = np.uint64
 _LOW = _U(1 << 31)
 _HEAD, _BODY = struct.Struct("<4sBBI"), struct.Struct("<4sBBIIIIII")
-_BLANK_RUN = re.compile(r"\s \s")
 
 
 def _normalised(counts: np.ndarray) -> np.ndarray:
@@ -147,42 +146,110 @@ def unpack_block(head: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.n
     return doc_ids, lengths, ids
 
 
+# fixed values: white space as UTF-8. Bytes that may end or begin a white-space character aren't sure to be visible.
+_SURE_END, _SURE_START = np.ones(256, bool), np.ones(256, bool)
+_SURE_END[[*range(9, 14), *range(28, 33), *range(0x80, 0x8B), 0x8E, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
+_SURE_START[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
 class Encoder:
-    """Token ids of texts by a byte-level BPE of the tokenizers library, which cuts before every blank that follows or
-    precedes a visible character; what stands between such blanks is encoded once and remembered."""
+    """Token ids of texts by a byte-level BPE of the tokenizers library.
+
+    Its pattern cuts before every blank that follows or precedes a visible character, so what stands between such blanks
+    can be encoded alone: once, and remembered by a 64-bit hash. New pieces are encoded many at a time, one after the
+    other in one string, and told apart by the bytes of their tokens.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.uint16 if max(vocab.values()) < 65_536 else np.uint32
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes[i] = len(token)  # in a byte-level vocabulary a character stands for a byte
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.ends = np.empty(0, np.uint16 if self.tokenizer.get_vocab_size() <= 65_536 else np.uint32), np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MEMORY:
+        """Piece 0 is the end of a document."""
+        self.keys, self.slots = np.empty(0, _U), np.empty(0, np.int64)
+        self.ids, self.ends = np.full(1, END, self.kind), np.array([0, 1])
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Encodes new pieces data[start:end] and gives their numbers."""
+        even = (end - start >= 2) & (data[start] == 32) & _SURE_START[data[np.minimum(start + 1, len(data) - 1)]]
+        numbers = np.zeros(len(start), np.int64)
+        flat, ends, count = [self.ids], [self.ends], len(self.ends) - 1
+        chosen, odd = np.flatnonzero(even), [np.flatnonzero(~even)]
+        for k in range(0, len(chosen), 2000):
+            some = chosen[k : k + 2000]
+            size = end[some] - start[some]
+            stop = np.cumsum(size)
+            joined = data[np.arange(stop[-1]) + np.repeat(start[some] - (stop - size), size)]
+            ids = self._ids([joined.tobytes().decode()])[0]
+            width = np.cumsum(self.bytes[ids])
+            at = np.searchsorted(width, stop)
+            if at[-1] != len(ids) - 1 or (width[at] != stop).any():
+                odd.append(some)
+                continue
+            numbers[some] = np.arange(count, count + len(some))
+            count += len(some)
+            flat.append(ids)
+            ends.append(ends[-1][-1] + at + 1)
+        rest = np.concatenate(odd)
+        for k in range(0, len(rest), 2000):
+            some = rest[k : k + 2000]
+            got = self._ids([data[a:b].tobytes().decode() for a, b in zip(start[some], end[some], strict=True)])
+            numbers[some] = np.arange(count, count + len(some))
+            count += len(some)
+            flat += got
+            ends.append(ends[-1][-1] + np.cumsum([len(g) for g in got]))
+        self.ids, self.ends = np.concatenate(flat), np.concatenate(ends)
+        return numbers
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text with the end id."""
+        if len(self.keys) > MEMORY:
             self.reset()
-        pieces = [[t] if _BLANK_RUN.search(t) else t.split(" ") for t in texts]
-        for p in pieces:
-            p[1:] = [" " + x for x in p[1:]]
-        known = self.known
-        new = list(set().union(*pieces).difference(known)) if pieces else []
-        if new:
-            got = [np.array(e.ids, self.ids.dtype) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, *got])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(g) for g in got])])
-        out = []
-        for p in pieces:
-            at = np.fromiter(map(known.__getitem__, p), np.int64, len(p))
-            first, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-            place = np.cumsum(size) - size
-            index = np.arange(int(size.sum())) + np.repeat(first - place, size)
-            out.append(np.append(self.ids[index], self.ids.dtype.type(END)))
-        return out
+        data, offsets = flat_text(texts)
+        first = offsets[:-1][np.diff(offsets) > 0]
+        blank = np.flatnonzero(data == 32)
+        before = data[np.maximum(blank - 1, 0)]
+        after = data[np.minimum(blank + 1, max(0, len(data) - 1))]
+        closing = np.zeros(len(data) + 1, bool)
+        closing[offsets[1:]] = True
+        after[closing[blank + 1]] = 32
+        begins = np.zeros(len(data), bool)
+        begins[first] = begins[blank[_SURE_END[before] | _SURE_START[after]]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data))[: len(start)]
+        keys, where, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        numbers = np.empty(len(keys), np.int64)
+        numbers[~new] = self.slots[at[~new]]
+        if new.any():
+            numbers[new] = self._learn(data, start[where[new]], end[where[new]])
+            self.keys, self.slots = np.insert(self.keys, at[new], keys[new]), np.insert(self.slots, at[new], numbers[new])
+        last = np.searchsorted(start, offsets[1:])
+        pieces = np.insert(numbers[which], last, 0)
+        size = self.ends[pieces + 1] - self.ends[pieces]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(total[-1]) + np.repeat(self.ends[pieces] - total[:-1], size)]
+        return np.split(ids, total[last + np.arange(1, len(last) + 1)][:-1]) if len(last) else []
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """The worker's own encoder, which remembers pieces from one task to the next."""
+    return Encoder(path)
 
 
 RECORD = "shard long, block long, n_docs long, n_tokens long, head binary, body binary"
@@ -192,13 +259,13 @@ def write_blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Tokenises docs (doc_id, text; null: empty) in ascending doc_id (equal ids by text) and gives the table of records."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, shard = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
         held_ids: list[int] = []
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            count = np.bincount(np.concatenate(held))
+            count = sum(np.bincount(np.concatenate(held[i : i + 512]), minlength=1 << 16) for i in range(0, len(held), 512))
             names = np.flatnonzero(count)
             freq = _normalised(count[names].astype(np.int64))
             position = np.zeros(len(count), np.int64)
@@ -214,7 +281,7 @@ def write_blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
                 first, block = last, block + 1
 
         for batch in slices(batches, "text"):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 held_ids.append(doc_id)
                 held.append(ids)
                 size += len(ids)
