@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.llm import chat, fingerprints, html_text, language_id, packing, token_output, topk, toxicity
+from catalith.llm import chat, fingerprints, html_text, language_id, packing, sentence_pieces, token_output, topk, toxicity
 from catalith.llm.common import table
 from catalith.llm.near_dedup import near_duplicates
 
@@ -39,6 +39,12 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's piece ids by the public model."""
+    pieces = sentence_pieces.load(sentence_pieces.default_model())
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"), pieces)
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's token ids, written as coded blocks and read back."""
     return token_output.round_trip(table(spark, sf_dir, "documents"), token_output.default_tokenizer())
@@ -61,6 +67,7 @@ QUERIES = {
     "op4_exact_top_k": op4_exact_top_k,
     "op5_html_extraction": op5_html_extraction,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_sentence_pieces": op7_sentence_pieces,
     "op8_token_output": op8_token_output,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
