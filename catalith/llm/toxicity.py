@@ -4,39 +4,45 @@ The kernel of two words counts the subsequences of ORDER characters that both ha
 the length it spans in either word, and is normalised to 1 for equal words. A character put into an insult stretches
 some subsequences by one, a gapped one keeps the rest, so such words stay close to the plain form.
 
-Landmarks are the strings that set toxic labelled texts apart: words of the training texts, and word beginnings, by
-signed log-likelihood ratio, none too close to one chosen before. A sentence's feature for a landmark is the greatest
-kernel value of any of its words, a text's the greatest of its sentences (a text is toxic if a sentence is); features go
-through the inverse square root of the landmarks' kernel matrix (the Nystroem map) to a linear SVM with squared hinge
-loss, whose margin a sigmoid fitted on the training margins turns into the score. Characters of a word set apart by
-white space are read as one word too.
+Landmarks are words of the labelled training texts: those that set toxic texts apart, by log-likelihood ratio, and the
+most frequent harmless words that are like them. A word's kernel values go through the inverse square root of the
+landmarks' kernel matrix (the Nystroem map) to a linear SVM with squared hinge loss, trained on the labelled texts'
+words, where a word stands on either side as often as toxic and clean texts have it. A text is read as the bag of its words' margins:
+the three greatest, their sum, and the number of words go to a second linear SVM, trained on the labelled texts, whose
+margin a sigmoid turns into the score. So one word that is only like an insult weighs less than two that are.
+Characters of a word set apart by white space are read as one word too.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import slices
+from catalith.llm.common import slices, stored
 
 ORDER, DECAY = 4, 0.6
-#: Landmarks, their most characters, and the kernel value from which a string is too close to one that was chosen.
-LANDMARKS, LONGEST, CLOSE = 48, 12, 0.6
+#: Toxic and harmless landmarks, their most characters, and the kernel value from which a word is too close to one that was chosen.
+LANDMARKS, HARMLESS, LONGEST, CLOSE = 64, 32, 14, 0.85
+#: Share of a landmark's characters that a word must have in order for the kernel to be worked out; below, it counts as zero.
+COMMON = 0.7
+#: Kernel value from which a word is like a landmark, and how many such words the first machine is trained on.
+LIKE, LIKES = 0.3, 6000
 #: Characters of a word that the kernel reads at a time; longer words are read in windows that overlap by half.
 WIDTH = 24
 #: Labelled texts of either class that the model is fitted on; a bounded sample of labelled rows.
 TRAIN = 3000
 #: Candidates for landmarks that are sent to the driver, the texts they must be in, and words that a task remembers.
-CANDIDATES, LEAST, MEMORY = 2000, 3, 400_000
+CANDIDATES, LEAST, MEMORY = 2000, 2, 800_000
 
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_EDGES, _SIGNS = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[\W_]+")
 
 
 def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
@@ -80,6 +86,7 @@ class Landmarks:
     def __init__(self, strings: list[str]):
         self.strings, self.own = strings, _own(strings)
         self.codes = _codes(strings, LONGEST, -1)
+        self.least = [max(ORDER, -(-len(s) * COMMON // 1)) for s in strings]
         self.letters = np.array(sorted({c for s in strings for c in map(ord, s)}), np.int32)
         self.masks = np.zeros((len(strings), len(self.letters) + 1), np.uint32)
         for k, s in enumerate(strings):
@@ -87,11 +94,14 @@ class Landmarks:
                 self.masks[k, np.searchsorted(self.letters, c)] |= np.uint32(1 << j)
 
     def values(self, words: list[str]) -> np.ndarray:
-        """len(words) x len(strings); words have WIDTH characters at most. Only pairs with a common subsequence of ORDER characters are worked out, as the others' kernel is zero."""
+        """len(words) x len(strings); words have WIDTH characters at most. The kernel is worked out for pairs with a common subsequence of
+        ORDER characters, without which it is zero, and of a share COMMON of the landmark, without which it counts as zero."""
         out = np.zeros((len(words), len(self.strings)))
+        by_length = np.argsort([len(w) for w in words], kind="stable")
         for start in range(0, len(words), 20_000):
-            some = words[start : start + 20_000]
-            codes = _codes(some, max(map(len, some)), 0)
+            chosen = by_length[start : start + 20_000]
+            some = [words[i] for i in chosen]
+            codes = _codes(some, len(some[-1]), 0)
             at = np.searchsorted(self.letters, codes)
             at[self.letters[np.minimum(at, len(self.letters) - 1)] != codes] = len(self.letters)
             columns = np.ascontiguousarray(at.T)
@@ -101,7 +111,7 @@ class Landmarks:
                 for letters in columns:
                     hit = self.masks[k][letters] & free
                     free = (free + hit) | (free - hit)
-                found = np.flatnonzero(np.bitwise_count(~free) >= ORDER)
+                found = np.flatnonzero(np.bitwise_count(~free) >= self.least[k])
                 rows.append(found)
                 marks.append(np.full(len(found), k))
             rows, marks = np.concatenate(rows), np.concatenate(marks)
@@ -110,32 +120,35 @@ class Landmarks:
             norm[near] = _own([some[i] for i in near])
             for k in range(0, len(rows), 4000):
                 r, m = rows[k : k + 4000], marks[k : k + 4000]
-                out[start + r, m] = kernel(codes[r], self.codes[m]) / (norm[r] * self.own[m])
+                out[chosen[r], m] = kernel(codes[r], self.codes[m]) / (norm[r] * self.own[m])
         return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """weights and bias act on the Nystroem features; slope and shift make the score of a margin."""
+    """beta and lift act on a word's Nystroem features; weights, bias, slope and shift on a text's bag of margins."""
 
     landmarks: list[str]
     nystroem: np.ndarray
+    beta: np.ndarray
+    lift: float
     weights: np.ndarray
     bias: float
     slope: float
     shift: float
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        margin = features @ self.nystroem @ self.weights + self.bias
+    def scores(self, bags: np.ndarray) -> np.ndarray:
+        margin = bags @ self.weights + self.bias
         return 1 / (1 + np.exp(np.clip(-(self.slope * margin + self.shift), -60, 60)))
 
 
 def _forms(token: str) -> list[str]:
-    """What the kernel reads of a raw token: its middle part without outer signs, in windows if it is long."""
+    """What the kernel reads of a raw token: its middle part without outer signs, also without inner ones, in windows if it is long."""
     w = _EDGES.sub("", token)
-    if len(w) < ORDER:
-        return []
-    return [w] if len(w) <= WIDTH else [w[i : i + WIDTH] for i in range(0, len(w) - WIDTH // 2, WIDTH // 2)]
+    found = [w] if w.isalnum() else [w, _SIGNS.sub("", w)]
+    found = [x for x in found if len(x) >= ORDER]
+    return [y for x in found for y in ([x] if len(x) <= WIDTH else [x[i : i + WIDTH] for i in range(0, len(x) - WIDTH // 2, WIDTH // 2)])]
 
 
 def _tokens(text: str) -> set[str]:
@@ -147,161 +160,206 @@ def _tokens(text: str) -> set[str]:
 
 
 class Reader:
-    """Features of texts; remembers the rows of words it has seen, as most words come again."""
-
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = Landmarks(landmarks)
-        self.seen: dict[str, int] = {}
-        self.rows = np.zeros((1, len(landmarks)))
+    """Bags of texts; remembers the margins of words it has seen, as most words come again."""
+
+    def __init__(self, model: Model):
+        self.model, self.landmarks = model, Landmarks(model.landmarks)
+        self.seen: dict[str, float] = {}
+
+    def margins(self, words: list[str]) -> np.ndarray:
+        """How far each word is above the margin of a clean one; 0 for words that are like no landmark."""
+        values = self.landmarks.values(words)
+        near = values.max(axis=1) >= LIKE
+        out = np.zeros(len(words))
+        out[near] = np.clip(values[near] @ self.model.nystroem @ self.model.beta + self.model.lift + 1, 0, 3)
+        return out
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def bags(self, texts: list[str | None]) -> np.ndarray:
         tokens = [_tokens(t) if t else set() for t in texts]
         if len(self.seen) > MEMORY:
-            self.seen, self.rows = {}, self.rows[:1]
+            self.seen = {}
         new = list(set().union(*tokens).difference(self.seen)) if tokens else []
         forms = [_forms(t) for t in new]
         flat = [f for fs in forms for f in fs]
-        self.seen.update((t, 0) for t in new)
+        self.seen.update((t, 0.0) for t in new)
         if flat:
-            values = self.landmarks.values(flat)
+            margin = self.margins(flat)
             owner = np.repeat(np.arange(len(new)), [len(f) for f in forms])
-            hit = np.flatnonzero(values.any(axis=1))
-            best: dict[int, np.ndarray] = {}
-            for i in hit:
-                k = owner[i]
-                best[k] = np.maximum(best[k], values[i]) if k in best else values[i]
-            if best:
-                self.seen.update(zip((new[k] for k in best), range(len(self.rows), len(self.rows) + len(best)), strict=True))
-                self.rows = np.concatenate([self.rows, np.array(list(best.values()))])
-        out = np.zeros((len(texts), self.rows.shape[1]))
+            for i in np.flatnonzero(margin):
+                self.seen[new[owner[i]]] = max(self.seen[new[owner[i]]], float(margin[i]))
+        out = np.zeros((len(texts), 5))
         for i, own in enumerate(tokens):
-            at = {self.seen[t] for t in own}
-            at.discard(0)
-            if at:
-                out[i] = self.rows[list(at)].max(axis=0)
+            top = sorted(filter(None, map(self.seen.__getitem__, own)), reverse=True)
+            out[i, : min(3, len(top))] = top[:3]
+            out[i, 3:] = np.log1p(sum(top)), np.log1p(len(own)) / 10
         return out
 
 
-def _strings(rows: DataFrame) -> list[str]:
-    """Candidates for landmarks, best first: words and word beginnings by how much oftener toxic texts have them."""
+_readers: dict[str, Reader] = {}
+
+
+def reader_of(model: Model | None) -> Reader | None:
+    """The worker's reader of a model, which remembers words from one task to the next; one model at a time."""
+    if model is None:
+        return None
+    if model.name not in _readers:
+        _readers.clear()
+        _readers[model.name] = Reader(model)
+    return _readers[model.name]
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """word, a (toxic texts that have it), b (clean ones) of words that a landmark can be."""
     word = F.regexp_replace(F.col("word"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    words = rows.select("id", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).select("id", "toxic", word.alias("word")).filter(F.length("word") >= ORDER)
-    cuts = F.sequence(F.lit(ORDER), F.least(F.length("word"), F.lit(LONGEST)))
-    parts = words.select("id", "toxic", F.explode(F.transform(cuts, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("part")).distinct()
-    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
-    if not bad or not good:
-        return []
+    words = rows.select("id", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).select("id", "toxic", word.alias("word"))
+    words = words.filter(F.length("word").between(ORDER, LONGEST)).distinct()
+    return words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+
+
+def _candidates(counts: DataFrame, bad: int, good: int) -> list[str]:
+    """Words by how much oftener toxic texts have them, the clearest first."""
     a, b = F.col("a"), F.col("b")
     mean = (a + b) / (bad + good)
     gain = a * F.log(a / (bad * mean)) + F.when(b > 0, b * F.log(b / (good * mean))).otherwise(0)
-    counts = parts.groupBy("part").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter((a >= LEAST) & (a * good > 2 * b * bad))
-    return [r["part"] for r in counts.withColumn("gain", F.round(gain, 6)).orderBy(F.desc("gain"), F.desc(F.length("part")), "part").limit(CANDIDATES).collect()]
+    kept = counts.filter((a >= LEAST) & (a * good > 3 * b * bad)).withColumn("gain", F.round(gain, 6))
+    return [r["word"] for r in kept.orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()]
 
 
-def _distinct(strings: list[str]) -> list[str]:
-    """The first LANDMARKS strings of which none has a kernel value of CLOSE or more with one before it."""
-    kept: list[str] = []
-    own = dict(zip(strings, _own(strings), strict=True)) if strings else {}
-    for s in strings:
+def _apart(words: list[str], kept: list[str], most: int) -> list[str]:
+    """kept and the first `most` words of which none has a kernel value of CLOSE or more with one before it."""
+    kept, room = list(kept), most
+    own = dict(zip(words + kept, _own(words + kept), strict=True)) if words or kept else {}
+    for w in words:
+        if room == 0:
+            break
         if kept:
-            k = kernel(np.repeat(_codes([s], LONGEST, 0), len(kept), axis=0), _codes(kept, LONGEST, -1))
-            if (k / (own[s] * np.array([own[x] for x in kept]))).max() >= CLOSE:
+            k = kernel(np.repeat(_codes([w], LONGEST, 0), len(kept), axis=0), _codes(kept, LONGEST, -1))
+            if (k / (own[w] * np.array([own[x] for x in kept]))).max() >= CLOSE:
                 continue
-        kept.append(s)
-        if len(kept) == LANDMARKS:
-            break
+        kept.append(w)
+        room -= 1
     return kept
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float, float, float]:
-    """Linear SVM with squared hinge loss by Newton steps, then the sigmoid of its margins."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    sign, w = np.where(y == 1, 1.0, -1.0), np.zeros(z.shape[1])
-    weight = np.where(y == 1, len(y) / (2 * max(1, (y == 1).sum())), len(y) / (2 * max(1, (y == 0).sum())))
-    keep = np.eye(len(w))
+def _like(counts: DataFrame, landmarks: list[str]) -> DataFrame:
+    """The counted words that are like a landmark."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Landmarks(landmarks)
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(marks.values(batch.column("word").to_pylist()).max(axis=1) >= LIKE))
+
+    return counts.mapInArrow(keep, counts.schema)
+
+
+def _nystroem(strings: list[str]) -> np.ndarray:
+    marks = Landmarks(strings)
+    inner = np.array([kernel(np.repeat(_codes([s], LONGEST, 0), len(strings), axis=0), marks.codes) for s in strings]) / np.outer(marks.own, marks.own)
+    value, vector = np.linalg.eigh((inner + inner.T) / 2)
+    return (vector / np.sqrt(np.maximum(value, 0.01))) @ vector.T
+
+
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear SVM with squared hinge loss, by Newton steps. Each class weighs the same."""
+    z, sign = np.hstack([x, np.ones((len(x), 1))]), np.where(y == 1, 1.0, -1.0)
+    weight = weight / np.where(y == 1, weight[y == 1].sum(), weight[y == 0].sum()) * len(y) / 2
+    w, keep = np.zeros(z.shape[1]), np.eye(z.shape[1])
     keep[-1, -1] = 1e-6
-    for _ in range(50):
+    for _ in range(60):
         inside = sign * (z @ w) < 1
         zi, ci = z[inside], cost * weight[inside]
         new = np.linalg.solve(keep + zi.T @ (zi * ci[:, None]), zi.T @ (ci * sign[inside]))
         if np.abs(new - w).max() < 1e-9:
             break
         w = new
-    margin = z @ w
-    m = np.column_stack([margin, np.ones(len(margin))])
-    goal = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
+    return w[:-1], float(w[-1])
+
+
+def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve of a label over the margin, with smoothed goals."""
+    bad, good = (y == 1).sum(), (y == 0).sum()
+    m, goal = np.column_stack([margin, np.ones(len(margin))]), np.where(y == 1, (bad + 1) / (bad + 2), 1 / (good + 2))
     ab = np.array([2.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(np.clip(-m @ ab, -60, 60)))
-        step = np.linalg.solve(m.T @ (m * (weight * p * (1 - p) + 1e-9)[:, None]) + 1e-6 * np.eye(2), m.T @ (weight * (p - goal)))
+        step = np.linalg.solve(m.T @ (m * (p * (1 - p) + 1e-9)[:, None]) + 1e-6 * np.eye(2), m.T @ (p - goal))
         ab = ab - np.clip(step, -2, 2)
-    return w[:-1], float(w[-1]), float(ab[0]), float(ab[1])
+    return float(ab[0]), float(ab[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> Model | None:
     """Fits on at most `train` texts of either class, the least by hash of their id.
 
     docs has doc_id and text, labels doc_id and toxic. Rows with a null id or label are left out, a null text counts as
-    empty. If a class has no row or no string tells the classes apart, every text gets the score 0.
+    empty. If a class has no row or no word tells the classes apart there is no model, and every text gets the score 0.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     some = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(train) for c in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))  # at most 2 * train rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "id").persist()
-    strings = _distinct(_strings(rows))
-    if not strings:
-        rows.unpersist()
-        return Model([], np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, -60.0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "id")
+    rows = stored(rows, "labelled")
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    counts = stored(_counts(rows), "words")
+    toxic = _apart(_candidates(counts, bad, good), [], LANDMARKS) if bad and good else []
+    if not toxic:
+        return None
+    like = stored(_like(counts, toxic), "like")
+    harmless = [r["word"] for r in like.filter(F.col("b") * bad > F.col("a") * good).orderBy(F.desc("b"), "word").limit(CANDIDATES).collect()]
+    strings = _apart(harmless, toxic, HARMLESS)
+    words = like.orderBy(F.desc(F.greatest(F.col("a") / bad, F.col("b") / good)), "word").limit(LIKES).toPandas()
+    nystroem = _nystroem(strings)
+    x = Landmarks(strings).values(words["word"].tolist()) @ nystroem
+    y, weight = np.repeat([1, 0], len(words)), np.concatenate([words["a"] / bad, words["b"] / good])
+    some = weight > 0
+    if len(set(y[some])) < 2:  # no clean text has a word like a toxic one: any other text stands for them
+        beta, lift = _machine(np.vstack([x, np.zeros((1, x.shape[1]))]), np.append(np.ones(len(words)), 0), np.append(words["a"] / bad, 1.0), 10.0)
+    else:
+        beta, lift = _machine(np.vstack([x, x])[some], y[some], weight[some], 10.0)
+    draft = Model(strings, nystroem, beta, lift, np.zeros(5), 0.0, 0.0, 0.0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(strings)
+        reader = Reader(draft)
         for batch in slices(batches, "text"):
-            x = reader.features(batch.column("text").to_pylist())
-            yield pa.record_batch([batch.column("id"), batch.column("toxic"), pa.array(list(x))], ["id", "toxic", "x"])
+            yield pa.record_batch([batch.column("id"), batch.column("toxic"), pa.array(list(reader.bags(batch.column("text").to_pylist())))], ["id", "toxic", "x"])
 
     got = rows.select("id", "toxic", "text").mapInArrow(read, "id long, toxic int, x array<double>").toPandas().sort_values("id")
-    rows.unpersist()
-    marks = Landmarks(strings)
-    inner = np.array([kernel(np.repeat(_codes([s], LONGEST, 0), len(strings), axis=0), marks.codes) for s in strings]) / np.outer(marks.own, marks.own)
-    value, vector = np.linalg.eigh((inner + inner.T) / 2)
-    nystroem = (vector / np.sqrt(np.maximum(value, 0.05))) @ vector.T
-    weights, bias, slope, shift = _machine(np.array(got["x"].tolist()) @ nystroem, got["toxic"].to_numpy())
-    return Model(strings, nystroem, weights, bias, slope, shift)
+    bags, y = np.array(got["x"].tolist()), got["toxic"].to_numpy()
+    weights, bias = _machine(bags, y, np.ones(len(y)), 10.0)
+    slope, shift = _sigmoid(bags @ weights + bias, y)
+    return Model(strings, nystroem, beta, lift, weights, bias, slope, shift)
+
+
+def _scores(reader: Reader | None, texts: pa.Array) -> np.ndarray:
+    return reader.model.scores(reader.bags(texts.to_pylist())) if reader else np.zeros(len(texts))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from 0.5) of every row; null and empty texts score as a text without words.
 
     Repeated rows give repeated results; an empty table gives an empty one; other columns are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS strings and a matrix of their number squared
+    held = docs.sparkSession.sparkContext.broadcast(model)  # as many strings as landmarks and a matrix of their number squared
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        reader = Reader(model.landmarks) if model.landmarks else None
+        reader = reader_of(held.value)
         for batch in slices(batches, "text"):
-            if reader:
-                scores = model.scores(reader.features(batch.column("text").to_pylist()))
-            else:
-                scores = np.zeros(batch.num_rows)
+            scores = _scores(reader, batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(read, "doc_id long, score double, predicted int")
 
 
-def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score below 0.5."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        reader = Reader(model.landmarks) if model.landmarks else None
+        reader = reader_of(held.value)
         for batch in slices(batches, text_col):
-            if reader:
-                batch = batch.filter(pa.array(model.scores(reader.features(batch.column(text_col).to_pylist())) < 0.5))
-            yield batch
+            yield batch.filter(pa.array(_scores(reader, batch.column(text_col).cast(pa.string())) < 0.5))
 
     return docs.mapInArrow(read, docs.schema)
 
