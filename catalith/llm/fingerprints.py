@@ -19,7 +19,7 @@ K, S = 5, 2
 KEEP = 128
 WORD, SHORT = 32, 256
 #: Rows that stand in one window when the next document is looked up, and such windows in one window of the second level.
-RUN, RUNS = 64, 4096
+RUN, RUNS = 1024, 4096
 
 
 def _let(value: Column, use) -> Column:
@@ -76,28 +76,26 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, columns: list[str], tie: str) -> DataFrame:
     """docs with `next`, a struct of columns of the following row by (id, tie); after the last row, the first.
 
-    No single window holds all rows: ids are cut into runs of about RUN rows, the last row of a run takes the first row
-    of the following run, and that run is found in windows of RUNS runs, whose own successors are few enough to sort.
+    No single window holds all rows: ids are cut into runs of about RUN rows, and the first row of each run is also put
+    behind the last row of the run before, so that one exchange by run brings every row and its successor together. The
+    run before is found in windows of RUNS runs, whose own order has few enough rows to sort.
     """
     bounds = docs.agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.count(id_col).alias("n")).first()
     low, spread = bounds["low"] or 0, (bounds["high"] or 0) - (bounds["low"] or 0) + 1
     width = max(1, -(-spread * RUN // max(1, bounds["n"])))
     run = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.floor((F.col(id_col) - F.lit(low)) / F.lit(width)).cast("long"))
-    rows = docs.withColumn("_run", run).withColumn("_all", F.struct(*columns))
-    order = [F.col(id_col).asc_nulls_first(), F.col(tie)]
-    inside = Window.partitionBy("_run").orderBy(*order)
-    firsts = rows.groupBy("_run").agg(F.min_by("_all", F.struct(F.col(id_col), F.col(tie))).alias("_first"))
-    names = rows.select("_run").distinct().withColumn("_part", F.floor(F.col("_run") / RUNS))
-    parts = names.groupBy("_part").agg(F.min("_run").alias("_low"))
-    parts = parts.select("_part", F.lead("_low").over(Window.orderBy("_part")).alias("_after"))
-    start = names.agg(F.min("_run")).first()[0]
-    follow = names.withColumn("_then", F.lead("_run").over(Window.partitionBy("_part").orderBy("_run"))).join(parts, "_part")
-    follow = follow.select("_run", F.coalesce("_then", "_after", F.lit(start)).alias("_to"))
-    follow = follow.join(firsts.withColumnRenamed("_run", "_to"), "_to").select(F.col("_run").alias("_from"), "_first")
-    rows = rows.withColumn("_lead", F.lead("_all").over(inside))
-    mid = rows.filter(F.col("_lead").isNotNull()).withColumn("next", F.col("_lead"))
-    last = rows.filter(F.col("_lead").isNull()).join(follow, F.col("_run") == F.col("_from")).withColumn("next", F.col("_first")).drop("_from", "_first")
-    return mid.unionByName(last).drop("_run", "_all", "_lead")
+    rows = docs.withColumn("_run", run).withColumn("_sent", F.lit(0))
+    runs = rows.groupBy("_run").agg(F.min(id_col).alias("_id")).withColumn("_part", F.floor(F.col("_run") / RUNS))
+    parts = runs.groupBy("_part").agg(F.max("_run").alias("_high"))
+    parts = parts.select("_part", F.lag("_high").over(Window.orderBy("_part")).alias("_before"))
+    last = runs.agg(F.max("_run")).first()[0]
+    inside = F.lag("_run").over(Window.partitionBy("_part").orderBy("_run"))
+    back = runs.withColumn("_then", inside).join(parts, "_part").select("_run", "_id", F.coalesce("_then", "_before", F.lit(last)).alias("_to"))
+    found = rows.join(back.withColumnRenamed("_run", "_at"), rows["_run"].eqNullSafe(F.col("_at")) & rows[id_col].eqNullSafe(F.col("_id")))
+    sent = found.withColumn("_run", F.col("_to")).withColumn("_sent", F.lit(1)).select(*rows.columns)
+    order = Window.partitionBy("_run").orderBy("_sent", F.col(id_col).asc_nulls_first(), tie)
+    led = rows.unionByName(sent).withColumn("next", F.lead(F.struct(*columns)).over(order))
+    return led.filter("_sent = 0").drop("_run", "_sent")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

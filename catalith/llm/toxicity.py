@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from catalith.llm.common import slices, stored
 
 ORDER, DECAY = 4, 0.6
-#: Toxic and harmless landmarks, their most characters, and the kernel value from which a word is too close to one that was chosen.
-LANDMARKS, HARMLESS, LONGEST, CLOSE = 64, 32, 14, 0.85
+#: Toxic and harmless landmarks, their most characters, and the kernel value from which a word is too close to one that was chosen, of either kind.
+LANDMARKS, HARMLESS, LONGEST, CLOSE, EQUAL = 64, 32, 14, 0.85, 0.98
 #: Share of a landmark's characters that a word must have in order for the kernel to be worked out; below, it counts as zero.
 COMMON = 0.7
 #: Kernel value from which a word is like a landmark, and how many such words the first machine is trained on.
@@ -225,8 +225,8 @@ def _candidates(counts: DataFrame, bad: int, good: int) -> list[str]:
     return [r["word"] for r in kept.orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()]
 
 
-def _apart(words: list[str], kept: list[str], most: int) -> list[str]:
-    """kept and the first `most` words of which none has a kernel value of CLOSE or more with one before it."""
+def _apart(words: list[str], kept: list[str], most: int, close: float) -> list[str]:
+    """kept and the first `most` words of which none has a kernel value of `close` or more with one before it."""
     kept, room = list(kept), most
     own = dict(zip(words + kept, _own(words + kept), strict=True)) if words or kept else {}
     for w in words:
@@ -234,7 +234,7 @@ def _apart(words: list[str], kept: list[str], most: int) -> list[str]:
             break
         if kept:
             k = kernel(np.repeat(_codes([w], LONGEST, 0), len(kept), axis=0), _codes(kept, LONGEST, -1))
-            if (k / (own[w] * np.array([own[x] for x in kept]))).max() >= CLOSE:
+            if (k / (own[w] * np.array([own[x] for x in kept]))).max() >= close:
                 continue
         kept.append(w)
         room -= 1
@@ -277,13 +277,14 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> t
 
 
 def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve of a label over the margin, with smoothed goals."""
+    """Slope and shift of the logistic curve of a label over the margin, with smoothed goals. The rarer class counts more, by the root of the ratio."""
     bad, good = (y == 1).sum(), (y == 0).sum()
+    part = np.where(y == 1, np.sqrt(len(y) / (2 * bad)), np.sqrt(len(y) / (2 * good)))
     m, goal = np.column_stack([margin, np.ones(len(margin))]), np.where(y == 1, (bad + 1) / (bad + 2), 1 / (good + 2))
     ab = np.array([2.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(np.clip(-m @ ab, -60, 60)))
-        step = np.linalg.solve(m.T @ (m * (p * (1 - p) + 1e-9)[:, None]) + 1e-6 * np.eye(2), m.T @ (p - goal))
+        step = np.linalg.solve(m.T @ (m * (part * p * (1 - p) + 1e-9)[:, None]) + 1e-6 * np.eye(2), m.T @ (part * (p - goal)))
         ab = ab - np.clip(step, -2, 2)
     return float(ab[0]), float(ab[1])
 
@@ -302,21 +303,21 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> Model | None:
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     counts = stored(_counts(rows), "words")
-    toxic = _apart(_candidates(counts, bad, good), [], LANDMARKS) if bad and good else []
+    toxic = _apart(_candidates(counts, bad, good), [], LANDMARKS, CLOSE) if bad and good else []
     if not toxic:
         return None
     like = stored(_like(counts, toxic), "like")
     harmless = [r["word"] for r in like.filter(F.col("b") * bad > F.col("a") * good).orderBy(F.desc("b"), "word").limit(CANDIDATES).collect()]
-    strings = _apart(harmless, toxic, HARMLESS)
+    strings = _apart(harmless, toxic, HARMLESS, EQUAL)
     words = like.orderBy(F.desc(F.greatest(F.col("a") / bad, F.col("b") / good)), "word").limit(LIKES).toPandas()
     nystroem = _nystroem(strings)
     x = Landmarks(strings).values(words["word"].tolist()) @ nystroem
-    y, weight = np.repeat([1, 0], len(words)), np.concatenate([words["a"] / bad, words["b"] / good])
+    y, weight = np.repeat([1, 0], len(words)), np.concatenate([words["a"], words["b"]]).astype(float)
     some = weight > 0
     if len(set(y[some])) < 2:  # no clean text has a word like a toxic one: any other text stands for them
         beta, lift = _machine(np.vstack([x, np.zeros((1, x.shape[1]))]), np.append(np.ones(len(words)), 0), np.append(words["a"] / bad, 1.0), 10.0)
     else:
-        beta, lift = _machine(np.vstack([x, x])[some], y[some], weight[some], 10.0)
+        beta, lift = _machine(np.vstack([x, x])[some], y[some], weight[some], 300.0)
     draft = Model(strings, nystroem, beta, lift, np.zeros(5), 0.0, 0.0, 0.0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
