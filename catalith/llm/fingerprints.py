@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalith.llm.common import stored
+
 K, S = 5, 2
 KEEP = 128
 WORD, SHORT = 32, 256
@@ -73,29 +75,31 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a["c"].isNotNull() & b["c"].isNotNull(), share(a["c"], b["c"])).otherwise(share(a["w"], b["w"]))
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str], tie: str) -> DataFrame:
-    """docs with `next`, a struct of columns of the following row by (id, tie); after the last row, the first.
+def with_next(docs: DataFrame, derive) -> DataFrame:
+    """derive(docs) with `next`, a struct of all its columns in the following row by (doc_id, tie); after the last row, the first.
 
-    No single window holds all rows: ids are cut into runs of about RUN rows, and the first row of each run is also put
-    behind the last row of the run before, so that one exchange by run brings every row and its successor together. The
-    run before is found in windows of RUNS runs, whose own order has few enough rows to sort.
+    docs has doc_id, text and tie. No single window holds all rows: ids are cut into runs of about RUN rows, and the
+    first row of each run, found by an aggregate, is also put behind the last row of the run before. So one exchange by
+    run brings every row and its successor together. The run before is found in windows of RUNS runs, whose own order
+    has few enough rows to sort.
     """
-    bounds = docs.agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.count(id_col).alias("n")).first()
+    bounds = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
     low, spread = bounds["low"] or 0, (bounds["high"] or 0) - (bounds["low"] or 0) + 1
     width = max(1, -(-spread * RUN // max(1, bounds["n"])))
-    run = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.floor((F.col(id_col) - F.lit(low)) / F.lit(width)).cast("long"))
-    rows = docs.withColumn("_run", run).withColumn("_sent", F.lit(0))
-    runs = rows.groupBy("_run").agg(F.min(id_col).alias("_id")).withColumn("_part", F.floor(F.col("_run") / RUNS))
+    run = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"))
+    rows = docs.withColumn("_run", run)
+    firsts = stored(rows.groupBy("_run").agg(F.min_by(F.struct("doc_id", "text", "tie"), F.struct("doc_id", "tie")).alias("first")), "firsts")
+    runs = firsts.select("_run", F.floor(F.col("_run") / RUNS).alias("_part"))
     parts = runs.groupBy("_part").agg(F.max("_run").alias("_high"))
     parts = parts.select("_part", F.lag("_high").over(Window.orderBy("_part")).alias("_before"))
     last = runs.agg(F.max("_run")).first()[0]
     inside = F.lag("_run").over(Window.partitionBy("_part").orderBy("_run"))
-    back = runs.withColumn("_then", inside).join(parts, "_part").select("_run", "_id", F.coalesce("_then", "_before", F.lit(last)).alias("_to"))
-    found = rows.join(back.withColumnRenamed("_run", "_at"), rows["_run"].eqNullSafe(F.col("_at")) & rows[id_col].eqNullSafe(F.col("_id")))
-    sent = found.withColumn("_run", F.col("_to")).withColumn("_sent", F.lit(1)).select(*rows.columns)
-    order = Window.partitionBy("_run").orderBy("_sent", F.col(id_col).asc_nulls_first(), tie)
-    led = rows.unionByName(sent).withColumn("next", F.lead(F.struct(*columns)).over(order))
-    return led.filter("_sent = 0").drop("_run", "_sent")
+    back = runs.withColumn("_then", inside).join(parts, "_part").select("_run", F.coalesce("_then", "_before", F.lit(last)).alias("_to"))
+    sent = firsts.join(back, "_run").select("first.*", F.col("_to").alias("_run"), F.lit(1).alias("_sent"))
+    every = derive(rows.withColumn("_sent", F.lit(0)).unionByName(sent))
+    columns = [c for c in every.columns if c not in ("_run", "_sent")]
+    order = Window.partitionBy("_run").orderBy("_sent", F.col("doc_id").asc_nulls_first(), "tie")
+    return every.withColumn("next", F.lead(F.struct(*columns)).over(order)).filter("_sent = 0").drop("_run", "_sent")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,8 +120,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     document by ascending doc_id (null ids come first, equal ids by hash of the text; after the last the first). A single document is its
     own next. An empty table gives an empty result.
     """
-    own = fingerprints(docs).drop("fingerprint").withColumn("tie", F.xxhash64("text"))
-    both = with_next(own, "doc_id", ["text", "sketch"], "tie")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    both = with_next(rows, lambda df: df.withColumn("sketch", sketch(F.col("text")))).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next.text"), F.lit(1), half))
     out = both.select("doc_id", "n_chars", "sketch", F.col("next.sketch").alias("after"), edited.alias("edited"))
