@@ -1,0 +1,443 @@
+"""A declarative extraction language over HTML: a program is a list of operations, each a dictionary with `op`.
+
+An operation takes what the one before it gave; `on` reads a variable instead, `as` keeps the result under a name too, and
+`{{name}}` in a parameter is replaced by the variable's text (nothing if there is none). Programs run inside Spark tasks,
+page by page; what doesn't need a page has a column form in the spec and text functions.
+"""
+
+from __future__ import annotations
+
+import html as entities
+import json
+import math
+import re
+from collections.abc import Callable, Iterator
+from urllib.parse import urljoin, urlsplit
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from catalith.sources.dom import Node, parse, select
+
+OPS: dict[str, Callable] = {}
+
+
+class Halt(Exception):
+    """Ends a program early with a value."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def op(name: str) -> Callable:
+    """Registers an operation: a function of the context, the piped value and the parameters."""
+
+    def file(function: Callable) -> Callable:
+        OPS[name] = function
+        return function
+
+    return file
+
+
+class Context:
+    """A page's tree, variables, and what the run was given: lists to match against, the present year."""
+
+    def __init__(self, html: str = "", url: str = "", given: dict | None = None):
+        self.root, self.url, self.given = parse(html), url, given or {}
+        self.vars: dict = {"url": url}
+
+    def fill(self, value):
+        if isinstance(value, str):
+            return re.sub(r"\{\{(\w+)\}\}", lambda m: text_of(self.vars.get(m[1])), value)
+        if isinstance(value, list):
+            return [self.fill(v) for v in value]
+        return {k: self.fill(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+    def run(self, program: list[dict], value=None):
+        try:
+            return self.steps(program, value)
+        except Halt as halt:
+            return halt.value
+
+    def steps(self, program: list[dict], value=None):
+        for step in program:
+            if step["op"] not in OPS:
+                raise ValueError(f"unknown operation {step['op']}")
+            raw = {k: v for k, v in step.items() if k not in ("op", "on", "as")}
+            keep = {k: raw.pop(k) for k in ("ifTrue", "ifFalse", "value", "titleFrom", "urlTransform") if isinstance(raw.get(k), list)}
+            value = OPS[step["op"]](self, self.vars.get(step["on"]) if "on" in step else value, self.fill(raw) | keep)
+            if "as" in step:
+                self.vars[step["as"]] = value
+        return value
+
+
+def text_of(value) -> str:
+    if isinstance(value, Node):
+        return value.text()
+    if isinstance(value, list):
+        return "".join(map(text_of, value))
+    return "" if value is None else str(value)
+
+
+def nodes(value) -> list[Node]:
+    return [value] if isinstance(value, Node) else [v for v in value if isinstance(v, Node)] if isinstance(value, list) else []
+
+
+def empty(value) -> bool:
+    return value is None or value == "" or value == []
+
+
+def squeezed(text: str) -> str:
+    return re.sub(r"\s+", " ", text).strip()
+
+
+def _found(ctx: Context, p: dict) -> list[Node]:
+    within = nodes(ctx.vars.get(p.get("within"))) or [ctx.root]
+    return [n for w in within for n in select(w, p["selector"])]
+
+
+def _failed(p: dict, reason: str):
+    if p.get("onFail") == "throw":
+        raise ValueError(reason)
+    raise Halt([])
+
+
+def _path(item, path: str | None):
+    for part in filter(None, (path or "").split(".")):
+        item = item.get(part) if isinstance(item, dict) else item[int(part)] if isinstance(item, list) and part.isdigit() and int(part) < len(item) else None
+    return item
+
+
+def _flags(p: dict) -> int:
+    return sum({"i": re.I, "m": re.M, "s": re.S}.get(f, 0) for f in p.get("flags", ""))
+
+
+OPS |= {
+    "selectAll": lambda c, v, p: _found(c, p),
+    "selectText": lambda c, v, p: (lambda t: t.strip() if p.get("trim", True) else t)("".join(n.text() for n in (_found(c, p)[:1] if p.get("first") else _found(c, p)))),
+    "selectAttr": lambda c, v, p: next(((a.strip() if p.get("trim", True) else a) for n in _found(c, p) if (a := n.attrs.get(p["attr"])) is not None), None),
+    "trim": lambda c, v, p: v.strip() if isinstance(v, str) else v,
+    "trimEnd": lambda c, v, p: v.rstrip(p["chars"]) if isinstance(v, str) else "",
+    "appendSuffix": lambda c, v, p: text_of(v) + p["value"],
+    "prependPrefix": lambda c, v, p: None if (x := p.get("value", v)) is None else p["prefix"] + text_of(x),
+    "stripPrefix": lambda c, v, p: re.sub("^" + re.escape(p["prefix"]) + r"\s*", "", v, flags=_flags(p)) if isinstance(v, str) else v,
+    "splitAndTake": lambda c, v, p: (lambda x: x[p["index"]] if -len(x) <= p["index"] < len(x) else None)(text_of(v).split(p["separator"])),
+    "splitAndSlice": lambda c, v, p: p["separator"].join(text_of(v).split(p["separator"])[p.get("skipFirst", 0):]),
+    "coalesce": lambda c, v, p: next((x for n in p["candidates"] if (x := c.vars.get(n)) is not None and x != ""), None),
+    "identity": lambda c, v, p: p.get("value", v),
+    "literal": lambda c, v, p: p["value"],
+    "filterByAttrAbsent": lambda c, v, p: [n for n in nodes(v) if p["attr"] in n.attrs],
+    "filterByAttrSuffix": lambda c, v, p: [n for n in nodes(v) if n.attrs.get(p["attr"]) and not n.attrs[p["attr"]].endswith(p["excludeSuffix"])],
+    "filterOutEqualsIgnoreCase": lambda c, v, p: [x for x in v if not isinstance(c.vars.get(p["against"]), str) or text_of(x).lower() != c.vars[p["against"]].lower()],
+    "filterByCategoryYearSuffix": lambda c, v, p: [x for x in v if any(str(c.given["year"] - k) in str(x.get("category")) for k in range(0 if p.get("includeCurrentYear", True) else 1, p["yearsBack"] + 1))],
+    "dedupe": lambda c, v, p: list(dict.fromkeys(v)),
+    "takeFirst": lambda c, v, p: v[: p["count"]],
+    "isEmpty": lambda c, v, p: empty(p.get("value", v)),
+    "matchAgainstRuntimeList": lambda c, v, p: [x for x in v if text_of(_path(x, p.get("field"))).lower() in {s.lower() for s in c.given[p["source"]]}],
+    "filterByBrandPrefix": lambda c, v, p: [x for x in v if any(text_of(_path(x, p.get("field"))).lower().startswith(s.lower()) for s in c.given[p["source"]])],
+    "buildBaseUrl": lambda c, v, p: (lambda u: u.rstrip("/") if p.get("trimTrailingSlash") else u)(text_of(v or c.url).split("?")[0] if p.get("stripQuery") else text_of(v or c.url)),
+    "computePages": lambda c, v, p: math.ceil(float(t) / float(n)) if (t := p.get("totalItems", v)) and (n := p.get("perPage")) and float(n) else None,
+    "extractAttrList": lambda c, v, p: [a.strip() if p.get("trim", True) else a for n in nodes(v) if (a := n.attrs.get(p["attr"]))],
+    "mapValue": lambda c, v, p: p["cases"].get(v, p.get("default")) if isinstance(v, str) else p.get("default"),
+    "filterJsonArray": lambda c, v, p: [x for x in (v if isinstance(v, list) else []) if (_path(x, p["path"]) == p["equals"]) != bool(p.get("negate"))],
+    "flattenJsonArray": lambda c, v, p: [y for x in (v if isinstance(v, list) else []) for y in (_path(x, p["path"]) or [])],
+}
+
+
+@op("selectFirst")
+def _select_first(ctx, value, p):
+    found = _found(ctx, p)
+    if not found and p.get("onMissing") == "throw":
+        raise ValueError(f"nothing fits {p['selector']}")
+    return found[:1]
+
+
+@op("selectNestedText")
+def _nested_text(ctx, value, p):
+    held = nodes(value)
+    found = select(held[p["index"]], p["childSelector"]) if p["index"] < len(held) else []
+    return "".join(n.text() for n in found).strip() or p.get("fallback")
+
+
+@op("selectSiblingContainer")
+def _siblings(ctx, value, p):
+    out = []
+    for node in nodes(value):
+        peers = node.parent.elements()
+        stops, keeps = set(map(id, select(node.parent, p["untilSelector"]))), set(map(id, select(node.parent, p["filterSelector"])))
+        for peer in peers[peers.index(node) + 1 :]:
+            if id(peer) in stops:
+                break
+            if id(peer) in keeps:
+                out.append(peer)
+    return out[:1] if p.get("first") else out
+
+
+def _decoded(x):
+    if isinstance(x, str):
+        return entities.unescape(x)
+    return [_decoded(y) for y in x] if isinstance(x, list) else {k: _decoded(y) for k, y in x.items()} if isinstance(x, dict) else x
+
+
+@op("parseJsonAttr")
+def _json_attr(ctx, value, p):
+    raw = OPS["selectAttr"](ctx, value, p)
+    try:
+        return _path(_decoded(json.loads(raw)), p.get("path"))
+    except (TypeError, ValueError):
+        return None
+
+
+@op("mapJsonArray")
+def _map_json(ctx, value, p):
+    def field(item, f):
+        got = _path(item, f.get("path"))
+        if f.get("template") is not None and got is not None:
+            got = f["template"].replace("{value}", text_of(got))
+        return ([] if got is None else got if isinstance(got, list) else [got]) if f.get("asArray") else got
+
+    rows = [{k: field(x, f) for k, f in p["fields"].items()} for x in (value if isinstance(value, list) else [])]
+    return [y for r in rows for y in (r[p["flattenField"]] or [])] if p.get("flattenField") else rows
+
+
+@op("stripPattern")
+def _strip(ctx, value, p):
+    out = re.sub(p["pattern"], "", text_of(value), count=0 if "g" in p.get("flags", "") else 1, flags=_flags(p))
+    return out.strip() if p.get("trim", True) else out
+
+
+@op("regexCapture")
+def _capture(ctx, value, p):
+    m = re.search(p["pattern"], text_of(value), _flags(p))
+    got = m[p.get("group", 1)] if m else None
+    if got is None:
+        return None
+    if p.get("cast") == "number":
+        try:
+            number = float(got.replace(",", ".").replace(" ", ""))
+        except ValueError:
+            return None
+        return number if math.isfinite(number) else None
+    if p.get("cast") == "jsonString":
+        try:
+            return json.loads(f'"{got}"')
+        except ValueError:
+            return got
+    return got.strip() if p.get("trim", True) else got
+
+
+@op("findScriptContaining")
+def _script(ctx, value, p):
+    return next((n.text() for n in select(ctx.root, "script") if p["contains"] in n.text()), None)
+
+
+@op("assertContains")
+def _assert(ctx, value, p):
+    return value if p["substring"] in text_of(value) else _failed(p, f"{p['substring']} is not there")
+
+
+@op("filterByNonEmpty")
+def _non_empty(ctx, value, p):
+    return _failed(p, "nothing there") if empty(value) else value
+
+
+@op("filterByAllowlist")
+def _allowed(ctx, value, p):
+    fold = str.lower if p.get("caseInsensitive") else str
+    known, seen, out = {fold(x) for x in ctx.vars.get(p["against"]) or ctx.given.get(p["against"], [])}, set(), []
+    for x in value:
+        key = x.get(p.get("dedupeBy", "link"))
+        if fold(x.get("title", "")) in known and key not in seen:
+            seen.add(key)
+            out.append(x)
+    return out
+
+
+@op("extractLinkTitlePairs")
+def _links(ctx, value, p):
+    own = lambda n: "".join(c for c in n.children if isinstance(c, str))
+    pairs = [(n.attrs.get("href"), squeezed(own(n) if p.get("ownText") else n.text())) for n in nodes(value)]
+    return [{"link": urljoin(p.get("resolveRelativeAgainst") or ctx.url, href), "title": title} for href, title in pairs if href and title]
+
+
+@op("extractLinkFromBox")
+def _boxes(ctx, value, p):
+    out = []
+    for box in nodes(value):
+        link = next((n for n in select(box, p["linkSelector"]) if n.attrs.get("href") and not any(x in n.attrs["href"] for x in p.get("excludeHrefContains", []))), None)
+        if link is None:
+            continue
+        ctx.vars["box"] = box
+        url = ctx.steps(p["urlTransform"], link.attrs["href"]) if p.get("urlTransform") else urljoin(ctx.url, link.attrs["href"])
+        title = ctx.steps(p["titleFrom"], box) if p.get("titleFrom") else squeezed(link.text())
+        out.append({"link": url, "title": (p.get("titleTemplate") or "{title}").replace("{title}", text_of(title))})
+    return out
+
+
+@op("generatePaginationLinks")
+def _pages(ctx, value, p):
+    total = p.get("totalPages", value)
+    fill = lambda t, n: re.sub(r"\{\(page-1\)\*(\d+)\}", lambda m: str((n - 1) * int(m[1])), t.replace("{page}", str(n)).replace("{baseUrl}", ctx.url.split("?")[0]))
+    return [fill(t, n) for n in range(p.get("startPage", 1), int(float(total)) + 1) for t in p["templates"]] if total not in (None, "") else []
+
+
+def _row(name: str, values: list[str], section: str | None) -> dict:
+    return {"name": name, "sectionTitle": section, "values": [v for v in map(squeezed, values) if v]}
+
+
+@op("extractSpecTableV1")
+def _table1(ctx, value, p):
+    """Header and data cells; a row of one header cell begins a section; the first row of a name counts."""
+    section, out = None, {}
+    for table in nodes(value):
+        for tr in select(table, "tr"):
+            heads, cells = select(tr, "th"), select(tr, "td")
+            if heads and not cells:
+                section = squeezed(heads[0].text())
+            elif cells:
+                name = squeezed((heads or cells)[0].text())
+                data = cells if heads else cells[1:]
+                items = [li.text() for d in data for li in select(d, "li")] or [d.text() for d in data]
+                out.setdefault(name, _row(name, items, section))
+    return list(out.values())
+
+
+@op("extractSpecTableV2")
+def _table2(ctx, value, p):
+    """Rows marked as sections by a class; a cell without text takes its icon's title or class."""
+    section, out = None, {}
+    for table in nodes(value):
+        for tr in select(table, "tr"):
+            if p.get("sectionClass", "section") in tr.classes():
+                section = squeezed(tr.text())
+                continue
+            cells = [n for n in tr.elements() if n.tag in ("td", "th")]
+            if len(cells) >= 2:
+                icon = next((n for n in cells[1].walk() if n.tag in ("i", "img", "span") and (n.attrs.get("title") or n.attrs.get("alt"))), None)
+                text = cells[1].text().strip() or (icon.attrs.get("title") or icon.attrs.get("alt") if icon else "")
+                out.setdefault(squeezed(cells[0].text()), _row(squeezed(cells[0].text()), [text], section))
+    return list(out.values())
+
+
+@op("extractSpecTableBySection")
+def _table3(ctx, value, p):
+    """A header and the table after it; line breaks part a cell's values; no row is dropped."""
+    out, section = [], None
+    for n in ctx.root.walk():
+        if n.tag in ("h2", "h3", "h4"):
+            section = squeezed(n.text())
+        elif n.tag == "tr":
+            cells = [c for c in n.elements() if c.tag in ("td", "th")]
+            if len(cells) >= 2:
+                parts, held = [""], cells[1].children
+                for c in held:
+                    if isinstance(c, Node) and c.tag == "br":
+                        parts.append("")
+                    else:
+                        parts[-1] += c if isinstance(c, str) else c.text()
+                out.append(_row(squeezed(cells[0].text()), parts, section))
+    return out
+
+
+@op("appendSyntheticSpec")
+def _synthetic(ctx, value, p):
+    got = ctx.steps(p["value"]) if isinstance(p["value"], list) else p["value"]
+    return [*(value or []), _row(p["name"], [text_of(got)], None)] if got else value
+
+
+@op("extractImageWithFallback")
+def _image(ctx, value, p):
+    def urls(part):
+        found = [n.attrs.get(part.get("attr", "src")) for n in select(ctx.root, part["selector"])]
+        for r in part.get("replacePatterns", []):
+            found = [re.sub(r["from"], r["to"], u) if u else u for u in found]
+        return [urljoin(ctx.url, u) for u in found if u]
+
+    return list(dict.fromkeys(urls(p["primary"]) or urls(p["fallback"])))
+
+
+@op("mapSpecValue")
+def _spec_value(ctx, value, p):
+    row = next((r for r in ctx.vars.get("rawSpecs") or [] if r["name"].lower() == p["label"].lower()), None)
+    values = row["values"] if row else []
+    if p.get("single", True):
+        got = values[0] if values else None
+        return OPS["regexCapture"](ctx, got, {"pattern": r"(-?\d+(?:[.,]\d+)?)", "cast": "number"}) if p.get("cast") == "number" and got else got
+    return values
+
+
+@op("branch")
+def _branch(ctx, value, p):
+    test = p.get("when", p)
+    if "selectorExists" in test:
+        yes = bool(select(ctx.root, test["selectorExists"]))
+    elif "isEmpty" in test:
+        yes = empty(ctx.vars.get(test["isEmpty"]))
+    else:
+        yes = ctx.vars.get(test["equals"]["var"]) == test["equals"]["value"]
+    return ctx.steps(p["ifTrue"] if yes else p.get("ifFalse", []), value)
+
+
+#: The parts of a detail page, in the order in which they run; each is kept as a variable for those after it.
+DETAIL = ("rawSpecs", "category", "brand", "model", "aliases", "releaseYear", "externalId", "imageUrls", "offers")
+
+
+def detail_page(config: dict, html: str, url: str, given: dict | None = None) -> dict:
+    """Runs a detail-page config. Offers need a seller and a finite price; a page yields one at most."""
+    ctx, out = Context(html, url, given), {}
+    for part in DETAIL:
+        if part == "offers" and isinstance(config.get(part), dict):
+            offer = {k: ctx.run(steps) for k, steps in config[part].items()}
+            price = offer.get("price")
+            out[part] = [offer] if offer.get("sellerName") and isinstance(price, (int, float)) and math.isfinite(price) else []
+        else:
+            out[part] = ctx.vars[part] = ctx.run(config[part]) if part in config else None
+    return out
+
+
+def categorised(rules: list[dict], title: str, specs: list[dict]) -> str | None:
+    """The first rule that fits and whose `unless` doesn't: always, equalsIgnoreCase, specValueIncludes, specSectionTitleIn."""
+
+    def fits(test: dict) -> bool:
+        if test["type"] == "always":
+            return True
+        if test["type"] == "equalsIgnoreCase":
+            return title.lower() == test["value"].lower()
+        if test["type"] == "specValueIncludes":
+            return any(test["value"].lower() in v.lower() for r in specs if r["name"].lower() == test["label"].lower() for v in r["values"])
+        return any((r.get("sectionTitle") or "").lower() in {x.lower() for x in test["values"]} for r in specs)
+
+    return next((r["category"] for r in rules if fits(r["when"]) and not any(fits(u) for u in r.get("unless", []))), None)
+
+
+def link_pairs(pages: DataFrame, program: list[dict]) -> DataFrame:
+    """page_id, position, link, title of the pairs a program gives for every page; a page without html has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, k, x["link"], x["title"]) for i, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True) if html for k, x in enumerate(Context(html, url or "").run(program) or [])]
+            yield pa.RecordBatch.from_pydict(dict(zip(("page_id", "position", "link", "title"), map(list, zip(*rows, strict=True)) if rows else ([], [], [], []), strict=True)), pa.schema([("page_id", pa.int64()), ("position", pa.int32()), ("link", pa.string()), ("title", pa.string())]))
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, position int, link string, title string")
+
+
+def extracted(pages: DataFrame, programs: dict[str, list[dict]]) -> DataFrame:
+    """page_id and the text of each program's result."""
+    names = list(programs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: dict[str, list] = {n: [] for n in names}
+            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                ctx = Context(html or "", url or "")
+                for n in names:
+                    got = ctx.vars[n] = ctx.run(programs[n])
+                    columns[n].append(None if got is None else text_of(got))
+            yield pa.record_batch([batch.column("page_id"), *(pa.array(columns[n], pa.string()) for n in names)], ["page_id", *names])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, " + ", ".join(f"{n} string" for n in names))
+
+
+def base_url(url: str) -> str:
+    parts = urlsplit(url)
+    return f"{parts.scheme}://{parts.netloc}{parts.path}"

@@ -1,0 +1,175 @@
+"""A small document tree over the standard library's parser, and the selectors that extraction configs use.
+
+Selectors: tag, *, .class, #id, [attr], [attr="v"], [attr^="v"], [attr$="v"], [attr*="v"], :first-child, :not(...), descendant,
+> child, and comma lists.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import cache
+from html.parser import HTMLParser
+
+# fixed values: elements without an end tag, and what a start tag ends
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+BOUNDS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+
+
+class Node:
+    """An element; children are nodes and strings."""
+
+    __slots__ = ("attrs", "children", "parent", "tag")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+
+    def elements(self) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node)]
+
+    def walk(self):
+        stack = self.elements()[::-1]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(node.elements()[::-1])
+
+    def text(self) -> str:
+        parts, stack = [], self.children[::-1]
+        while stack:
+            c = stack.pop()
+            if isinstance(c, str):
+                parts.append(c)
+            else:
+                stack.extend(c.children[::-1])
+        return "".join(parts)
+
+    def classes(self) -> list[str]:
+        return self.attrs.get("class", "").split()
+
+
+class _Builder(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Node("#document", {}, None)
+
+    def close_to(self, names: set[str], bounds: set[str]) -> None:
+        node = self.at
+        while node.parent is not None and node.tag not in bounds:
+            if node.tag in names:
+                self.at = node.parent
+                return
+            node = node.parent
+
+    def handle_starttag(self, tag, attrs) -> None:
+        if tag in ENDS_P:
+            self.close_to({"p"}, {"table", "td", "th", "div", "section", "article", "li"})
+        if tag in ENDS:
+            self.close_to(ENDS[tag], BOUNDS[tag])
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(node)
+        if tag not in VOID:
+            self.at = node
+
+    def handle_startendtag(self, tag, attrs) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.at = self.at.parent
+
+    def handle_endtag(self, tag) -> None:
+        node = self.at
+        while node.parent is not None:
+            if node.tag == tag:
+                self.at = node.parent
+                return
+            node = node.parent
+
+    def handle_data(self, data) -> None:
+        self.at.children.append(data)
+
+
+def parse(html: str) -> Node:
+    builder = _Builder()
+    builder.feed(html)
+    builder.close()
+    return builder.root
+
+
+_PART = re.compile(r"""\s*(?P<comb>[>,])\s*|(?P<space>\s+)|(?P<tag>[a-zA-Z][\w-]*|\*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[\^$*~]?=)["']?(?P<val>[^"'\]]*)["']?)?\]|:(?P<pseudo>first-child|last-child)|:not\((?P<neg>[^)]*)\)""")
+
+
+@cache
+def compiled(selector: str) -> list[list[tuple[str, list]]]:
+    """Alternatives; each a list of (combinator, tests)."""
+    out, chain, tests, comb, at = [], [], [], " ", 0
+    selector = selector.strip()
+    while at < len(selector):
+        m = _PART.match(selector, at)
+        if not m:
+            raise ValueError(f"unknown selector: {selector}")
+        at = m.end()
+        if m["comb"] == ",":
+            chain.append((comb, tests))
+            out.append(chain)
+            chain, tests, comb = [], [], " "
+        elif m["comb"] or m["space"]:
+            if tests:
+                chain.append((comb, tests))
+                tests = []
+            comb = ">" if m["comb"] else comb if not chain or chain[-1] is None else " "
+        elif m["tag"]:
+            tests.append(("tag", m["tag"].lower(), None))
+        elif m["cls"]:
+            tests.append(("class", m["cls"], None))
+        elif m["id"]:
+            tests.append(("attr", "id", ("=", m["id"])))
+        elif m["attr"]:
+            tests.append(("attr", m["attr"], (m["op"], m["val"]) if m["op"] else None))
+        elif m["pseudo"]:
+            tests.append((m["pseudo"], None, None))
+        else:
+            tests.append(("not", compiled(m["neg"]), None))
+    chain.append((comb, tests))
+    return [*out, chain]
+
+
+def _meets(node: Node, tests: list) -> bool:
+    for kind, name, value in tests:
+        if kind == "tag":
+            ok = name in ("*", node.tag)
+        elif kind == "class":
+            ok = name in node.classes()
+        elif kind == "attr":
+            held = node.attrs.get(name)
+            ok = held is not None and (value is None or {"=": held == value[1], "^=": bool(value[1]) and held.startswith(value[1]), "$=": bool(value[1]) and held.endswith(value[1]), "*=": bool(value[1]) and value[1] in held, "~=": value[1] in held.split()}[value[0]])
+        elif kind == "not":
+            ok = not any(_fits(node, chain) for chain in name)
+        else:
+            peers = node.parent.elements() if node.parent else [node]
+            ok = peers[0 if kind == "first-child" else -1] is node
+        if not ok:
+            return False
+    return True
+
+
+def _fits(node: Node | None, chain: list) -> bool:
+    comb, tests = chain[-1]
+    if node is None or not _meets(node, tests):
+        return False
+    if len(chain) == 1:
+        return True
+    if comb == ">":
+        return node.parent is not None and _fits(node.parent, chain[:-1])
+    up = node.parent
+    while up is not None:
+        if _fits(up, chain[:-1]):
+            return True
+        up = up.parent
+    return False
+
+
+def select(root: Node, selector: str) -> list[Node]:
+    """Matching descendants in document order."""
+    chains = compiled(selector)
+    return [n for n in root.walk() if any(_fits(n, c) for c in chains)]

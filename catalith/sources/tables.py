@@ -41,14 +41,14 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, model_id, seller_id, order_id, line, price, currency, active, observed_at, condition of every offer."""
     return table(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("listing"), F.col("l_partkey").alias("model_id"), F.col("l_suppkey").alias("seller_id"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(12,2)").alias("price"), (F.col("l_linestatus") == "O").alias("active"),
+        (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5).cast("decimal(14,0)") / F.lit(100)).cast("decimal(12,2)").alias("price"), (F.col("l_linestatus") == "O").alias("active"),
         F.col("l_shipdate").alias("observed_at"), F.when(F.col("l_returnflag") == "R", "refurbished").when(F.col("l_returnflag") == "A", "used").otherwise("new").alias("condition"),
     )
 
 
 OFFER_SQL = """offer AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS listing, l_partkey AS model_id, l_suppkey AS seller_id,
-    round(l_extendedprice / l_quantity, 2)::DECIMAL(12,2) AS price, l_linestatus = 'O' AS active, l_shipdate AS observed_at,
+    (floor(l_extendedprice / l_quantity * 100 + 0.5)::DECIMAL(14,0) / 100)::DECIMAL(12,2) AS price, l_linestatus = 'O' AS active, l_shipdate AS observed_at,
     CASE l_returnflag WHEN 'R' THEN 'refurbished' WHEN 'A' THEN 'used' ELSE 'new' END AS condition
   FROM lineitem)"""
 

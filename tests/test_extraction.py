@@ -1,0 +1,70 @@
+"""The document tree, selectors and operations on a small synthetic page."""
+
+from __future__ import annotations
+
+import pytest
+
+from catalith.operators.extraction import Context, categorised, detail_page
+from catalith.sources.dom import parse, select
+
+PAGE = """<html><head><title>Shop</title><script>var a = 1;</script><script>var offer = {"price": "1 299,5", "seller": "B\\u00e9la"};</script></head>
+<body><div id="crumbs"><a href="/monitors">Monitors</a> <a href="/monitors/2024">Monitors 2024</a></div>
+<h1 class="name big">ACME <b>X34</b></h1><div data-images='["a.jpg","b.jpg"]' data-json='{"items":[{"k":"A &amp; B","v":1},{"k":"C","v":2}]}'></div>
+<table class="spec"><tr><th>Panel</th></tr><tr><th>Type</th><td>VA</td></tr><tr><th>Ports</th><td><ul><li>HDMI<li>DP</ul></td></tr><tr><th>Type</th><td>again</td></tr></table>
+<ul class="list"><li class="x"><a href="p1.html">One</a><li><a href="p2.html"> Two </a><li><a>none</a></ul><p>first<p>second<img src="/i/small.jpg"></body></html>"""
+
+
+@pytest.fixture
+def ctx():
+    return Context(PAGE, "https://shop.example.com/p/7?x=1", {"year": 2025, "brands": ["acme"]})
+
+
+@pytest.mark.parametrize(("selector", "n"), [("li", 5), (".list > li", 3), ("ul.list li:first-child", 1), ("#crumbs a", 2), ('a[href^="p"]', 2), ("h1, title", 2), ("li:not(.x)", 4), ("tr th", 4), ("p", 2), ("h1.name.big b", 1), ("[data-images]", 1), ("table > a", 0)])
+def test_selectors(selector, n):
+    assert len(select(parse(PAGE), selector)) == n
+
+
+@pytest.mark.parametrize(("program", "wanted"), [
+    ([{"op": "selectText", "selector": "h1"}], "ACME X34"),
+    ([{"op": "selectAttr", "selector": "img", "attr": "src"}], "/i/small.jpg"),
+    ([{"op": "selectText", "selector": "h1", "as": "n"}, {"op": "literal", "value": "<{{n}}|{{missing}}>"}], "<ACME X34|>"),
+    ([{"op": "selectAll", "selector": ".list a"}, {"op": "extractLinkTitlePairs"}], [{"link": "https://shop.example.com/p/p1.html", "title": "One"}, {"link": "https://shop.example.com/p/p2.html", "title": "Two"}]),
+    ([{"op": "parseJsonAttr", "selector": "[data-json]", "attr": "data-json", "path": "items"}, {"op": "filterJsonArray", "path": "v", "equals": 2}, {"op": "mapJsonArray", "fields": {"name": {"path": "k"}}}], [{"name": "C"}]),
+    ([{"op": "parseJsonAttr", "selector": "[data-json]", "attr": "data-json", "path": "items.0.k"}], "A & B"),
+    ([{"op": "findScriptContaining", "contains": "offer"}, {"op": "regexCapture", "pattern": r'"price": "([^"]+)"', "cast": "number"}], 1299.5),
+    ([{"op": "findScriptContaining", "contains": "offer"}, {"op": "regexCapture", "pattern": r'"seller": "([^"]+)"', "cast": "jsonString"}], "Béla"),
+    ([{"op": "literal", "value": "a-b-c"}, {"op": "splitAndTake", "separator": "-", "index": 5}], None),
+    ([{"op": "literal", "value": "a-b-c"}, {"op": "splitAndSlice", "separator": "-", "skipFirst": 1}], "b-c"),
+    ([{"op": "literal", "value": "xx1x"}, {"op": "stripPattern", "pattern": "x"}], "x1x"),
+    ([{"op": "literal", "value": "xx1x"}, {"op": "stripPattern", "pattern": "x", "flags": "g"}], "1"),
+    ([{"op": "literal", "value": "Brand: X"}, {"op": "stripPrefix", "prefix": "Brand:"}], "X"),
+    ([{"op": "selectAll", "selector": ".nothing"}, {"op": "filterByNonEmpty"}, {"op": "literal", "value": "never"}], []),
+    ([{"op": "selectAll", "selector": ".list a"}, {"op": "filterByAttrAbsent", "attr": "href"}, {"op": "extractAttrList", "attr": "href"}], ["p1.html", "p2.html"]),
+    ([{"op": "buildBaseUrl", "stripQuery": True}], "https://shop.example.com/p/7"),
+    ([{"op": "computePages", "totalItems": 41, "perPage": 20}, {"op": "generatePaginationLinks", "templates": ["?p={page}&o={(page-1)*20}"]}], ["?p=1&o=0", "?p=2&o=20", "?p=3&o=40"]),
+    ([{"op": "literal", "value": "m"}, {"op": "mapValue", "cases": {"m": "monitors"}, "default": "other"}], "monitors"),
+    ([{"op": "branch", "selectorExists": "h1", "ifTrue": [{"op": "literal", "value": 1}], "ifFalse": [{"op": "literal", "value": 2}]}], 1),
+    ([{"op": "extractImageWithFallback", "primary": {"selector": "img.big"}, "fallback": {"selector": "img", "replacePatterns": [{"from": "small", "to": "large"}]}}], ["https://shop.example.com/i/large.jpg"]),
+    ([{"op": "selectAll", "selector": "table.spec"}, {"op": "extractSpecTableV1"}], [{"name": "Type", "sectionTitle": "Panel", "values": ["VA"]}, {"name": "Ports", "sectionTitle": "Panel", "values": ["HDMI", "DP"]}]),
+])
+def test_operations(ctx, program, wanted):
+    assert ctx.run(program) == wanted
+
+
+def test_unknown_operation_raises(ctx):
+    with pytest.raises(ValueError):
+        ctx.run([{"op": "nothing"}])
+
+
+def test_detail_page_and_category():
+    config = {
+        "rawSpecs": [{"op": "selectAll", "selector": "table.spec"}, {"op": "extractSpecTableV1"}],
+        "brand": [{"op": "selectText", "selector": "h1"}, {"op": "splitAndTake", "separator": " ", "index": 0}],
+        "model": [{"op": "mapSpecValue", "label": "type"}],
+        "offers": {"sellerName": [{"op": "literal", "value": "Shop"}], "price": [{"op": "findScriptContaining", "contains": "offer"}, {"op": "regexCapture", "pattern": r'"price": "([^"]+)"', "cast": "number"}]},
+    }
+    got = detail_page(config, PAGE, "https://shop.example.com/p/7")
+    assert got["brand"] == "ACME" and got["model"] == "VA" and got["offers"] == [{"sellerName": "Shop", "price": 1299.5}]
+    rules = [{"category": "tv", "when": {"type": "specSectionTitleIn", "values": ["Tuner"]}}, {"category": "monitors", "when": {"type": "always"}, "unless": [{"type": "equalsIgnoreCase", "value": "laptop"}]}]
+    assert categorised(rules, "X34", got["rawSpecs"]) == "monitors" and categorised(rules, "Laptop", []) is None
+    assert detail_page({"offers": {"sellerName": [{"op": "literal", "value": "S"}], "price": [{"op": "literal", "value": "n/a"}]}}, "", "")["offers"] == []
