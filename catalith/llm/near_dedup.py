@@ -74,7 +74,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     n = len(words)
     full = np.zeros(n, _U)
     for j in range(SHINGLE_WORDS):
-        full[: n - j] += words[j:] * _SHINGLE[j]
+        full[: max(0, n - j)] += words[j:] * _SHINGLE[j]
     at = np.arange(n) - place[doc]
     keep = at + SHINGLE_WORDS <= count[doc]
     docs, hashes = [doc[keep]], [full[keep]]

@@ -11,12 +11,13 @@ into its lattice. A higher-order aggregate folds each lattice into the word's se
   merged, and a piece is built from two of better rank, so that no merge makes one of better rank possible. The public model
   is of this kind; its scores are no log-probabilities, and the path of the best sum is another one for many words.
 
-Words go to documents again by block: documents are dealt into blocks, and each block gets the segmentation of every
-word in it once, however often it occurs there.
+Words go to documents again by block: documents of neighbouring ids are a block, and each block gets the segmentation of
+every word in it once, however often it occurs there.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,13 +69,28 @@ def normalised(text: Column, prefix: bool = True) -> Column:
     return F.translate(F.when(text == "", "").otherwise(F.concat(F.lit(" " if prefix else ""), text)), " ", SPACE)
 
 
-def words(text: Column, pieces: Pieces) -> Column:
-    """Array of the words of a normalised text: cut before each run of U+2581, and around characters that are in no piece of several."""
-    inside = {c for p, _, _ in pieces.usable if len(p) > 1 for c in p}
+def word_pattern(pieces: Pieces) -> str:
+    """Regular expression of the words of a normalised text: a run of U+2581 with what follows it up to the next such run.
+
+    A character that is in no piece of several characters is a word of its own, as no piece goes over it.
+    """
+    inside = sorted({ord(c) for p, _, _ in pieces.usable if len(p) > 1 for c in p} - {ord(SPACE)})
     if any(SPACE in p.lstrip(SPACE) for p, _, _ in pieces.usable):
         raise ValueError("a piece goes on after a blank inside it; such models need another way to cut words")
-    known = "".join("\\x{%x}" % ord(c) for c in sorted(inside))
-    return F.filter(F.split(text, f"(?<=[^{SPACE}])(?={SPACE})|(?<=[^{known}\\x{{d800}}-\\x{{dbff}}])|(?=[^{known}\\x{{dc00}}-\\x{{dfff}}])"), lambda w: w != "")
+    ranges: list[list[int]] = []
+    for c in inside:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    sign = lambda c: chr(c) if chr(c).isalnum() else "\\" + chr(c) if c < 128 else chr(c)
+    known = "".join(sign(lo) if lo == hi else f"{sign(lo)}-{sign(hi)}" for lo, hi in ranges)
+    return f"{SPACE}*[{known}]+|{SPACE}+|[^{known}{SPACE}]"
+
+
+def words(text: Column, pieces: Pieces) -> Column:
+    """Array of the words of a normalised text."""
+    return F.regexp_extract_all(text, F.lit(f"({word_pattern(pieces)})"), F.lit(1))
 
 
 def lattice(words_: DataFrame, pieces: Pieces) -> DataFrame:
@@ -152,15 +168,17 @@ def segmented(words_: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFra
 def encode(docs: DataFrame, pieces: Pieces, fold: str = "merge", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (array<int>) of every row of docs.
 
-    A null or empty text has no ids. Repeated rows give repeated results; an empty table gives an empty one; other
+    A null or empty text has no ids. Ids are expected to be spread over their range, as a block is one. Repeated rows give repeated results; an empty table gives an empty one; other
     columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = max(1, -(-rows.count() // BLOCK))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    cut = rows.select("doc_id", "block", words(normalised(F.col("text"), pieces.prefix), pieces).alias("words"))
-    asked = stored(cut.select("block", F.explode(F.array_distinct("words")).alias("word")).distinct(), "words")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col), pieces.prefix).alias("text"))
+    bounds = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
+    low, spread = bounds["low"] or 0, (bounds["high"] or 0) - (bounds["low"] or 0) + 1
+    width = max(1, -(-spread * BLOCK // max(1, bounds["n"])))
+    rows = rows.withColumn("block", F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1)))
+    asked = stored(rows.select("block", F.explode(words(F.col("text"), pieces)).alias("word")).distinct(), "words")
     answers = asked.join(segmented(asked, pieces, fold), "word")
+    pattern = re.compile(word_pattern(pieces))
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         index = {w: i for i, w in enumerate(right.column("word").to_pylist())}
@@ -168,12 +186,14 @@ def encode(docs: DataFrame, pieces: Pieces, fold: str = "merge", id_col: str = "
         ends = np.asarray(held.offsets, np.int64)
         values = np.asarray(held.values, np.int32)
         out = []
-        for own in left.column("words").to_pylist():
-            parts = [values[ends[i] : ends[i + 1]] for i in map(index.__getitem__, own)]
-            out.append(np.concatenate(parts) if parts else np.empty(0, np.int32))
+        for text in left.column("text").to_pylist():
+            at = np.fromiter(map(index.__getitem__, pattern.findall(text)), np.int64)
+            size = ends[at + 1] - ends[at]
+            place = np.cumsum(size) - size
+            out.append(values[np.arange(int(size.sum())) + np.repeat(ends[at] - place, size)])
         return pa.table([left.column("doc_id"), pa.array([len(x) for x in out], pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
 
-    return cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens int, ids array<int>")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens int, ids array<int>")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
