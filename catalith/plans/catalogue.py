@@ -75,8 +75,7 @@ def s7_record_lookup(spark, sf):
 def s8_existing_urls(spark, sf):
     from catalith.functions.text import url_key
 
-    asked = table(spark, sf, "supplier").filter("s_suppkey < 5").select("s_suppkey").join(table(spark, sf, "part").filter("p_partkey < 50").select("p_partkey"), F.lit(True))
-    asked = asked.select(F.format_string("https://www.shop%d.example.com/p/%d", "s_suppkey", "p_partkey").alias("key"))
+    asked = spark.createDataFrame([(f"https://www.shop{s}.example.com/p/{p}",) for s in range(5) for p in range(50)], "key string")
     held = source_records(spark, sf).select("url").distinct().withColumn("key", url_key(F.col("url")))
     return held.join(asked, "key", "left_semi").select("url")
 
