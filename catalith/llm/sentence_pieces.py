@@ -12,7 +12,7 @@ into its lattice. A higher-order aggregate folds each lattice into the word's se
   is of this kind; its scores are no log-probabilities, and the path of the best sum is another one for many words.
 
 Words go to documents again by block: documents of neighbouring ids are a block, and each block gets the segmentation of
-every word in it once, however often it occurs there.
+every word in it once, however often it occurs there. A block's words, lattices and documents stay in one partition.
 """
 
 from __future__ import annotations
@@ -25,11 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm.common import stored
-
 SPACE = "▁"
 #: Documents of a block, about.
-BLOCK = 4096
+BLOCK = 8192
 
 
 @dataclass(frozen=True)
@@ -93,16 +91,17 @@ def words(text: Column, pieces: Pieces) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({word_pattern(pieces)})"), F.lit(1))
 
 
-def lattice(words_: DataFrame, pieces: Pieces) -> DataFrame:
-    """word and its edges: an array of (start, stop, id, score), for each distinct word of words_."""
+def lattice(words_: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
+    """keys, word and its edges: an array of (start, stop, id, score), for each distinct word of a key."""
     spark = words_.sparkSession
     table = F.broadcast(pieces.table(spark))  # as many rows as the model's vocabulary
     n = F.length("word")
-    places = words_.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = places.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))).alias("size"))
+    places = words_.select(*keys, "word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    spans = places.select(*keys, "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))).alias("size"))
     spans = spans.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("size")))
     edge = F.struct("start", (F.col("start") + F.col("size")).alias("stop"), "id", "score")
-    return spans.join(table, "piece").groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    found = spans.join(table, "piece", "left").filter("id is not null or size = 1")  # a word without any piece keeps a row
+    return found.groupBy(*keys, "word").agg(F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
 
 
 def _merged(word: Column, edges: Column) -> Column:
@@ -143,10 +142,9 @@ def _best(word: Column, edges: Column, unknown: float) -> Column:
     return F.get(F.transform(F.array(table), walk), F.lit(0))
 
 
-def segmented(words_: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFrame:
-    """word and its ids, for each distinct word. A character that is no piece becomes its bytes' ids, or the unknown id."""
-    distinct = words_.select("word").distinct()
-    found = distinct.join(lattice(distinct, pieces), "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<start:int,stop:int,id:int,score:double>>")))
+def segmented(words_: DataFrame, pieces: Pieces, fold: str = "merge", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, word and its ids, for each distinct word of a key. A character that is no piece becomes its bytes' ids, or the unknown id."""
+    found = lattice(words_.select(*keys, "word").distinct(), pieces, list(keys))
     place = lambda e: e["start"].cast("long") * (1 << 32) + e["stop"]
     least = min(s for _, _, s in pieces.usable) - 10.0
     path = _merged(F.col("word"), F.col("edges")) if fold == "merge" else _best(F.col("word"), F.col("edges"), least)
@@ -159,10 +157,10 @@ def segmented(words_: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFra
         digits = F.hex(F.encode(F.substring(F.col("word"), t["start"] + 1, F.lit(1)), "utf-8"))
         return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int")))
 
-    found = found.select("word", path.alias("path"), known.alias("known"))
+    found = found.select(*keys, "word", path.alias("path"), known.alias("known"))
     one = lambda t: F.try_element_at(F.col("known"), place(t))
     ids = F.flatten(F.transform("path", lambda t: F.when(one(t).isNotNull(), F.array(one(t))).otherwise(other(t))))
-    return found.select("word", ids.alias("ids"))
+    return found.select(*keys, "word", ids.alias("ids"))
 
 
 def encode(docs: DataFrame, pieces: Pieces, fold: str = "merge", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,13 +169,16 @@ def encode(docs: DataFrame, pieces: Pieces, fold: str = "merge", id_col: str = "
     A null or empty text has no ids. Ids are expected to be spread over their range, as a block is one. Repeated rows give repeated results; an empty table gives an empty one; other
     columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col), pieces.prefix).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bounds = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
     low, spread = bounds["low"] or 0, (bounds["high"] or 0) - (bounds["low"] or 0) + 1
     width = max(1, -(-spread * BLOCK // max(1, bounds["n"])))
-    rows = rows.withColumn("block", F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1)))
-    asked = stored(rows.select("block", F.explode(words(F.col("text"), pieces)).alias("word")).distinct(), "words")
-    answers = asked.join(segmented(asked, pieces, fold), "word")
+    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1))
+    # one exchange by block: words, lattices and documents of a block stay where it is
+    rows = rows.withColumn("block", block).repartition(max(1, -(-bounds["n"] // BLOCK)) * 3, "block")
+    asked = rows.select("block", F.explode(words(normalised(F.col("text"), pieces.prefix), pieces)).alias("word"))
+    answers = segmented(asked, pieces, fold, ("block",))
+    before = " " if pieces.prefix else ""
     pattern = re.compile(word_pattern(pieces))
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -187,13 +188,15 @@ def encode(docs: DataFrame, pieces: Pieces, fold: str = "merge", id_col: str = "
         values = np.asarray(held.values, np.int32)
         out = []
         for text in left.column("text").to_pylist():
+            text = (before + text).replace(" ", SPACE) if text else ""
             at = np.fromiter(map(index.__getitem__, pattern.findall(text)), np.int64)
             size = ends[at + 1] - ends[at]
             place = np.cumsum(size) - size
             out.append(values[np.arange(int(size.sum())) + np.repeat(ends[at] - place, size)])
         return pa.table([left.column("doc_id"), pa.array([len(x) for x in out], pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
 
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens int, ids array<int>")
+    left = rows.select("doc_id", "text", F.col("block").alias("own_block"))
+    return left.groupBy("own_block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens int, ids array<int>")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
