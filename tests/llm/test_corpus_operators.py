@@ -262,3 +262,12 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in last} == {r["doc_id"] for r in third.collect()}
     assert sum(r["length"] for r in last) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) + 1 for r in third.collect())
     assert corpus_pipeline.run(spark, SF).count() == len(last)
+
+
+def test_dedup_stage_keeps_every_text_of_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a + " end"), (5, b), (5, b), (7, c), (7, b + " end"), (8, None), (8, ""), (None, a)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert got.columns == ["doc_id", "text"]
+    wanted = [(1, a), (5, b), (7, c), (8, None), (8, ""), (None, a)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)
