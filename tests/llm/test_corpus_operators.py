@@ -271,3 +271,32 @@ def test_dedup_stage_keeps_every_text_of_an_id(spark):
     assert got.columns == ["doc_id", "text"]
     wanted = [(1, a), (5, b), (7, c), (8, None), (8, ""), (None, a)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)
+
+
+def test_language_stage_rejects_only_texts_without_letters(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(LANGS[x := rng.choice(list(LANGS))], k=40)), x) for i in range(300)]
+    short = [(900, "Re.", None), (901, "A.", None), (902, "In. The.", None), (903, "ü", None), (904, "漢字漢字漢字", None), (905, "i d o l a", None), (906, "мир", None)]
+    out = [(950, None, "aa"), (951, "", "aa"), (952, "12 34!", "aa"), (953, " \n", None)]
+    df = spark.createDataFrame(rows + short + out, "doc_id long, text string, lang string")
+    got = corpus_pipeline.keep_known_languages(spark, df, SF)
+    assert {r["doc_id"] for r in df.collect()} - {r["doc_id"] for r in got.collect()} == {950, 951, 952, 953}
+    assert got.columns == df.columns and got.count() == len(rows) + len(short)
+    said = {r["doc_id"]: r for r in language_id.identify(df).collect()}
+    assert all(said[i]["score"] > 0 for i in (900, 901, 902, 903, 905, 906)) and (said[903]["lang_pred"], said[906]["lang_pred"]) == ("bb", "cc")
+
+
+def test_language_stage_names_every_rejected_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wanted = {r["doc_id"] for r in docs.collect() if not any(c.isalpha() for c in r["text"] or "")}
+    got = {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, docs, SF).collect()}
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} - got == wanted
+
+
+def test_language_id_of_more_languages_than_a_word_has_bits(spark):
+    rng = random.Random(4)
+    words = {f"l{k:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for k in range(150)}
+    rows = [(k * 4 + j, " ".join(rng.choices(w, k=40)), x) for k, (x, w) in enumerate(words.items()) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, language_id.fit(df)).collect()}
+    assert got == {i: x for i, _, x in rows}
