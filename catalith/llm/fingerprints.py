@@ -2,9 +2,9 @@
 
 A window of K tokens is a closed syncmer if the least hash among its K - S + 1 inner windows of S tokens is the first or
 the last of them. That depends on the window alone, never on its neighbours, so equal passages choose equal anchors
-wherever they stand. The fingerprint holds the KEEP least hashes of a text's distinct anchors (a bottom-k sketch: all of
-them for texts of up to about KEEP * 2 tokens), and the likeness of two fingerprints is the share of the KEEP least of
-their union that both hold, an unbiased estimate of the Jaccard similarity of their anchor sets.
+wherever they stand. The fingerprint holds every anchor of a text with its place, in the order of the places, however
+long the text is. Two fingerprints are aligned by the distances of their anchors: an anchor is common to both if it has
+the same hash and stands as far behind the anchor before it. The likeness is the Jaccard similarity of these sets.
 
 Tokens are words (longer ones than WORD code points are cut); texts of up to SHORT code points have a second sketch over
 single code points, as a few words say little. Two texts that both have the second sketch are compared by it.
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from catalith.llm.common import stored
 
 K, S = 5, 2
-KEEP = 128
 WORD, SHORT = 32, 256
 #: Rows that stand in one window when the next document is looked up, and such windows in one window of the second level.
 RUN, RUNS = 1024, 4096
@@ -30,7 +29,7 @@ def _let(value: Column, use) -> Column:
 
 
 def _anchors(tokens: Column) -> Column:
-    """The KEEP least hashes of the distinct closed syncmers of an array of tokens, ascending."""
+    """Hash `h` and place `at` of each closed syncmer of an array of tokens, by place."""
     inner = lambda h: F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
 
     def chosen(m: Column) -> Column:
@@ -39,14 +38,13 @@ def _anchors(tokens: Column) -> Column:
 
         def anchor(a: Column, i: Column) -> Column:
             edge, middle = F.least(a, F.get(m, i + (K - S))), F.least(*[F.get(m, i + j) for j in range(1, K - S)])
-            return F.when(edge <= middle, F.xxhash64(a, F.get(m, i + S), F.get(m, i + (K - S))))
+            return F.when(edge <= middle, F.struct(F.xxhash64(a, F.get(m, i + S), F.get(m, i + (K - S))).alias("h"), i.alias("at")))
 
         return F.filter(F.transform(first, anchor), lambda x: x.isNotNull())
 
-    few = F.array(F.xxhash64(F.array_join(tokens, "\u0000"), F.size(tokens)))
+    few = F.array(F.struct(F.xxhash64(F.array_join(tokens, "\u0000"), F.size(tokens)).alias("h"), F.lit(0).alias("at")))
     full = _let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: _let(inner(h), chosen))
-    some = F.when(F.size(tokens) == 0, F.array().cast("array<bigint>")).when(F.size(tokens) < K, few).otherwise(full)
-    return F.slice(F.array_sort(F.array_distinct(some)), 1, KEEP)
+    return F.when(F.size(tokens) == 0, F.array().cast("array<struct<h: bigint, at: int>>")).when(F.size(tokens) < K, few).otherwise(full)
 
 
 def sketch(text: Column) -> Column:
@@ -59,24 +57,26 @@ def sketch(text: Column) -> Column:
 
 
 def as_text(s: Column) -> Column:
-    """The fingerprint as text: 16 hexadecimal digits an anchor, `w:` words, `c:` code points."""
-    digits = lambda x: F.array_join(F.transform(x, lambda v: F.lpad(F.lower(F.hex(v)), 16, "0")), "")
+    """The fingerprint as text: for each anchor 16 hexadecimal digits of its hash and 8 of its place, `w:` words, `c:` code points."""
+    digits = lambda x: F.array_join(F.transform(x, lambda v: F.lower(F.concat(F.lpad(F.hex(v["h"]), 16, "0"), F.lpad(F.hex(v["at"]), 8, "0")))), "")
     return F.concat(F.lit("w:"), digits(s["w"]), F.when(s["c"].isNotNull(), F.concat(F.lit(" c:"), digits(s["c"]))).otherwise(""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the share of the least hashes of both that are in both; 1 if both are empty, null if either is null."""
+    """0 to 1: the share of the aligned anchors of both that are in both; 1 if both are empty, null if either is null."""
+
+    def aligned(x: Column) -> Column:
+        return F.array_distinct(F.transform(x, lambda v, i: F.xxhash64(v["h"], v["at"] - F.get(x, i - 1)["at"])))
 
     def share(x: Column, y: Column) -> Column:
-        least = F.slice(F.array_sort(F.array_union(x, y)), 1, KEEP)
-        both = F.array_intersect(x, y)
-        return F.when(F.size(x) + F.size(y) == 0, F.lit(1.0)).otherwise(_let(least, lambda u: F.size(F.array_intersect(u, both)) / F.size(u)))
+        common = lambda u, v: _let(F.size(F.array_intersect(u, v)), lambda n: n / (F.size(u) + F.size(v) - n))
+        return F.when(F.size(x) + F.size(y) == 0, F.lit(1.0)).otherwise(_let(aligned(x), lambda u: _let(aligned(y), lambda v: common(u, v))))
 
     return F.when(a["c"].isNotNull() & b["c"].isNotNull(), share(a["c"], b["c"])).otherwise(share(a["w"], b["w"]))
 
 
-def with_next(docs: DataFrame, derive) -> DataFrame:
-    """derive(docs) with `next`, a struct of all its columns in the following row by (doc_id, tie); after the last row, the first.
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs with `next`, a struct of all its columns in the following row by (doc_id, tie); after the last row, the first.
 
     docs has doc_id, text and tie. No single window holds all rows: ids are cut into runs of about RUN rows, and the
     first row of each run, found by an aggregate, is also put behind the last row of the run before. So one exchange by
@@ -96,7 +96,7 @@ def with_next(docs: DataFrame, derive) -> DataFrame:
     inside = F.lag("_run").over(Window.partitionBy("_part").orderBy("_run"))
     back = runs.withColumn("_then", inside).join(parts, "_part").select("_run", F.coalesce("_then", "_before", F.lit(last)).alias("_to"))
     sent = firsts.join(back, "_run").select("first.*", F.col("_to").alias("_run"), F.lit(1).alias("_sent"))
-    every = derive(rows.withColumn("_sent", F.lit(0)).unionByName(sent))
+    every = rows.withColumn("_sent", F.lit(0)).unionByName(sent)
     columns = [c for c in every.columns if c not in ("_run", "_sent")]
     order = Window.partitionBy("_run").orderBy("_sent", F.col("doc_id").asc_nulls_first(), "tie")
     return every.withColumn("next", F.lead(F.struct(*columns)).over(order)).filter("_sent = 0").drop("_run", "_sent")
@@ -122,9 +122,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
-    both = with_next(rows, lambda df: df.withColumn("sketch", sketch(F.col("text")))).withColumn("n_chars", F.length("text").cast("long"))
+    # sketches are made behind the exchange, which then carries the texts alone; a text is sketched again as the next one
+    both = with_next(rows).withColumns({"n_chars": F.length("text").cast("long"), "sketch": sketch(F.col("text")), "after": sketch(F.col("next.text"))})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next.text"), F.lit(1), half))
-    out = both.select("doc_id", "n_chars", "sketch", F.col("next.sketch").alias("after"), edited.alias("edited"))
+    out = both.select("doc_id", "n_chars", "sketch", "after", edited.alias("edited"))
     out = out.select("doc_id", "n_chars", "sketch", "after", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited")).alias("changed"))
     return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("changed")).alias("near_edited"), likeness(F.col("sketch"), F.col("after")).alias("near_next"))

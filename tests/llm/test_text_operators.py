@@ -220,3 +220,18 @@ def test_viterbi_fold_against_brute_force(spark, pieces):
 def test_pieces_of_no_rows(spark, pieces):
     assert sentence_pieces.encode(table(spark, []), pieces).count() == 0
     assert sentence_pieces.encode(table(spark, [(1, "a"), (1, "a"), (None, None)]), pieces).count() == 3
+
+
+def test_fingerprints_keep_every_anchor_with_its_place(spark):
+    r = random.Random(6)
+    words = [f"w{r.randrange(10**6)}" for _ in range(20_000)]
+    passage = [f"p{r.randrange(10**6)}" for _ in range(60)]
+    a, b, c = words, words[:9000] + passage + words[9000:], [f"q{i}" for i in range(8000)] + passage
+    got = [x["sketch"]["w"] for x in fingerprints.fingerprints(table(spark, [(i, " ".join(t)) for i, t in enumerate((a, b, c))])).orderBy("doc_id").collect()]
+    assert all([x["at"] for x in s] == sorted({x["at"] for x in s}) for s in got) and len(got[0]) > 8000
+    hashes = [{x["h"] for x in s} for s in got]
+    assert len(hashes[1] - hashes[0]) > 15 and len(hashes[1] & hashes[2]) > 15
+    places = {x["h"]: x["at"] for x in got[0]}
+    assert all(x["at"] == places[x["h"]] for x in got[1] if x["at"] < 8990) and all(x["at"] == places[x["h"]] + 60 for x in got[1] if x["at"] > 9070)
+    near = {x["doc_id"]: x["near_next"] for x in fingerprints.edited_fingerprints(table(spark, [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))])).collect()}
+    assert 0.99 < near[1] < 1 and 0 < near[2] < 0.01
