@@ -46,8 +46,8 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text's token ids, written as coded blocks and read back."""
-    return token_output.round_trip(table(spark, sf_dir, "documents"), token_output.default_tokenizer())
+    """Every text's token ids as by the unchanged tokenizer, written as coded blocks and read back."""
+    return token_output.round_trip(table(spark, sf_dir, "documents"), token_output.default_tokenizer(), added=True)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,13 +158,18 @@ class Encoder:
     Its pattern cuts before every blank that follows or precedes a visible character, so what stands between such blanks
     can be encoded alone: once, and remembered by a 64-bit hash. New pieces are encoded many at a time, one after the
     other in one string, and told apart by the bytes of their tokens.
+
+    Where the text holds an added token as `<|endoftext|>`, it is plain text by default; with `added` it becomes that
+    token, as by the library's own default. Such texts are encoded whole, one by one, by the unchanged tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()] if added else []
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = np.uint16 if max(vocab.values()) < 65_536 else np.uint32
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -216,6 +221,18 @@ class Encoder:
         """The ids of each text with the end id."""
         if len(self.keys) > MEMORY:
             self.reset()
+        if self.added:
+            texts = texts.cast(pa.string()).fill_null("")
+            whole = np.any([pa.compute.match_substring(texts, t).to_numpy(zero_copy_only=False) for t in self.added], axis=0)
+            if whole.any():
+                out = self._encode(pa.compute.if_else(pa.array(whole), "", texts))
+                at = np.flatnonzero(whole)
+                for i, e in zip(at, self.plain.encode_batch_fast(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False), strict=True):
+                    out[i] = np.array([*e.ids, END], self.kind)
+                return out
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         data, offsets = flat_text(texts)
         first = offsets[:-1][np.diff(offsets) > 0]
         blank = np.flatnonzero(data == 32)
@@ -247,19 +264,19 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """The worker's own encoder, which remembers pieces from one task to the next."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
 RECORD = "shard long, block long, n_docs long, n_tokens long, head binary, body binary"
 
 
-def write_blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
+def write_blocks(docs: DataFrame, tokenizer: str, added: bool = False) -> DataFrame:
     """Tokenises docs (doc_id, text; null: empty) in ascending doc_id (equal ids by text) and gives the table of records."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, shard = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
+        encode, part, shard = encoder(tokenizer, added).encode, TaskContext.get().partitionId(), 0
         held_ids: list[int] = []
         held: list[np.ndarray] = []
         size = 0
@@ -320,14 +337,14 @@ def read_blocks(records: DataFrame) -> DataFrame:
     return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, added: bool = False) -> DataFrame:
     """Writes the records to the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32.
 
     A null text counts as empty and has the end id alone. Rows with a null doc_id have no place in the order and are
     left out. Repeated rows are written each time. An empty table gives an empty result.
     """
     shared_dir(docs.sparkSession)
-    back = read_blocks(stored(write_blocks(docs, tokenizer), "tokens"))
+    back = read_blocks(stored(write_blocks(docs, tokenizer, added), "tokens"))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

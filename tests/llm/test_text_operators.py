@@ -235,3 +235,19 @@ def test_fingerprints_keep_every_anchor_with_its_place(spark):
     assert all(x["at"] == places[x["h"]] for x in got[1] if x["at"] < 8990) and all(x["at"] == places[x["h"]] + 60 for x in got[1] if x["at"] > 9070)
     near = {x["doc_id"]: x["near_next"] for x in fingerprints.edited_fingerprints(table(spark, [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))])).collect()}
     assert 0.99 < near[1] < 1 and 0 < near[2] < 0.01
+
+
+def test_token_output_query_equals_the_unchanged_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok, r = Tokenizer.from_file(token_output.default_tokenizer()), random.Random(5)
+    assert tok.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    parts = ["a", "B", " ", "  ", "\n", "é", "'s", "漢", "<|endoftext|>", "<|endoftext", "|>"]
+    rows = ODD + [(20, "a <|endoftext|> b"), (21, "<|endoftext|>")] + [(100 + i, "".join(r.choice(parts) for _ in range(r.randrange(12)))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.op8_token_output(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, t in sorted(rows):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
