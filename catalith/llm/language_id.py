@@ -59,11 +59,10 @@ class Filters:
             found = [(docs, grams)] + [(short[d], g) for d, g in (_grams(padded, size) for size in range(1, N))]
             docs, grams = (np.concatenate(x) for x in zip(*found, strict=True))
         total = np.bincount(docs, minlength=len(texts))
-        places = list(_places(grams))
         corrected = np.zeros((len(texts), max(1, len(self.languages))))
         for word, slots in enumerate(self.slots):
             mask = np.full(len(grams), _U(2**64 - 1))
-            for place in places:
+            for place in _places(grams):
                 mask &= slots[place]
             for bit, wrong in enumerate(self.false_positive[word * WORD : (word + 1) * WORD]):
                 hits = np.bincount(docs[(mask >> _U(bit)) & _U(1) == 1], minlength=len(texts))
@@ -101,14 +100,14 @@ def _places(grams: np.ndarray) -> Iterator[np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         langs = batch.column("lang").to_pylist()
-        found = [_grams(batch.column("text"), size) for size in range(1, N + 1)]
-        docs, grams = (np.concatenate(x) for x in zip(*found, strict=True))
         names = sorted(set(langs))
         code = np.array([names.index(x) for x in langs])
-        for k, name in enumerate(names):
-            values, counts = np.unique(grams[code[docs] == k], return_counts=True)
-            if len(values):
-                yield pa.record_batch([pa.array([name] * len(values)), pa.array(values.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+        for size in range(1, N + 1):
+            docs, grams = _grams(batch.column("text"), size)
+            for k, name in enumerate(names):
+                values, counts = np.unique(grams[code[docs] == k], return_counts=True)
+                if len(values):
+                    yield pa.record_batch([pa.array([name] * len(values)), pa.array(values.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
 
 def fit(rows: DataFrame, train: int = TRAIN) -> Filters:
