@@ -93,6 +93,46 @@ def test_sketch_estimates_similarity():
     assert (one != near_dedup._NONE).all()
 
 
+def set_rows(spark, sets):
+    return spark.createDataFrame([(i, c, k, sorted(s)) for i, (c, k, s) in sets.items()], "id long, component long, cluster long, words array<long>")
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_open_pairs_join_all_that_links_join(spark, threshold):
+    rng = random.Random(threshold)
+    base = [{rng.randrange(10**6) for _ in range(rng.choice([1, 3, 20, 60]))} for _ in range(9)]
+    sets = {}
+    for i in range(240):
+        s = set(base[i % 9])
+        for _ in range(rng.randrange(1 + len(s) // 6)):
+            s.discard(rng.choice(sorted(s))) if rng.random() < 0.5 and len(s) > 1 else s.add(rng.randrange(10**6))
+        sets[i] = (i, rng.choice([i % 9, i % 9, 100 + i % 5, 1000 + i]), s)
+    link = {(a, b) for a, (*_, x) in sets.items() for b, (*_, y) in sets.items() if a < b and 100 * len(x & y) >= threshold * len(x | y)}
+    got = [(min(r), max(r)) for r in near_dedup._open_pairs(set_rows(spark, sets), threshold).collect()]
+    assert len(got) == len(set(got)) and len(link) > 300
+
+    def parts(edges):
+        root = {i: i for i in sets}
+        for a, b in sorted(edges):
+            x, y = root[a], root[b]
+            root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+        return root
+
+    assert parts(link) == parts(link & set(got))
+
+
+@pytest.mark.parametrize("n", [200, 400])
+def test_form_letters_just_below_the_threshold_are_not_paired(spark, n):
+    sets = {i: (i, i % 3, set(range(86)) | {1000 + 10 * i + j for j in range(10)}) for i in range(n)}  # similarity 0.81 of every two
+    sets |= {10_000 + i: (10_000 + i, i % 2, sets[i][2] | {-i - 1}) for i in range(5)}
+    got = {(min(r), max(r)) for r in near_dedup._open_pairs(set_rows(spark, sets), 85).collect()}
+    assert got == {(i, 10_000 + i) for i in range(5)}
+
+
+def test_banding_keeps_the_chance_of_a_miss():
+    assert near_dedup.banding(85) == (48, 8) and near_dedup.banding(80) == (54, 7)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -257,7 +297,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert second.columns == columns and second.count() > 0.95 * len(clean)
     third = corpus_pipeline.STAGES[2][1](spark, second, SF)
     rows = [(r["doc_id"], r["text"]) for r in second.collect()]
-    assert third.columns == columns and {r["doc_id"] for r in third.collect()} == {c for _, c in brute_components(rows).values()}
+    assert third.columns == columns and {r["doc_id"] for r in third.collect()} == {c for _, c in brute_components(rows, 80).values()}
     last = corpus_pipeline.STAGES[3][1](spark, third, SF).collect()
     assert {r["doc_id"] for r in last} == {r["doc_id"] for r in third.collect()}
     assert sum(r["length"] for r in last) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) + 1 for r in third.collect())
