@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Most bytes of text and most rows that a task turns into numpy arrays at a time.
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 2048
@@ -39,6 +41,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def runs(docs: DataFrame, per_run: int, most: int = 512) -> Column:
+    """Column: a number that cuts docs (doc_id long, tie long) into runs of about per_run rows and never falls in ascending (doc_id, tie).
+
+    At most `most` quantiles of the ids, which an aggregate finds, are the borders; between two of them ids are cut evenly. So
+    ids may have any values and gaps, and no run has many more rows than a `most`-th of the table unless these are equal
+    in id and tie. Null ids come first. Rows of a border's own id, which may be many, and null ids are cut by tie.
+    """
+    at = [k / most for k in range(most)]
+    found = docs.agg(F.count("doc_id").alias("n"), F.count("*").alias("all"), F.max("doc_id").alias("last"), F.percentile_approx("doc_id", at, 20_000).alias("knots")).first()
+    n = found["n"]
+    blank = F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * (k := max(1, (found["all"] - n) // per_run))), F.lit(k - 1)) - k
+    if not n:
+        return blank
+    count = min(most, max(1, n // per_run))
+    times = Counter(found["knots"][k * most // count] for k in range(count))
+    parts = max(1, n // count // per_run)
+    # a border that is several quantiles at once has that many runs for its own rows, cut by tie; then come the ids up to the next border
+    own = [t * parts if t > 1 else 0 for _, t in sorted(times.items())]
+    base = [sum(own[:k]) + k * parts for k in range(len(own))]
+    knots = F.lit(sorted(times))
+    place = F.aggregate(F.lit([1 << k for k in range(most.bit_length(), -1, -1)]), F.lit(-1), lambda at, step: F.when(F.get(knots, at + step) <= F.col("doc_id"), at + step).otherwise(at))
+    low, high = F.get(knots, place).cast("double"), F.coalesce(F.get(knots, place + 1), F.lit(found["last"])).cast("double")
+    cut = lambda share, into: F.least(F.greatest(F.floor(share * into), F.lit(0)), into - 1)
+    mine = F.get(F.lit(own), place)
+    same = (F.col("doc_id") == F.get(knots, place)) & (mine > 0)
+    share = F.coalesce((F.col("doc_id").cast("double") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    inside = F.when(same, cut(F.col("tie") / 2.0**64 + 0.5, mine)).otherwise(mine + cut(share, F.lit(parts)))
+    return F.when(F.col("doc_id").isNull(), blank).otherwise(F.get(F.lit(base), place) + inside).cast("long")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most SLICE_ROWS rows and about SLICE_BYTES of `column` (a longer text is alone)."""
     for batch in batches:

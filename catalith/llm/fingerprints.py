@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.common import stored
+from catalith.llm.common import runs, stored
 
 K, S = 5, 2
 WORD, SHORT = 32, 256
@@ -78,23 +78,19 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """docs with `next`, a struct of all its columns in the following row by (doc_id, tie); after the last row, the first.
 
-    docs has doc_id, text and tie. No single window holds all rows: ids are cut into runs of about RUN rows, and the
-    first row of each run, found by an aggregate, is also put behind the last row of the run before. So one exchange by
-    run brings every row and its successor together. The run before is found in windows of RUNS runs, whose own order
-    has few enough rows to sort.
+    docs has doc_id, text and tie. Rows are cut into runs of about RUN rows (see runs()), and the first row of each run,
+    found by an aggregate, is also put behind the last row of the run before. So one exchange by run brings every row and
+    its successor together, whatever the ids are. The run before is found in windows of RUNS runs, whose own order has a
+    row for each RUN * RUNS rows, few enough to sort in one task.
     """
-    bounds = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
-    low, spread = bounds["low"] or 0, (bounds["high"] or 0) - (bounds["low"] or 0) + 1
-    width = max(1, -(-spread * RUN // max(1, bounds["n"])))
-    run = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"))
-    rows = docs.withColumn("_run", run)
+    rows = docs.withColumn("_run", runs(docs, RUN))
     firsts = stored(rows.groupBy("_run").agg(F.min_by(F.struct("doc_id", "text", "tie"), F.struct("doc_id", "tie")).alias("first")), "firsts")
-    runs = firsts.select("_run", F.floor(F.col("_run") / RUNS).alias("_part"))
-    parts = runs.groupBy("_part").agg(F.max("_run").alias("_high"))
+    numbers = firsts.select("_run", F.floor(F.col("_run") / RUNS).alias("_part"))
+    parts = numbers.groupBy("_part").agg(F.max("_run").alias("_high"))
     parts = parts.select("_part", F.lag("_high").over(Window.orderBy("_part")).alias("_before"))
-    last = runs.agg(F.max("_run")).first()[0]
+    last = numbers.agg(F.max("_run")).first()[0]
     inside = F.lag("_run").over(Window.partitionBy("_part").orderBy("_run"))
-    back = runs.withColumn("_then", inside).join(parts, "_part").select("_run", F.coalesce("_then", "_before", F.lit(last)).alias("_to"))
+    back = numbers.withColumn("_then", inside).join(parts, "_part").select("_run", F.coalesce("_then", "_before", F.lit(last)).alias("_to"))
     sent = firsts.join(back, "_run").select("first.*", F.col("_to").alias("_run"), F.lit(1).alias("_sent"))
     every = rows.withColumn("_sent", F.lit(0)).unionByName(sent)
     columns = [c for c in every.columns if c not in ("_run", "_sent")]

@@ -251,3 +251,50 @@ def test_token_output_query_equals_the_unchanged_library(spark, tmp_path):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += len(ids)
+
+
+def plain_sketch(text):
+    """Anchors of a text's words by the definition: windows of K whose least inner hash is at an edge, as (place, words)."""
+    words = [w[i : i + fingerprints.WORD] for w in text.split() for i in range(0, len(w), fingerprints.WORD)]
+    return words, [(i, tuple(words[i : i + fingerprints.K])) for i in range(len(words) - fingerprints.K + 1)]
+
+
+def test_fingerprints_against_plain_closed_syncmers(spark):
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(40)}" for _ in range(n)) for n in (4, 5, 9, 60, 300)] + ["y" * 90 + " a b c d e"]
+    got = {x["doc_id"]: x["sketch"]["w"] for x in fingerprints.fingerprints(table(spark, list(enumerate(texts)))).collect()}
+    hashed = {}
+    for w in {w for t in texts for w in plain_sketch(t)[0]}:
+        hashed[w] = None
+    rows = spark.createDataFrame([(w,) for w in hashed], "w string").select("w", F.xxhash64("w")).collect()
+    hashed = dict(map(tuple, rows))
+    pairs = {(a, b) for t in texts for a, b in zip(plain_sketch(t)[0], plain_sketch(t)[0][1:], strict=False)}
+    inner = {(a, b): h for a, b, h in spark.createDataFrame([(a, b, hashed[a], hashed[b]) for a, b in pairs], "a string, b string, x long, y long").select("a", "b", F.xxhash64("x", "y")).collect()}
+    for i, t in enumerate(texts):
+        words, windows = plain_sketch(t)
+        if len(words) < fingerprints.K:
+            assert [x["at"] for x in got[i]] == [0]
+            continue
+        wanted = []
+        for at, w in windows:
+            m = [inner[p] for p in zip(w, w[1:], strict=False)]
+            if min(m[0], m[-1]) <= min(m):
+                wanted.append(at)
+        assert [x["at"] for x in got[i]] == wanted
+
+
+def test_next_document_for_any_ids(spark):
+    """Ids at both ends of 64 bits, an outlier far from a dense range, one id many times, null ids: the next row and no great run."""
+    from catalith.llm import common
+
+    r = random.Random(1)
+    ids = [-(2**63), -(2**62) - 5, 3, 2**62 + 5, 2**63 - 1, 10**15, *range(100_000, 106_000), *[77] * 3000, *[None] * 2500]
+    rows = [(i, f"t{r.randrange(10**9)}") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    got = fingerprints.with_next(docs).select("doc_id", "tie", "next.doc_id", "next.tie").collect()
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    order = sorted((tuple(x[:2]) for x in got), key=key)
+    assert len(got) == len(rows) and {(tuple(x[:2]), tuple(x[2:])) for x in got} == set(zip(order, order[1:] + order[:1], strict=True))
+    sizes = [x["count"] for x in docs.groupBy(common.runs(docs, 500)).count().collect()]
+    assert max(sizes) < 2000 and len(sizes) > 8
+    assert docs.limit(0).groupBy(common.runs(docs.limit(0), 500)).count().count() == 0
