@@ -1,33 +1,45 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-Texts are cut into words, which no piece crosses. Distinct words are exploded into their substrings of at most the
-longest piece's length, an equi-join with the piece table keeps those that are pieces, and the edges found are grouped by word
-into its lattice. A higher-order aggregate folds each lattice into the word's segmentation:
+Texts are cut into words wherever no piece can go on: between two characters that stand next to each other in no piece.
+Distinct words are exploded into their substrings of at most the longest piece's length, an equi-join with the piece
+table keeps those that are pieces, and the edges found are grouped by word into its lattice. A higher-order aggregate, Viterbi's
+algorithm, folds each lattice into the word's best path: for every place it keeps the best cost of a path up to it and that path's last edge.
 
-* `viterbi` takes the edges by their end and keeps, for every place, the best sum of scores and its last edge: the right
-  result for unigram models.
-* `merge` takes the edges by falling score and joins two neighbouring tokens whenever together they are the edge. For
-  models of byte-pair encoding that is the library's own result: there a piece's score is the rank at which it is
-  merged, and a piece is built from two of better rank, so that no merge makes one of better rank possible. The public model
-  is of this kind; its scores are no log-probabilities, and the path of the best sum is another one for many words.
+Costs are of two kinds:
+
+* `score`, for unigram models: the sum of the pieces' scores, negated.
+* `rank`, for models of byte-pair encoding, whose scores are the ranks at which pieces are merged. A path's cost is the ascending list
+  of the merges inside its pieces, each as rank and place; the least list wins, a longer one before its own beginning.
+  Byte-pair encoding always takes the merge of best rank, the leftmost of equal ones, so its own list is the least of all:
+  where another path's list first differs, that path lacks a merge that was to be had at this point. What follows a
+  place adds the same merges to every path up to it, which keeps their order, so the best path up to each place is all that
+  Viterbi's algorithm must keep. The result is the library's own; the public model is of this kind.
+
+The lists grow with the word, so words of over LONG characters are folded by taking the edges in order of rank instead, which is the same result
+with one number for a place.
 
 Words go to documents again by block: documents of neighbouring ids are a block, and each block gets the segmentation of
-every word in it once, however often it occurs there. A block's words, lattices and documents stay in one partition.
+every word in it once, however often it occurs there.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalith.llm.common import runs, slices
+
 SPACE = "▁"
-#: Documents of a block, about.
-BLOCK = 8192
+#: Bytes of text of a block, about, and characters of a word up to which paths are held by their lists of merges.
+BLOCK, LONG = 16 << 20, 64
+#: Part of a cost that names the place of a merge, and what ends a list of merges.
+PLACE, LAST = 32, 2**63 - 1
 
 
 @dataclass(frozen=True)
@@ -44,8 +56,36 @@ class Pieces:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.usable)
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.usable, "piece string, id int, score double")
+    @cached_property
+    def single(self) -> np.ndarray:
+        """The id of every code point that is a piece, else -1."""
+        found = {ord(p): i for p, i, _ in self.usable if len(p) == 1}
+        out = np.full(max(found, default=0) + 1, -1, np.int32)
+        out[list(found)] = list(found.values())
+        return out
+
+    def merges(self) -> dict[str, list[int]]:
+        """For each piece of several characters that merging reaches: its merges as rank << PLACE | place, ascending."""
+        rank = {p: r for r, (p, *_) in enumerate(sorted(self.usable, key=lambda x: (-x[2], x[1])))}
+        found = {}
+        for p in rank:
+            edges = sorted((rank[p[a:b]], a, b) for a in range(len(p)) for b in range(a + 2, len(p) + 1) if p[a:b] in rank)
+            nxt, done = list(range(1, len(p) + 1)), []
+            for r, a, b in edges:
+                m = nxt[a]
+                if 0 < m < b and nxt[m] == b:
+                    nxt[a], nxt[m] = b, 0
+                    done.append(r << PLACE | a)
+            if len(p) > 1 and nxt[0] == len(p):
+                found[p] = done
+        return found
+
+    def table(self, spark: SparkSession, cost: str) -> DataFrame:
+        """piece, id, cost of the pieces of several characters."""
+        if cost == "score":
+            return spark.createDataFrame([(p, i, -s) for p, i, s in self.usable if len(p) > 1], "piece string, id int, cost double")
+        merges = self.merges()
+        return spark.createDataFrame([(p, i, merges[p]) for p, i, _ in self.usable if p in merges], "piece string, id int, cost array<long>")
 
 
 def load(path: str, prefix: bool = True) -> Pieces:
@@ -67,136 +107,162 @@ def normalised(text: Column, prefix: bool = True) -> Column:
     return F.translate(F.when(text == "", "").otherwise(F.concat(F.lit(" " if prefix else ""), text)), " ", SPACE)
 
 
-def word_pattern(pieces: Pieces) -> str:
-    """Regular expression of the words of a normalised text: a run of U+2581 with what follows it up to the next such run.
-
-    A character that is in no piece of several characters is a word of its own, as no piece goes over it.
-    """
-    inside = sorted({ord(c) for p, _, _ in pieces.usable if len(p) > 1 for c in p} - {ord(SPACE)})
-    if any(SPACE in p.lstrip(SPACE) for p, _, _ in pieces.usable):
-        raise ValueError("a piece goes on after a blank inside it; such models need another way to cut words")
-    ranges: list[list[int]] = []
-    for c in inside:
-        if ranges and ranges[-1][1] == c - 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
-    sign = lambda c: chr(c) if chr(c).isalnum() else "\\" + chr(c) if c < 128 else chr(c)
-    known = "".join(sign(lo) if lo == hi else f"{sign(lo)}-{sign(hi)}" for lo, hi in ranges)
-    return f"{SPACE}*[{known}]+|{SPACE}+|[^{known}{SPACE}]"
-
-
-def words(text: Column, pieces: Pieces) -> Column:
-    """Array of the words of a normalised text."""
-    return F.regexp_extract_all(text, F.lit(f"({word_pattern(pieces)})"), F.lit(1))
-
-
-def lattice(words_: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
-    """keys, word and its edges: an array of (start, stop, id, score), for each distinct word of a key."""
-    spark = words_.sparkSession
-    table = F.broadcast(pieces.table(spark))  # as many rows as the model's vocabulary
+class Cutter:
+    """Cuts normalised texts into words."""
+
+    def __init__(self, pieces: Pieces):
+        pairs = {(ord(a), ord(b)) for p, *_ in pieces.usable for a, b in zip(p, p[1:], strict=False)}
+        known = sorted({c for pair in pairs for c in pair})
+        self.number = np.zeros(max(known, default=0) + 2, np.int32)
+        self.number[known] = np.arange(1, len(known) + 1)
+        self.joined = np.zeros((len(known) + 1, len(known) + 1), bool)
+        for a, b in pairs:
+            self.joined[self.number[a], self.number[b]] = True
+        self.before = SPACE if pieces.prefix else ""
+
+    def words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        text = (self.before + text).replace(" ", SPACE)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.number[np.minimum(points, len(self.number) - 1)]
+        cuts = [0, *(np.flatnonzero(~self.joined[kind[:-1], kind[1:]]) + 1).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def lattice(words_: DataFrame, pieces: Pieces, cost: str = "rank") -> DataFrame:
+    """word and its edges, an array of (start, stop, id, cost), for each distinct word; edges of a single character are left out."""
+    table = F.broadcast(pieces.table(words_.sparkSession, cost))  # as many rows as the model's vocabulary
     n = F.length("word")
-    places = words_.select(*keys, "word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = places.select(*keys, "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))).alias("size"))
+    places = words_.select("word", F.explode(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array(F.lit(0)))).alias("start"))
+    spans = places.select("word", "start", F.explode(F.when(n > 1, F.sequence(F.lit(2), F.least(F.lit(max(2, pieces.longest)), n - F.col("start")))).otherwise(F.array(F.lit(1)))).alias("size"))
     spans = spans.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("size")))
-    edge = F.struct("start", (F.col("start") + F.col("size")).alias("stop"), "id", "score")
-    found = spans.join(table, "piece", "left").filter("id is not null or size = 1")  # a word without any piece keeps a row
-    return found.groupBy(*keys, "word").agg(F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
+    edge = F.struct("start", (F.col("start") + F.col("size")).alias("stop"), "id", "cost")
+    found = spans.join(table, "piece", "left").filter("id is not null or start = 0 and size <= 2")  # a word without any piece keeps a row
+    return found.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
 
 
-def _merged(word: Column, edges: Column) -> Column:
-    """Array of (start, stop): next[i] is where the token that starts at i stops, 0 if none starts there."""
+def _viterbi(word: Column, edges: Column, cost: str, unknown: float) -> Column:
+    """Array of (start, stop) of the path of least cost; under `score` a single character costs single(), see segmented()."""
     n = F.length(word)
-    start = F.transform(F.sequence(F.lit(1), n), lambda i: i)
-    ranked = F.array_sort(F.transform(F.filter(edges, lambda e: e["stop"] > e["start"] + 1), lambda e: F.struct((-e["score"]).alias("rank"), e["start"].alias("start"), e["stop"].alias("stop"))))
+    if cost == "rank":
+        zero = F.array(F.lit(LAST))
+        alone = lambda at, i: at  # noqa: E731  no merge is made
+        add = lambda at, e: F.array_sort(F.concat(at, F.transform(e["cost"], lambda c: c + e["start"])))
+    else:
+        zero = F.lit(0.0)
+        alone = lambda at, i: at + unknown
+        add = lambda at, e: at + e["cost"]
+    first = F.array(F.struct(zero.alias("cost"), F.lit(0).alias("back")))
 
-    def step(state: Column, e: Column) -> Column:
-        middle = F.get(state, e["start"])
-        fits = (middle > 0) & (middle < e["stop"]) & (F.get(state, middle) == e["stop"])
-        return F.when(fits, F.transform(state, lambda x, i: F.when(i == e["start"], e["stop"]).when(i == middle, 0).otherwise(x))).otherwise(state)
+    def step(state: Column, i: Column) -> Column:
+        held = lambda at: F.get(state, at)["cost"]
+        ends = F.transform(F.filter(edges, lambda e: e["stop"] == i), lambda e: F.struct(add(held(e["start"]), e).alias("cost"), e["start"].alias("back")))
+        return F.concat(state, F.array(F.array_min(F.concat(ends, F.array(F.struct(alone(held(i - 1), i).alias("cost"), (i - 1).alias("back")))))))
 
-    done = F.aggregate(ranked, start, step)
-    return F.filter(F.transform(done, lambda x, i: F.struct(i.alias("start"), x.alias("stop"))), lambda t: t["stop"] > 0)
+    back = F.transform(F.aggregate(F.sequence(F.lit(1), n), first, step), lambda x: x["back"])
 
+    def walk(back: Column) -> Column:
+        start = F.struct(n.alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("path"))
+        to = lambda s: F.get(back, s["at"])
+        return F.aggregate(F.sequence(F.lit(1), n), start, lambda s, _: F.when(s["at"] > 0, F.struct(to(s).alias("at"), F.concat(F.array(F.struct(to(s).alias("start"), s["at"].alias("stop"))), s["path"]).alias("path"))).otherwise(s))["path"]
 
-def _best(word: Column, edges: Column, unknown: float) -> Column:
-    """Array of (start, stop) of the path of the best sum; a character that is no piece costs `unknown`."""
-    n = F.length(word)
-    single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i + 1).alias("stop"), i.alias("start"), F.lit(unknown).alias("score")))
-    ordered = F.array_sort(F.concat(single, F.transform(edges, lambda e: F.struct(e["stop"].alias("stop"), e["start"].alias("start"), e["score"].alias("score")))))
-    empty = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == 0, 0.0).otherwise(float("-inf")).alias("score"), F.lit(0).alias("back")))
+    return F.get(F.transform(F.array(back), walk), F.lit(0))
 
-    def step(state: Column, e: Column) -> Column:
-        total = F.get(state, e["start"])["score"] + e["score"]
-        better = total > F.get(state, e["stop"])["score"]
-        return F.when(better, F.transform(state, lambda x, i: F.when(i == e["stop"], F.struct(total.alias("score"), e["start"].alias("back"))).otherwise(x))).otherwise(state)
-
-    table = F.aggregate(ordered, empty, step)
-
-    def walk(table: Column) -> Column:
-        first = F.struct(n.alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("path"))
-        back = lambda s: F.get(table, s["at"])["back"]
-        path = F.aggregate(F.sequence(F.lit(1), n), first, lambda s, _: F.when(s["at"] > 0, F.struct(back(s).alias("at"), F.concat(F.array(F.struct(back(s).alias("start"), s["at"].alias("stop"))), s["path"]).alias("path"))).otherwise(s))
-        return path["path"]
 
-    return F.get(F.transform(F.array(table), walk), F.lit(0))
-
-
-def segmented(words_: DataFrame, pieces: Pieces, fold: str = "merge", keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, word and its ids, for each distinct word of a key. A character that is no piece becomes its bytes' ids, or the unknown id."""
-    found = lattice(words_.select(*keys, "word").distinct(), pieces, list(keys))
-    place = lambda e: e["start"].cast("long") * (1 << 32) + e["stop"]
-    least = min(s for _, _, s in pieces.usable) - 10.0
-    path = _merged(F.col("word"), F.col("edges")) if fold == "merge" else _best(F.col("word"), F.col("edges"), least)
-    known = F.map_from_entries(F.transform("edges", lambda e: F.struct(place(e).alias("k"), e["id"].alias("id"))))
-    byte_ids = F.array(*[F.lit(b) for b in pieces.byte_ids]) if pieces.byte_ids else None
+def _merged(word: Column, edges: Column) -> Column:
+    """Array of (start, stop) by taking the edges in order of rank: next[i] is where the token that starts at i stops, 0 if none starts there."""
+    ranked = F.array_sort(F.transform(edges, lambda e: F.struct(F.shiftright(F.element_at(e["cost"], -1), PLACE).alias("rank"), e["start"].alias("start"), e["stop"].alias("stop"))))
 
-    def other(t: Column) -> Column:
-        if byte_ids is None:
-            return F.array(F.lit(pieces.unknown))
-        digits = F.hex(F.encode(F.substring(F.col("word"), t["start"] + 1, F.lit(1)), "utf-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int")))
+    def step(state: Column, e: Column) -> Column:
+        middle = F.get(state, e["start"])
+        fits = (middle > 0) & (middle < e["stop"]) & (F.get(state, middle) == e["stop"])
+        return F.when(fits, F.transform(state, lambda x, i: F.when(i == e["start"], e["stop"]).when(i == middle, 0).otherwise(x))).otherwise(state)
 
-    found = found.select(*keys, "word", path.alias("path"), known.alias("known"))
-    one = lambda t: F.try_element_at(F.col("known"), place(t))
-    ids = F.flatten(F.transform("path", lambda t: F.when(one(t).isNotNull(), F.array(one(t))).otherwise(other(t))))
-    return found.select(*keys, "word", ids.alias("ids"))
+    done = F.aggregate(ranked, F.sequence(F.lit(1), F.length(word)), step)
+    return F.filter(F.transform(done, lambda x, i: F.struct(i.alias("start"), x.alias("stop"))), lambda t: t["stop"] > 0)
 
 
-def encode(docs: DataFrame, pieces: Pieces, fold: str = "merge", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _tokens(words_: DataFrame, pieces: Pieces, cost: str, long: int = LONG) -> DataFrame:
+    """word, tokens for each distinct word: ids of pieces; a single character stands as -1 less its code point."""
+    word, edges = F.col("word"), F.col("edges")
+    unknown = 10.0 - min(s for _, _, s in pieces.usable)
+    path = _viterbi(word, edges, cost, unknown)
+    path = F.when(F.length(word) <= long, path).otherwise(_merged(word, edges)) if cost == "rank" else path
+    found = lattice(words_, pieces, cost).select("word", "edges", path.alias("path"))
+    known = lambda t: F.get(F.filter(edges, lambda e: (e["start"] == t["start"]) & (e["stop"] == t["stop"])), F.lit(0))["id"]
+    alone = lambda t: -1 - F.ascii(F.substring(word, t["start"] + 1, F.lit(1)))
+    return found.select("word", F.transform("path", lambda t: F.when(t["stop"] == t["start"] + 1, alone(t)).otherwise(known(t))).alias("tokens"))
+
+
+def _ids(pieces: Pieces, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and ends of the lists of tokens: characters become their piece, their bytes' pieces, or the unknown one."""
+    points = np.maximum(-1 - tokens, 0)
+    ids = np.where(tokens < 0, pieces.single[np.minimum(points, len(pieces.single) - 1)], tokens)
+    ids[(tokens < 0) & (points >= len(pieces.single))] = -1
+    lost = np.flatnonzero(ids < 0)
+    if not len(lost):
+        return ids, ends
+    as_bytes = [[pieces.byte_ids[b] for b in chr(points[i]).encode("utf-8", "replace")] if pieces.byte_ids else [pieces.unknown] for i in lost]
+    size = np.ones(len(ids), np.int64)
+    size[lost] = [len(x) for x in as_bytes]
+    out, at = np.repeat(ids, size), np.cumsum(size) - size
+    for i, x in zip(lost, as_bytes, strict=True):
+        out[at[i] : at[i] + len(x)] = x
+    return out, np.append(at, len(out))[ends]
+
+
+def segmented(words_: DataFrame, pieces: Pieces, fold: str = "rank") -> DataFrame:
+    """word and its ids, for each distinct word, by the path of least cost (fold: `rank`, or `score` alias `viterbi`). Null and empty words have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("tokens")
+            offsets = np.asarray(column.offsets, np.int64)
+            ids, ends = _ids(pieces, np.asarray(column.values, np.int32)[offsets[0] : offsets[-1]], offsets - offsets[0])
+            yield pa.record_batch([batch.column("word"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], ["word", "ids"])
+
+    asked = words_.select("word").filter("word <> ''").distinct()
+    return _tokens(asked, pieces, "score" if fold in ("score", "viterbi") else "rank").mapInArrow(run, "word string, ids array<int>")
+
+
+def encode(docs: DataFrame, pieces: Pieces, fold: str = "rank", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (array<int>) of every row of docs.
 
-    A null or empty text has no ids. Ids are expected to be spread over their range, as a block is one. Repeated rows give repeated results; an empty table gives an empty one; other
-    columns are ignored.
+    A null or empty text has no ids. Ids may have any values. Repeated rows give repeated results; an empty table gives
+    an empty one; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bounds = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    low, spread = bounds["low"] or 0, (bounds["high"] or 0) - (bounds["low"] or 0) + 1
-    width = max(1, -(-spread * BLOCK // max(1, bounds["n"])))
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1))
-    # one exchange by block: words, lattices and documents of a block stay where it is
-    rows = rows.withColumn("block", block).repartition(max(1, -(-bounds["n"] // BLOCK)) * 3, "block")
-    asked = rows.select("block", F.explode(words(normalised(F.col("text"), pieces.prefix), pieces)).alias("word"))
-    answers = segmented(asked, pieces, fold, ("block",))
-    before = " " if pieces.prefix else ""
-    pattern = re.compile(word_pattern(pieces))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
+    blocks = max(1, (size["bytes"] or 0) // BLOCK)
+    rows = rows.withColumn("block", runs(rows, max(1, size["n"] // blocks))).drop("tie")
+    cutter = Cutter(pieces)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found: dict[int, set[str]] = {}
+            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found.setdefault(block, set()).update(cutter.words(text))
+            for block, some in found.items():
+                yield pa.record_batch([pa.array([block] * len(some), pa.int64()), pa.array(list(some), pa.string())], ["block", "word"])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         index = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        held = right.column("ids").combine_chunks()
-        ends = np.asarray(held.offsets, np.int64)
-        values = np.asarray(held.values, np.int32)
+        held = right.column("tokens").combine_chunks()
+        offsets = np.asarray(held.offsets, np.int64) if len(index) else np.zeros(1, np.int64)
+        values, ends = _ids(pieces, np.asarray(held.values, np.int32)[offsets[0] : offsets[-1]], offsets - offsets[0])
         out = []
         for text in left.column("text").to_pylist():
-            text = (before + text).replace(" ", SPACE) if text else ""
-            at = np.fromiter(map(index.__getitem__, pattern.findall(text)), np.int64)
-            size = ends[at + 1] - ends[at]
-            place = np.cumsum(size) - size
-            out.append(values[np.arange(int(size.sum())) + np.repeat(ends[at] - place, size)])
+            at = np.fromiter(map(index.__getitem__, cutter.words(text)), np.int64)
+            count = ends[at + 1] - ends[at]
+            place = np.cumsum(count) - count
+            out.append(values[np.arange(int(count.sum())) + np.repeat(ends[at] - place, count)])
         return pa.table([left.column("doc_id"), pa.array([len(x) for x in out], pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
 
-    left = rows.select("doc_id", "text", F.col("block").alias("own_block"))
-    return left.groupBy("own_block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens int, ids array<int>")
+    # a word is asked for once by each block, so no word has more rows than there are blocks
+    asked = rows.select("block", "text").mapInArrow(ask, "block long, word string").distinct()
+    answers = asked.join(_tokens(asked.select("word").distinct(), pieces, "score" if fold in ("score", "viterbi") else "rank"), "word")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens int, ids array<int>")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
@@ -205,7 +271,8 @@ def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFram
     Null ids give null. The pieces' bytes come as one array of the vocabulary's size.
     """
     spark = encoded.sparkSession
-    raw = [(i, bytes([pieces.byte_ids.index(i)]).hex() if i in set(pieces.byte_ids) else p.replace(SPACE, " ").encode().hex()) for i, p in enumerate(pieces.texts)]
+    by_byte = {i: b for b, i in enumerate(pieces.byte_ids)}
+    raw = [(i, bytes([by_byte[i]]).hex() if i in by_byte else p.replace(SPACE, " ").encode().hex()) for i, p in enumerate(pieces.texts)]
     table = F.broadcast(spark.createDataFrame(raw, "i int, h string").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("_hex")))
     both = encoded.join(table, F.lit(True))
     text = F.decode(F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(F.col("_hex"), i)), "")), "utf-8")

@@ -298,3 +298,26 @@ def test_next_document_for_any_ids(spark):
     sizes = [x["count"] for x in docs.groupBy(common.runs(docs, 500)).count().collect()]
     assert max(sizes) < 2000 and len(sizes) > 8
     assert docs.limit(0).groupBy(common.runs(docs.limit(0), 500)).count().count() == 0
+
+
+def test_rank_costs_give_the_library_ids_for_whole_documents_and_long_words(spark, pieces):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.default_model())
+    r = random.Random(7)
+    words = ["".join(r.choice("aeinrst") for _ in range(n)) for n in (1, 2, 5, 13, 40, 63, 64, 65, 200, 700)] + ["a" * n for n in (2, 3, 7, 30, 64, 70)] + ["ab" * 20, "the" * 15]
+    texts = [*words, " ".join(words), "x" * 3000, "wörd " * 3000, *[r_["text"] for r_ in spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id % 5 = 1").collect()]]
+    got = {x["doc_id"]: x["ids"] for x in sentence_pieces.encode(table(spark, list(enumerate(texts))), pieces).collect()}
+    assert all(got[i] == model.encode(t or "") for i, t in enumerate(texts))
+    both = [sentence_pieces._tokens(spark.createDataFrame([("▁" + w,) for w in words], "word string"), pieces, "rank", long).collect() for long in (0, 100)]
+    assert sorted(both[0]) == sorted(both[1])
+
+
+def test_words_are_cut_only_where_no_piece_goes_on(pieces):
+    cutter = sentence_pieces.Cutter(pieces)
+    text = "Hello, world!  naïve 漢字 3.14\nx" + "".join(chr(c) for c in range(32, 400))
+    words = cutter.words(text)
+    assert "".join(words) == ("▁" + text).replace(" ", "▁") and len(words) > 100
+    pairs = {p[i : i + 2] for p, *_ in pieces.usable for i in range(len(p) - 1)}
+    assert all(a[-1] + b[0] not in pairs for a, b in zip(words, words[1:], strict=False))
+    assert cutter.words(None) == cutter.words("") == []
