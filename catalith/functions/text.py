@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as scripts understand it: ASCII, no-break, ogham, the U+2000 range, separators, ideographic, byte-order mark.
 SPACES = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -15,8 +19,72 @@ DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
 ELLIPSIS = "\u2026"
 WIDE_SPACES = "\u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A\u202F\u205F\u3000"
 ZERO_WIDTH = "\u200B\u200C\u200D\u2060\uFEFF\u00AD"
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõőōúùûüűūñçýÿšžčřďťňłßøđ"
-PLAIN = "aaaaaaaeeeeeiiiiiooooooouuuuuuncyyszcrdtnlsod"
+#: Letters that canonical decomposition turns into one plain character and marks, and that character; made by rule.
+_LETTERS = [(chr(c), base) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(base := "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))) == 1 and base != chr(c)]
+ACCENTED, PLAIN = "".join(a for a, _ in _LETTERS), "".join(b for _, b in _LETTERS)
+MARKS = "[\u0300-\u036F]"
+
+# fixed values: marketing terms of product names; some count anywhere, the others at the end only
+SIZE_TERMS = ["27-inch", "32-inch", "34-inch", "39-inch", "49-inch", "55-inch"]
+YEAR_TERMS = ["2020", "2021", "2022", "2023", "2024", "2025"]
+PANEL_WORDS = ["Panel"]
+PANEL_TERMS = ["QD-OLED", "QDOLED", "WOLED", "OLED", "IPS", "VA", "TN", "Mini-LED", "MiniLED", "Micro-LED", "MicroLED"]
+FEATURE_TERMS = ["HDR", "HDR10", "HDR400", "HDR600", "HDR1000", "Dolby Vision", "FreeSync", "G-Sync", "NVIDIA G-Sync", "AMD FreeSync"]
+GENERATION_TERMS = ["EVO", "Gen 2", "Gen2", "V2", "Edition"]
+DESCRIPTOR_TERMS = ["Gaming", "Ultra", "Pro", "Plus"]
+
+
+def _any_of(terms: list[str]) -> str:
+    """A pattern of the terms, longer ones first."""
+    return "|".join(sorted(terms, key=lambda t: (-len(t), t)))
+
+
+ANYWHERE, AT_END = SIZE_TERMS + YEAR_TERMS + PANEL_WORDS, PANEL_TERMS + FEATURE_TERMS + GENERATION_TERMS + DESCRIPTOR_TERMS
+#: What is replaced in a name, in this order: pattern and replacement.
+NAME_STEPS = [
+    (r"[()\[\]]", " "), (r"\s+", " "), (r"^ | $", ""),
+    (rf"(?i)\b({_any_of(ANYWHERE)})\b", " "), (r"\s+", " "), (r"^ | $", ""),
+    (rf"(?i)(\s+({_any_of(AT_END + ANYWHERE)}))+$", ""),
+    (rf"(?i)-\s*({_any_of([t for t in AT_END if '-' in t])})$", ""), (rf"(?i)(-\s*({_any_of([t for t in AT_END if '-' not in t])}))+$", ""),
+    (r"^-+|-+$", ""), (r"^_+|_+$", ""), (r"--+", "-"), (r"\s+", " "), (r"^ | $", ""),
+]
+#: Words that a spec value may have without their meaning anything for a comparison.
+SPEC_UNITS = r"(?i)\b(variant|version|model|inch|mm|gb|hz|nits?)\b"
+
+
+@F.pandas_udf(StringType())
+def nfc(x: pd.Series) -> pd.Series:
+    """Canonical composition, for which Spark has no function of its own."""
+    return x.str.normalize("NFC")
+
+
+def clean_name(x: Column) -> Column:
+    """A product name without brackets and marketing terms: sizes and years anywhere, panels, features and the like at the end. Null is empty."""
+    x = F.coalesce(x, F.lit(""))
+    for pattern, new in NAME_STEPS:
+        x = F.regexp_replace(x, pattern, new)
+    return x
+
+
+def tidy_name(x: Column) -> Column:
+    """Brackets become blanks, runs of white space one blank, none at the ends. Null is empty."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"[()\[\]]", " "), r"\s+", " "))
+
+
+def substantive(quote: Column) -> Column:
+    """Whether a quote has at least ten characters without the white space around it."""
+    return F.coalesce(F.length(trimmed(quote)) >= 10, F.lit(False))
+
+
+def spec_value(x: Column) -> Column:
+    """A spec value for comparison: lower case, without unit words and inch marks, hyphens as blanks."""
+    x = F.translate(F.regexp_replace(F.lower(x), SPEC_UNITS, ""), '-"', " ")
+    return F.regexp_replace(F.trim(x), r"\s+", " ")
+
+
+def numeric_only(x: Column) -> Column:
+    """Whether a text is a number with signs and grouping, which needs no translation."""
+    return F.coalesce(x.rlike(r"^[-+]?[\d\s.,]+$") & x.rlike(r"\d"), F.lit(False))
 
 
 def trimmed(x: Column) -> Column:
@@ -46,7 +114,7 @@ def model_name(x: Column) -> Column:
 
 def slug(x: Column, fallback: Column | None = None) -> Column:
     """Lower case without accents, words joined by hyphens; empty ones take the last six characters of fallback."""
-    s = F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), "[^a-z0-9]+", "-")
+    s = F.regexp_replace(F.lower(F.translate(F.regexp_replace(x, MARKS, ""), ACCENTED, PLAIN)), "[^a-z0-9]+", "-")
     s = F.regexp_replace(s, "^-+|-+$", "")
     return s if fallback is None else F.when(s == "", F.right(fallback, F.lit(6))).otherwise(s)
 

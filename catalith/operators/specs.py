@@ -62,6 +62,11 @@ def _number(value: Column, place: int) -> Column:
     return F.coalesce(F.get(found, F.lit(place)), F.get(found, F.lit(0)) if place else F.lit(None)).try_cast("double")
 
 
+def _lengths(values: Column, factor: float) -> Column:
+    """The first number of each value times factor, to two decimals; values without one are left out."""
+    return F.filter(F.transform(values, lambda v: F.round(_number(v, 0) * factor, 2)), lambda x: x.isNotNull())
+
+
 def extract(raw: Column, m: Mapping) -> Column:
     """The column of a key; null where no label is there or every value is to be skipped."""
     values = F.filter(lookup(raw, m), lambda v: F.trim(v) != "")
@@ -93,15 +98,65 @@ def extract(raw: Column, m: Mapping) -> Column:
         return F.nullif(F.regexp_extract(one, r"(\d+:\d+)", 1), F.lit(""))
     if m.mode == "cmToInch":
         return F.round(_number(one, 0) / 2.54, 2)
+    if m.mode == "cmToInchList":
+        return _lengths(many, 1 / 2.54)
+    if m.mode == "mmToCmAndInchList":
+        return F.concat(_lengths(many, 0.1), _lengths(many, 1 / 25.4))
     if m.mode == "regexpList":
         def first_hit(pattern: str) -> Column:
             found = F.transform(values, lambda v: F.array_join(F.regexp_extract_all(v, F.lit(f"({pattern})"), F.lit(1)), ""))
-            return F.get(F.filter(found, lambda v: v != ""), F.lit(0))
+            hit = F.get(F.filter(found, lambda v: v != ""), F.lit(0))
+            number = hit.try_cast("double")  # numbers are rounded to two decimals
+            return F.when(number.isNotNull() & hit.rlike(r"^\d+\.\d{3,}$"), F.round(number, 2).cast("string")).otherwise(hit)
 
         return F.array_compact(F.array(*map(first_hit, m.patterns)))
     raise ValueError(f"unknown mode {m.mode}")
 
 
+def raw_hash(raw: Column) -> Column:
+    """SHA-256 of the raw rows as JSON, ordered by section and name, so that their order is free."""
+    rows = F.array_sort(F.transform(raw, lambda r: F.struct(r["sectionTitle"].alias("sectionTitle"), r["name"].alias("name"), r["values"].alias("values"))))
+    return F.sha2(F.to_json(rows), 256)
+
+
+def coerced(specs: Column, schema: dict[str, dict]) -> Column:
+    """Struct of the declared keys of a map of strings (lists as JSON arrays), each by its type: number, boolean, string or array. Undeclared keys go.
+
+    A number is the first one in the text, a boolean true, yes, y, 1 or false, no, n, 0; others are null. A list as a string has its items joined
+    by comma and blank; a single value as an array is its only item.
+    """
+    out = []
+    for key, rule in schema.items():
+        value = F.try_element_at(specs, F.lit(key))
+        items = F.from_json(F.when(F.startswith(F.ltrim(value), F.lit("[")), value), "array<string>")
+        as_text = F.coalesce(F.array_join(items, ", "), F.trim(value))
+        kinds = {
+            "number": F.nullif(F.regexp_extract(as_text, r"(-?\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double"), "boolean": to_boolean(as_text), "string": as_text,
+            "array": F.when(value.isNotNull(), F.coalesce(F.transform(items, lambda x: F.trim(x)), F.array(F.trim(value)))),
+        }
+        out.append(kinds.get(rule.get("type"), value).alias(key))
+    return F.struct(*out)
+
+
+def display_order(keys: Column, order: dict[str, int]) -> Column:
+    """Keys by the place that a category's schema gives them, then by name; those without a place last."""
+    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv]) if order else F.create_map().cast("map<string,int>")
+    return F.transform(F.array_sort(F.transform(keys, lambda k: F.struct(F.coalesce(F.try_element_at(rank, k), F.lit(2**31 - 1)).alias("rank"), k.alias("key")))), lambda r: r["key"])
+
+
+def translatable(mappings: list[Mapping], key: Column, value: Column) -> Column:
+    """Whether a value is to be translated: not of a numeric mode, not a result of the key's value map, not a number."""
+    numeric = {"number", "secondNumber", "roundedNumber", "ceiledNumber", "boolean", "standardRatio", "cmToInch"}
+    skip = F.lit(False)
+    for m in mappings:
+        here = key == m.key
+        if m.mode in numeric:
+            skip |= here
+        elif m.values:
+            skip |= here & F.lower(value).isin([v.lower() for v in [*m.values, *m.values.values()]])
+    return value.isNotNull() & ~skip & ~value.rlike(r"^[-+]?[\d\s.,]+$")
+
+
 def errors(specs: dict[str, Column], schema: dict[str, dict]) -> Column:
     """Array of `key: problem` of every key that breaks its schema (type number: min, max; any: enum, required)."""
     found = []

@@ -141,9 +141,9 @@ def s20_source_by_domain(spark, sf):
     return sources(spark, sf).withColumn("domain", domain(F.col("url"))).join(F.broadcast(wanted), "domain", "left_semi").select("id", "name")
 
 
-@P.query(f"{with_sql(PRODUCT_SQL)} SELECT id, brand AS brand_name, lower(category) AS category_slug, category AS category_name FROM product WHERE id < 100")
+@P.query(f"{with_sql(PRODUCT_SQL)} SELECT id, brand AS brand_name, lower(category) AS category_slug, category AS category_name FROM product")
 def p1_p2_projection(spark, sf):
-    nested = products(spark, sf).filter("id < 100").select("id", F.struct(F.col("brand").alias("name")).alias("brand"), F.struct(F.lower("category").alias("slug"), F.col("category").alias("name")).alias("category"))
+    nested = products(spark, sf).select("id", F.struct(F.col("brand").alias("name")).alias("brand"), F.struct(F.lower("category").alias("slug"), F.col("category").alias("name")).alias("category"))
     return nested.select("id", F.col("brand.name").alias("brand_name"), F.col("category.slug").alias("category_slug"), F.col("category.name").alias("category_name"))
 
 
@@ -243,9 +243,9 @@ def j11_lateral_number(spark, sf):
     return products(spark, sf).select("id", F.get_json_object("specs", "$.ports").try_cast("double").alias("ports")).filter("ports >= 2")
 
 
-@P.query(f"{with_sql(PRODUCT_SQL)} SELECT id, unnest([colour, kind]) AS tag FROM product WHERE id < 200")
+@P.query(f"{with_sql(PRODUCT_SQL)} SELECT id, unnest([colour, kind]) AS tag FROM product")
 def j12_lateral_unnest(spark, sf):
-    return products(spark, sf).filter("id < 200").select("id", F.explode(F.from_json(F.get_json_object("specs", "$.tags"), "array<string>")).alias("tag"))
+    return products(spark, sf).select("id", F.explode(F.from_json(F.get_json_object("specs", "$.tags"), "array<string>")).alias("tag"))
 
 
 @P.query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id < 5)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from catalith.functions.similarity import bigram_dice, trigram_similarity
-from catalith.functions.text import domain, normalised, slug, trimmed, url_key
+from catalith.functions.similarity import trigram_similarity
+from catalith.functions.text import domain, normalised, slug, trimmed, url_key, without_punctuation
+from catalith.operators.near_texts import contains_near, near_texts, window_ratio
+from catalith.operators.trigram_join import similar_across
 from catalith.plans.catalogue import with_sql
 from catalith.plans.define import Plans
+from catalith.plans.search import similarity_sql
 from catalith.sources.tables import OFFER_SQL, PRODUCT_SQL, RECORD_SQL, SOURCE_SQL, TASK_SQL, offers, products, source_records, sources, table, tasks
 
 P = Plans()
@@ -58,16 +61,18 @@ def j9_j10_inflight_and_last_lock(spark, sf):
     return tasks(spark, sf).groupBy("source_id").agg(F.count_if(F.col("status") == "processing").alias("inflight"), F.max("locked_at").alias("last_lock"))
 
 
-@P.query(f"""{with_sql(PRODUCT_SQL)}, a AS (SELECT id, unnest([display_name, kind || ' ' || colour, brand]) AS name FROM product WHERE id % 11 = 0), b AS (SELECT id, brand, unnest([display_name, brand || ' ' || kind]) AS name FROM product)
-SELECT a.id, b.id AS other, max(CASE WHEN a.name = b.name THEN 1 ELSE 0 END)::INTEGER AS exact FROM a JOIN product p ON p.id = a.id JOIN b ON b.brand = p.brand AND b.id <> a.id GROUP BY 1, 2""")
+@P.query(f"""{with_sql(PRODUCT_SQL)}, a AS (SELECT id, brand, unnest([display_name, kind || ' ' || colour, brand]) AS x FROM product WHERE id % 11 = 0), b AS (SELECT id, brand, unnest([display_name, brand || ' ' || kind]) AS y FROM product),
+s AS (SELECT a.id, b.id AS other, {similarity_sql("a.x", "b.y")} AS score FROM a JOIN b ON b.brand = a.brand AND b.id <> a.id)
+SELECT id, other, round(max(score), 6) AS score FROM s WHERE score >= 0.5 GROUP BY 1, 2""")
 def j17_name_cross_match(spark, sf):
-    """All names of a query against all names of the candidates of its brand; the best of each pair is kept."""
+    """All names of a query against all names of the candidates of its brand; the best similarity of each pair from 0.5 on is kept."""
     p = products(spark, sf)
     words = F.split("display_name", " ")
     kind, colour = F.element_at(words, -1), F.get(words, F.lit(0))
-    a = p.filter("id % 11 = 0").select("id", "brand", F.explode(F.array("display_name", F.concat_ws(" ", kind, colour), F.col("brand"))).alias("x"))
-    b = p.select(F.col("id").alias("other"), "brand", F.explode(F.array("display_name", F.concat_ws(" ", "brand", kind))).alias("y"))
-    return a.join(b, "brand").filter("id <> other").groupBy("id", "other").agg(F.max(F.when(F.col("x") == F.col("y"), 1).otherwise(0)).alias("exact"))
+    a = p.filter("id % 11 = 0").select("id", "brand", F.explode(F.array("display_name", F.concat_ws(" ", kind, colour), F.col("brand"))).alias("a"))
+    b = p.select(F.col("id").alias("other"), "brand", F.explode(F.array("display_name", F.concat_ws(" ", "brand", kind))).alias("b"))
+    near = similar_across(a, b, ["brand"], 0.5)
+    return near.join(a, ["brand", "a"]).join(b, ["brand", "b"]).filter("id <> other").groupBy("id", "other").agg(F.round(F.max("similarity"), 6).alias("score"))
 
 
 @P.query(f"""{with_sql(PRODUCT_SQL)}, t AS (SELECT DISTINCT colour AS text FROM product), c AS (SELECT text, 'en' AS a, 'hu' AS b, 'cached ' || text AS done FROM t WHERE length(text) > 3)
@@ -230,22 +235,17 @@ def g10_repoint_tasks(spark, sf):
 
 @P.query()
 def f28_near_duplicate_texts(spark, sf):
-    """Pairs of benchmark items that are equal, hold one another, or have a Dice coefficient of 0.9; blocked by first word."""
-    b = table(spark, sf, "benchmark").select("item_id", normalised(F.col("text")).alias("t")).withColumn("block", F.get(F.split("t", " "), F.lit(0)))
-    x, y = b.select(F.col("item_id").alias("a"), F.col("t").alias("x"), "block"), b.select(F.col("item_id").alias("b"), F.col("t").alias("y"), "block")
-    pairs = x.join(y, "block").filter("a < b")
-    near = (F.col("x") == F.col("y")) | F.contains("x", F.col("y")) | F.contains("y", F.col("x")) | (bigram_dice(F.col("x"), F.col("y")) >= 0.9)
-    return pairs.select("a", "b", near.alias("near"))
+    """Pairs of benchmark items that are equal, hold one another, or have a Dice coefficient of 0.9."""
+    return near_texts(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
 @P.query()
 def f29_f30_sliding_window(spark, sf):
-    """Whether the first forty characters of an item, one of them changed, stand somewhere in its text: the best edit ratio over windows that begin at words."""
+    """Whether the first forty characters of an item, one of them changed, stand in its text up to small edits, with the best ratio over windows at words."""
     b = table(spark, sf, "benchmark").select("item_id", normalised(F.col("text")).alias("t"))
-    needle = F.concat(F.lit("#"), F.substring("t", 2, 39))
-    starts = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.when((i == 1) | (F.substring(F.col("t"), i - 1, F.lit(1)) == " "), i))
-    ratio = F.array_max(F.transform(F.array_compact(starts), lambda i: 1 - F.levenshtein(needle, F.substring(F.col("t"), i, F.lit(40))) / 40))
-    return b.select("item_id", F.round(ratio, 6).alias("ratio"), (ratio >= 0.85).alias("found"))
+    needle = F.concat(F.lit("q"), F.substring("t", 2, 39))
+    ratio = F.round(window_ratio(without_punctuation(needle), without_punctuation(F.col("t"))), 6)
+    return b.select("item_id", ratio.alias("ratio"), contains_near(F.col("t"), needle).alias("found"))
 
 
 @P.query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from catalith.functions import text as T
@@ -25,9 +27,19 @@ def f1_normalise(spark, sf):
     return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", T.normalised(F.col("text")).alias("text"))
 
 
-@P.query()
+WHITE = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", T.SPACES)
+
+
+def folded_sql(x: str) -> str:
+    """sanitised() of the composed form in SQL."""
+    for chars, new in ((T.SINGLE_QUOTES, "''"), (T.DOUBLE_QUOTES, '"'), (T.DASHES, "-"), (T.WIDE_SPACES, " "), (T.ZERO_WIDTH, ""), (T.ELLIPSIS, "...")):
+        x = f"regexp_replace({x}, '[{chars}]', '{new}', 'g')"
+    return f"regexp_replace(regexp_replace({x}, '\\\\+([*_#\\[\\]()~`>+.!|-])', '\\1', 'g'), '^{WHITE}+|{WHITE}+$', '', 'g')"
+
+
+@P.query(f"SELECT doc_id, {folded_sql('nfc_normalize(text)')} AS text FROM documents")
 def f2_sanitise(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.sanitised(F.col("text")).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", T.sanitised(T.nfc("text")).alias("text"))
 
 
 @P.query(f"{with_sql(NAMED_SQL)} SELECT id, regexp_replace(regexp_replace(name, '([A-Za-z]) +([0-9])', '\\1\\2', 'g'), '([0-9]) +([A-Za-z])', '\\1\\2', 'g') AS name FROM named")
@@ -153,7 +165,13 @@ def f49_number_overlap(spark, sf):
     return named(spark, sf).select("id", F.arrays_overlap(digits("name"), digits("brand")).alias("shares"))
 
 
-@P.query("SELECT doc_id, sha256(string_agg(w, '|' ORDER BY w)) AS hash FROM (SELECT doc_id, unnest(list_distinct(string_split(lang || ' ' || source, ' '))) AS w FROM documents) GROUP BY 1")
+@P.query(f"""{with_sql(PRODUCT_SQL)}, r AS (SELECT id, [['Frame', 'Colours', colour || ', black (matt)'], ['Frame', 'Finish', CASE WHEN size % 3 = 0 THEN 'GLS' ELSE 'matt' END], ['Frame', 'Width', size || '.6 mm'], ['Panel', 'Aspect', 'about 16:9 wide'],
+['Panel', 'Resolution', (size * 64) || ' × ' || (size * 36) || ' pixels'], ['Radio', 'Ports', ports], ['Radio', 'Wireless', CASE WHEN size % 2 = 0 THEN 'Yes' ELSE 'no' END]] AS r FROM product)
+SELECT id, sha256('[' || array_to_string(list_transform(r, lambda x: '{{"sectionTitle":"' || x[1] || '","name":"' || x[2] || '","values":["' || x[3] || '"]}}'), ',') || ']') AS hash FROM r""")
 def f32_order_free_hash(spark, sf):
-    words = F.array_sort(F.array_distinct(F.split(F.concat_ws(" ", "lang", "source"), " ")))
-    return table(spark, sf, "documents").select("doc_id", F.sha2(F.array_join(words, "|"), 256).alias("hash"))
+    """One hash of a product's raw specs, in whatever order its rows come."""
+    from catalith.operators.specs import raw_hash
+    from catalith.plans.specifications import raw_specs
+
+    turned = F.when(F.col("id") % 2 == 0, F.reverse("raw")).otherwise(F.col("raw"))
+    return raw_specs(spark, sf).select("id", raw_hash(turned).alias("hash"))

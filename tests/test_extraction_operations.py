@@ -1,0 +1,74 @@
+"""Operations of the extraction language that the small page of the other file doesn't reach, case by case."""
+
+from __future__ import annotations
+
+import pytest
+
+from catalith.operators.extraction import Context
+
+PAGE = """<html><body><h2>Frame</h2><table id="t3"><tr><td>Size</td><td>10 cm<br>4 in</td></tr><tr><td>Lone</td></tr><tr><td>Empty</td><td></td></tr></table>
+<table id="t2"><tr class="section"><td>Sound</td></tr><tr><td>Speakers</td><td><i title="yes"></i></td></tr><tr><td>Power</td><td> 5  W </td></tr><tr><td>Power</td><td>9 W</td></tr></table>
+<div class="box"><a href="/ad/1">ad</a><a href="/item/2?x=1"> Item  two </a><b>Two!</b></div><div class="box"><a>no link</a></div>
+<dl><dt>one</dt><dd class="k">1</dd><dd>1b</dd><dd class="k">1c</dd><dt>two</dt><dd class="k">2</dd></dl><img src="a.webp"><img src="b.png"><img></body></html>"""
+
+
+@pytest.fixture
+def ctx():
+    return Context(PAGE, "https://shop.example.com/list?x=1", {"year": 2025, "brands": ["Acme", "Zed"]})
+
+
+LINKS = [{"title": "Acme X", "link": "1", "category": "TV 2025"}, {"title": "acme x", "link": "1", "category": "TV 2024"}, {"title": "Zed", "link": "2", "category": "TV 2020"}, {"title": "Other", "link": "3"}]
+
+
+@pytest.mark.parametrize(("op", "value", "wanted"), [
+    ({"op": "trim"}, " a ", "a"), ({"op": "trim"}, 5, 5), ({"op": "trimEnd", "chars": "/-"}, "a-/-", "a"), ({"op": "trimEnd", "chars": "/"}, None, ""),
+    ({"op": "appendSuffix", "value": "!"}, "a", "a!"), ({"op": "appendSuffix", "value": "!"}, None, "!"), ({"op": "prependPrefix", "prefix": "x"}, "a", "xa"), ({"op": "prependPrefix", "prefix": "x"}, None, None),
+    ({"op": "prependPrefix", "prefix": "x", "value": "v"}, None, "xv"), ({"op": "identity"}, [1], [1]), ({"op": "identity", "value": "v"}, 1, "v"),
+    ({"op": "dedupe"}, [2, 1, 2], [2, 1]), ({"op": "takeFirst", "count": 2}, [1, 2, 3], [1, 2]), ({"op": "takeFirst", "count": 9}, [1], [1]),
+    ({"op": "isEmpty"}, "", True), ({"op": "isEmpty"}, [], True), ({"op": "isEmpty"}, None, True), ({"op": "isEmpty"}, 0, False), ({"op": "isEmpty"}, " ", False),
+    ({"op": "assertContains", "substring": "b"}, "abc", "abc"), ({"op": "assertContains", "substring": "x"}, "abc", []),
+    ({"op": "matchAgainstRuntimeList", "source": "brands", "field": "title"}, LINKS, [LINKS[2]]), ({"op": "filterByBrandPrefix", "source": "brands", "field": "title"}, LINKS, LINKS[:3]),
+    ({"op": "filterByCategoryYearSuffix", "yearsBack": 1}, LINKS, LINKS[:2]), ({"op": "filterByCategoryYearSuffix", "yearsBack": 1, "includeCurrentYear": False}, LINKS, LINKS[1:2]),
+    ({"op": "computePages", "perPage": 0}, 5, None), ({"op": "computePages", "perPage": 2}, None, None), ({"op": "generatePaginationLinks", "templates": ["{baseUrl}?p={page}"], "startPage": 2}, "3", ["https://shop.example.com/list?p=2", "https://shop.example.com/list?p=3"]),
+    ({"op": "flattenJsonArray", "path": "a.b"}, [{"a": {"b": [1, 2]}}, {"a": {}}, {}], [1, 2]), ({"op": "flattenJsonArray", "path": "a"}, "no list", []),
+    ({"op": "mapJsonArray", "fields": {"x": {"path": "a", "asArray": True, "template": "<{value}>"}}, "flattenField": "x"}, [{"a": 1}, {"b": 2}], ["<1>"]),
+    ({"op": "filterJsonArray", "path": "a", "equals": 1, "negate": True}, [{"a": 1}, {"a": "1"}], [{"a": "1"}]), ({"op": "mapValue", "cases": {"a": 1}, "default": 0}, 7, 0), ({"op": "mapValue", "cases": {"a": 1}}, "b", None),
+    ({"op": "splitAndTake", "separator": ",", "index": 1}, "a,b", "b"), ({"op": "regexCapture", "pattern": "(x)"}, "abc", None), ({"op": "regexCapture", "pattern": "(.*)", "cast": "number"}, "1 2,5", 12.5), ({"op": "regexCapture", "pattern": "(.*)", "cast": "number"}, "n/a", None),
+    ({"op": "regexCapture", "pattern": "(.*)", "cast": "jsonString"}, "\\u00e9\\q", "\\u00e9\\q"), ({"op": "findScriptContaining", "contains": "x"}, None, None), ({"op": "stripPrefix", "prefix": "a.", "flags": "i"}, "A. b", "b"),
+])
+def test_on_values(ctx, op, value, wanted):
+    assert ctx.run([op], value) == wanted
+
+
+def test_on_variables(ctx):
+    ctx.vars |= {"a": "", "b": None, "c": "x", "d": 5, "names": ["ACME x"], "rawSpecs": [{"name": "Size", "values": ["12,5 cm", "2"]}]}
+    run = lambda **p: ctx.run([p], p.pop("given", None))
+    assert run(op="coalesce", candidates=["a", "b", "c"]) == "x" and run(op="coalesce", candidates=["a", "zz"]) is None
+    assert run(op="filterOutEqualsIgnoreCase", against="c", given=["X", "y"]) == ["y"] and run(op="filterOutEqualsIgnoreCase", against="d", given=["5"]) == ["5"]
+    assert run(op="filterByAllowlist", against="names", caseInsensitive=True, given=LINKS) == [LINKS[0]] and run(op="filterByAllowlist", against="names", given=LINKS) == []
+    assert run(op="mapSpecValue", label="SIZE", cast="number") == 12.5 and run(op="mapSpecValue", label="size", single=False) == ["12,5 cm", "2"] and run(op="mapSpecValue", label="none") is None
+    assert run(op="appendSyntheticSpec", name="N", value=[{"op": "literal", "value": " v "}], given=[]) == [{"name": "N", "sectionTitle": None, "values": ["v"]}] and run(op="appendSyntheticSpec", name="N", value="", given=[1]) == [1]
+    assert run(op="branch", isEmpty="a", ifTrue=[{"op": "literal", "value": 1}]) == 1 and run(op="branch", equals={"var": "c", "value": "y"}, ifTrue=[], ifFalse=[{"op": "literal", "value": 2}]) == 2
+
+
+def test_on_the_tree(ctx):
+    run = lambda *steps: ctx.run(list(steps))
+    assert run({"op": "selectFirst", "selector": "dd"})[0].text() == "1" and run({"op": "selectFirst", "selector": "zz"}) == []
+    with pytest.raises(ValueError, match="zz"):
+        run({"op": "selectFirst", "selector": "zz", "onMissing": "throw"})
+    with pytest.raises(ValueError):
+        run({"op": "literal", "value": "a"}, {"op": "assertContains", "substring": "b", "onFail": "throw"})
+    boxes = {"op": "selectAll", "selector": ".box"}
+    assert run(boxes, {"op": "selectNestedText", "index": 0, "childSelector": "b", "fallback": "f"}) == "Two!"
+    assert run(boxes, {"op": "selectNestedText", "index": 1, "childSelector": "b", "fallback": "f"}) == "f" and run(boxes, {"op": "selectNestedText", "index": 7, "childSelector": "b"}) is None
+    first = {"op": "selectFirst", "selector": "dt"}
+    peers = run(first, {"op": "selectSiblingContainer", "untilSelector": "dt", "filterSelector": ".k"})
+    assert [n.text() for n in peers] == ["1", "1c"] and len(run(first, {"op": "selectSiblingContainer", "untilSelector": "dt", "filterSelector": ".k", "first": True})) == 1
+    assert run({"op": "selectAll", "selector": "img"}, {"op": "filterByAttrSuffix", "attr": "src", "excludeSuffix": ".webp"}, {"op": "extractAttrList", "attr": "src"}) == ["b.png"]
+    box = {"op": "extractLinkFromBox", "linkSelector": "a", "excludeHrefContains": ["/ad/"]}
+    assert run(boxes, box) == [{"link": "https://shop.example.com/item/2?x=1", "title": "Item two"}]
+    made = box | {"urlTransform": [{"op": "splitAndTake", "separator": "?", "index": 0}], "titleFrom": [{"op": "selectText", "selector": "b", "within": "box"}], "titleTemplate": "<{title}>"}
+    assert run(boxes, made) == [{"link": "/item/2", "title": "<Two!>"}]
+    assert run({"op": "selectAll", "selector": "#t2"}, {"op": "extractSpecTableV2"}) == [{"name": "Speakers", "sectionTitle": "Sound", "values": ["yes"]}, {"name": "Power", "sectionTitle": "Sound", "values": ["5 W"]}]
+    found = run({"op": "extractSpecTableBySection"})
+    assert found[:2] == [{"name": "Size", "sectionTitle": "Frame", "values": ["10 cm", "4 in"]}, {"name": "Empty", "sectionTitle": "Frame", "values": []}]
