@@ -3,7 +3,7 @@
 A term is a vector position, its posting list the rows of a block with a non-zero weight there, in ascending id. For a
 query every non-zero weight scatters weight * posting weights into a dense array with one score for each row of the
 block; the k best of the array are selected by partition, with all ties at the border resolved by the smaller id, and
-the blocks' lists are merged. Rows and queries are dealt into blocks of bounded size, and one task holds one block of
+the blocks' lists are merged. Rows and queries are dealt into blocks of bounded size by hash of id and weights, and one task holds one block of
 rows and one of queries, so memory doesn't grow with either table.
 """
 
@@ -37,6 +37,11 @@ def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return rows[keep], terms[keep], values[keep]
 
 
+def _most(rows: np.ndarray, values: np.ndarray, n: int) -> float:
+    """The greatest sum of a row's absolute weights."""
+    return float(np.bincount(rows, np.abs(values.astype(np.float64)), n).max(initial=0.0))
+
+
 def _search(k: int):
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         """left: queries, right: the rows of a block."""
@@ -50,13 +55,19 @@ def _search(k: int):
         queries = left.column("vec_id").to_numpy()
         q_rows, q_terms, q_values = _matrix(left.column("weights"))
         q_starts = np.searchsorted(q_rows, np.arange(len(queries) + 1))
+        # scores that may leave 63 bits are added up exactly
+        wide = _most(rows, values, len(ids)) * _most(q_rows, q_values, len(queries)) >= 2.0**62
+        if wide:
+            values, q_values = values.astype(object), q_values.astype(object)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for q, own in enumerate(queries):
-            scores = np.zeros(len(ids), np.int64)
+            scores = np.zeros(len(ids), object if wide else np.int64)
             for t, w in zip(q_terms[q_starts[q] : q_starts[q + 1]], q_values[q_starts[q] : q_starts[q + 1]], strict=True):
                 if t < len(starts) - 1:
                     held = slice(starts[t], starts[t + 1])
                     scores[rows[held]] += w * values[held]  # a row is in a posting list once
+            if wide:
+                scores = np.array([max(-(2**63), min(2**63 - 1, x)) for x in scores], np.int64)
             others = np.flatnonzero(ids != own)
             found = scores[others]
             if len(found) > k:
@@ -76,15 +87,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k best rows for every query: query_id, rank, vec_id, score, ties to the smaller vec_id.
 
     Both tables have vec_id long and weights array<long>. A row with the query's own vec_id is no candidate. Rows with a
-    null id or null weights take no part; of rows that share an id, the one with the least weights counts. Vectors may
-    differ in length: missing positions weigh nothing. Scores must stay within 63 bits. Fewer candidates than k give
-    fewer rows; an empty table gives an empty result.
+    null id or null weights take no part. Rows that share an id are candidates each, as they are queries each; a query id
+    gets the k best scores of all its rows. Vectors may differ in length: missing positions weigh nothing. A score beyond
+    63 bits counts as the greatest or least such number. Fewer candidates than k give fewer rows; an empty table gives an
+    empty result.
     """
-    clean = lambda df: df.filter("vec_id is not null and weights is not null").groupBy("vec_id").agg(F.min("weights").alias("weights"))
+    known = lambda df: df.filter("vec_id is not null and weights is not null").groupBy("vec_id", "weights").agg(F.count("*").alias("n"))
+    # of rows that are equal in id and weights, and so in score, no more than k can be among the k best
+    clean = lambda df: known(df).select("vec_id", "weights", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)))).alias("n")).drop("n")
     rows, queries = clean(rows), clean(queries)
     n, m = rows.count(), queries.count()
     blocks, parts = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS)), max(1, -(-m // BLOCK_QUERIES))
-    pair = lambda df, own, count, other, rest: df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(rest - 1))))
+    pair = lambda df, own, count, other, rest: df.withColumn(own, F.pmod(F.xxhash64("vec_id", "weights"), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(rest - 1))))
     left, right = pair(queries, "part", parts, "block", blocks), pair(rows, "block", blocks, "part", parts)
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -154,6 +154,23 @@ def test_top_k_against_brute_force(spark):
     assert topk.search_embeddings(spark.createDataFrame([(0, [1.0]), (1, [1.0])], "vec_id long, embedding array<float>")).count() == 1
 
 
+def test_top_k_of_repeated_ids_and_great_scores(spark):
+    import duckdb
+
+    r = random.Random(2)
+    rows = [(i % 40, [r.choice([0.0, 0.5, -1.0, 0.25]) for _ in range(3)]) for i in range(90)] + [(0, [1.0, 1.0, 1.0])] * 3
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    wanted = sorted(con.sql(queries.OP4_SQL).fetchall())
+    got = topk.search_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got) == wanted and len(wanted) == 5
+    big = [(0, [2**62, 1]), (1, [2**62, 5]), (2, [-(2**62), 1]), (3, [3, 7])]
+    df = spark.createDataFrame(big, "vec_id long, weights array<long>")
+    got = {(x["query_id"], x["vec_id"]): x["score"] for x in topk.top_k(df, df.filter("vec_id = 0")).collect()}
+    assert got == {(0, 1): 2**63 - 1, (0, 2): -(2**63), (0, 3): 2**63 - 1}
+
+
 def plain_best_fit(lengths, sizes):
     """The same policy by scanning all bins."""
     bins, sizes, left, out = [], sorted(sizes), sum(lengths), []
