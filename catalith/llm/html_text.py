@@ -1,21 +1,27 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's events into lines: a block-level tag ends one. A line's ratio is its
-visible characters over its tags. Ratios are smoothed along the page by a Gaussian kernel, so that a short paragraph between long ones
-counts with them, and the lines are split into two clusters by a threshold that is moved to the middle of the clusters'
-means until it stands. Lines of the upper cluster choose the content region: the article or main element in which most
-of their characters stand is taken whole; without such an element the upper cluster itself is the content, with what
-stands between its lines.
-
-Lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments are never content; they are
-known by element, role, or a word of class or id. Scripts, styles and markup comments are no text.
+visible characters over its tags; where it stands weighs: double inside an article or main element, nothing inside boilerplate.
+Ratios are smoothed along the page by a Gaussian kernel, so that a short paragraph between long ones counts with them, and the
+lines are split into two clusters by a threshold that is moved to the middle of the clusters' means until it stands.
+
+The upper cluster is the content, with what belongs to it: an article or main element of which it has SHARE of the characters is taken whole, and
+each of several such elements; elsewhere, what stands between two of its lines in one container, headings right before its lines, and
+short paragraphs right after them in their container.
+
+Menus, footers, sidebars, dialogs and reader comments are never content. Forms, page headers and what a class, id or role calls an advert, notice
+or the like are not either, unless the ratios speak against the name: an element with most of the upper cluster's characters is content if it
+has an article or main element in it, or if the page has none outside of such elements. Scripts, styles and markup comments are no text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right as bisect
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -27,7 +33,10 @@ from catalith.llm.common import slices
 # fixed values: elements of the HTML standard, by role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select option datalist".split())
-BOILERPLATE = frozenset("nav footer aside form header menu dialog button fieldset".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog button".split())
+DOUBTFUL = frozenset("form header fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("html body div section article main blockquote center td th table ul ol dl form fieldset details figure".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption optgroup option".split()
@@ -40,6 +49,8 @@ WORDS = frozenset(
     "aside widget footer header masthead cookie cookies consent gdpr notice notification alert popup modal overlay comment comments disqus reply replies respond "
     "share sharing social related recommended newsletter subscribe subscription signup login form search pagination pager skip toolbar".split()
 )
+#: Those that name reader comments, which no ratio tells from content.
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 #: Words that make a class or id the name of a layout rather than of its part.
 LAYOUT = frozenset("with without no has layout wrapper container".split())
 #: A start tag that ends an open paragraph, and what an open element of these ends.
@@ -49,31 +60,59 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 SIGMA = 1.0
 #: How many times the lower cluster's mean the upper one's must be; nearer means are one cluster.
 APART = 4.0
+#: Weight of a line inside an article or main element, and the share of such an element's characters from which it is taken whole.
+INSIDE, SHARE = 2.0, 0.3
 
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 
 
-def marks_boilerplate(name: str) -> bool:
-    """Whether a class or id names boilerplate: by its first or last word, unless it names a layout."""
+def marks_boilerplate(name: str) -> frozenset[str]:
+    """The words by which a class or id names boilerplate: its first or last one, unless it names a layout."""
     words = _WORD.findall(name)
-    return bool(words) and (words[0] in WORDS or words[-1] in WORDS) and LAYOUT.isdisjoint(words)
+    return WORDS.intersection((words[0], words[-1])) if words and LAYOUT.isdisjoint(words) else frozenset()
+
+
+@dataclass(frozen=True)
+class Line:
+    """region: the outermost open article or main, 0 for none; doubt: the outermost element that may be boilerplate, 0 for none; container: what it stands in."""
+
+    text: str
+    tags: int
+    region: int
+    doubt: int
+    container: int
+    heading: bool
+
+
+@dataclass
+class Open:
+    tag: str
+    hidden: bool
+    boilerplate: bool
+    doubt: int
+    region: int
+    container: int
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, region) lines; region numbers the outermost open article or main, 0 for none."""
+    """Collects the lines of a page that aren't in boilerplate."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # element, hidden, boilerplate, opens a region
+        self.lines: list[Line] = []
+        self.open: list[Open] = []
+        self.counts: Counter[str] = Counter()
         self.parts: list[str] = []
-        self.tags = self.hidden = self.boilerplate = self.region = self.regions = 0
+        self.tags = self.hidden = self.boilerplate = self.region = self.doubt = self.container = self.number = 0
+        #: Doubtful elements that are or have an article or main element.
+        self.holding: set[int] = set()
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.tags, self.region))
+            heading = any(self.counts[h] for h in HEADINGS)
+            self.lines.append(Line(text, self.tags, self.region, self.doubt, self.container, heading))
         self.parts, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -93,16 +132,23 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         values = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
-        named = tag not in ("html", "body", "main") and any(map(marks_boilerplate, f"{values.get('class', '')} {values.get('id', '')}".split()))
+        named = frozenset().union(*map(marks_boilerplate, f"{values.get('class', '')} {values.get('id', '')}".split())) if tag not in ("html", "body", "main") else frozenset()
         hidden = tag in HIDDEN or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
-        boilerplate = values.get("role") in ROLES or named or tag in BOILERPLATE
-        region = tag in REGION and not self.region and not self.boilerplate
-        self.open.append((tag, hidden, boilerplate, region))
+        boilerplate = tag in BOILERPLATE or bool(named & COMMENTS)
+        doubtful = tag in DOUBTFUL or bool(named) or values.get("role") in ROLES
+        self.number += 1
+        doubt = self.number if doubtful and not self.doubt else 0
+        self.doubt = self.doubt or doubt
+        region = self.number if tag in REGION and not self.region and not self.boilerplate and not boilerplate else 0
+        self.region = self.region or region
+        if region and self.doubt:
+            self.holding.add(self.doubt)
+        self.open.append(Open(tag, hidden, boilerplate, doubt, region, self.container))
+        if tag in CONTAINERS:
+            self.container = self.number
+        self.counts[tag] += 1
         self.hidden += hidden
         self.boilerplate += boilerplate
-        if region:
-            self.regions += 1
-            self.region = self.regions
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -111,32 +157,41 @@ class Lines(HTMLParser):
 
     def close_open(self, names: set[str], within: set[str]) -> None:
         """Ends the innermost open element of these names, if none of `within` is open inside it."""
-        for tag, *_ in reversed(self.open):
-            if tag in names:
-                self.handle_endtag(tag)
+        if not any(self.counts[n] for n in names):
+            return
+        for element in reversed(self.open):
+            if element.tag in names:
+                self.handle_endtag(element.tag)
                 return
-            if tag in within:
+            if element.tag in within:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
-        if tag not in (x[0] for x in self.open):
+        if not self.counts[tag]:
             return
         while self.open:
-            name, hidden, boilerplate, region = self.open.pop()
-            self.hidden -= hidden
-            self.boilerplate -= boilerplate
-            if region:
+            element = self.open.pop()
+            if element.region or element.doubt or element.tag in HEADINGS or element.tag in CONTAINERS:
                 self.end_line()
+            self.counts[element.tag] -= 1
+            self.hidden -= element.hidden
+            self.boilerplate -= element.boilerplate
+            self.container = element.container
+            if element.region:
                 self.region = 0
-            if name == tag:
+            if element.doubt:
+                self.doubt = 0
+            if element.tag == tag:
                 break
 
     def handle_data(self, data: str) -> None:
         if not self.hidden and not self.boilerplate:
             self.parts.append(data)
+        elif not self.hidden and self.parts == [] and data.strip():
+            self.tags += 1  # boilerplate between two lines parts them
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -165,6 +220,19 @@ def threshold(values: list[float]) -> float:
     return cut if low and high and sum(high) / len(high) >= APART * sum(low) / len(low) else min(values)
 
 
+def upper_cluster(lines: list[Line], weights: list[float]) -> set[int]:
+    """The lines whose smoothed weighted ratio is in the upper cluster; those without weight never are.
+
+    One that only its neighbours lift counts if a line of its container is in the cluster by itself.
+    """
+    own = [len(x.text) / max(1, x.tags) * w for x, w in zip(lines, weights, strict=True)]
+    ratios = smoothed(own)
+    cut = threshold(ratios)
+    high = {i for i, (r, w) in enumerate(zip(ratios, weights, strict=True)) if w and r >= cut}
+    sure = {lines[i].container for i in high if own[i] >= cut}
+    return {i for i in high if lines[i].container in sure}
+
+
 def main_text(html: str | None) -> str:
     """The content lines of a page, one \\n between two; empty if there is none."""
     if not html:
@@ -176,17 +244,36 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
-    cut = threshold(ratios)
-    high = [i for i, r in enumerate(ratios) if r >= cut]
-    weight: dict[int, int] = {}
-    for i in high:
-        weight[lines[i][2]] = weight.get(lines[i][2], 0) + len(lines[i][0])
-    regions = [r for r in weight if r] or sorted({r for *_, r in lines if r})
-    if regions:
-        best = max(regions, key=lambda r: (weight.get(r, 0), -r))
-        return "\n".join(text for text, _, region in lines if region == best)
-    return "\n".join(text for text, _, _ in lines[high[0] : high[-1] + 1])
+    inside = [INSIDE if x.region else 1.0 for x in lines]
+    # doubtful elements that the ratios speak for
+    size: Counter[int] = Counter()
+    for i in upper_cluster(lines, inside):
+        size[lines[i].doubt] += len(lines[i].text)
+    plain_region = any(x.region and not x.doubt for x in lines)
+    cleared = {d for d, n in size.items() if 2 * n > size.total() and (d in parser.holding or not plain_region)} | {0}
+    high = upper_cluster(lines, [w if x.doubt in cleared else 0.0 for x, w in zip(lines, inside, strict=True)])
+
+    whole, upper = Counter(), Counter()
+    for i, x in enumerate(lines):
+        if x.region and x.doubt in cleared:
+            whole[x.region] += len(x.text)
+            upper[x.region] += len(x.text) if i in high else 0
+    taken = {r for r in whole if upper[r] >= SHARE * whole[r]}
+    chosen = {i for i, x in enumerate(lines) if x.doubt in cleared and (x.region in taken if x.region else i in high)}
+    outside = [i for i, x in enumerate(lines) if not x.region and x.doubt in cleared]
+    held = [i for i in outside if i in high]
+    last: dict[int, int] = {}
+    for i in outside:
+        c = lines[i].container
+        if i in high:
+            chosen.update(k for k in outside[bisect(outside, last.get(c, i)) : bisect(outside, i)] if lines[k].container == c)
+            last[c] = i
+        elif not lines[i].heading and i - 1 in chosen and lines[i - 1].container == c and last.get(c) is not None:
+            chosen.add(i)
+    for i in reversed(outside):
+        if lines[i].heading and i + 1 in chosen and held:
+            chosen.add(i)
+    return "\n".join(lines[i].text for i in sorted(chosen))
 
 
 def extract(pages: DataFrame) -> DataFrame:

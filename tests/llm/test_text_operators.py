@@ -321,3 +321,42 @@ def test_words_are_cut_only_where_no_piece_goes_on(pieces):
     pairs = {p[i : i + 2] for p, *_ in pieces.usable for i in range(len(p) - 1)}
     assert all(a[-1] + b[0] not in pairs for a, b in zip(words, words[1:], strict=False))
     assert cutter.words(None) == cutter.words("") == []
+
+
+LONG = "This paragraph is long enough that nobody would take it for a link, a label or a button of the page. " * 2
+LINKS = "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(12))
+
+
+@pytest.mark.parametrize(("body", "wanted"), [
+    (f"<ul>{LINKS}</ul><div><h1>Head</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p>The end.</p></div><ul>{LINKS}</ul>", f"Head\n{LONG}\nShort.\n{LONG}\nThe end."),
+    (f"<ul>{LINKS}</ul><article><a href='/x'>Teaser text</a></article><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}\n{LONG}"),
+    (f"<ul>{LINKS}</ul><article><h2>A</h2><p>{LONG}</p></article><article><h2>B</h2><p>{LONG}</p></article>", f"A\n{LONG}\nB\n{LONG}"),
+    (f"<form><nav>{LINKS}</nav><article><p>{LONG}</p></article><input></form>", LONG),
+    (f"<form><ul>{LINKS}</ul><div><p>{LONG}</p></div></form>", LONG),
+    (f"<div class='social-science'><p>{LONG}</p><p>Short.</p></div>", f"{LONG}\nShort."),
+    (f"<nav>{LINKS}</nav><article class='menu-item'><h1>T</h1><p>{LONG}</p></article>", f"T\n{LONG}"),
+    (f"<article><p>{LONG}</p><div class='related-stories'><p>{LONG}</p></div></article><div class='ad'>{LONG * 5}</div>", LONG),
+    (f"<div><p>{LONG}</p></div><div class='comments'><article><p>{LONG * 3}</p></article><article><p>{LONG * 3}</p></article></div>", LONG),
+    (f"<div class='reply'>{LONG}</div>", ""), (f"<div role='dialog'>{LINKS}</div><main><p>{LONG}</p></main>", LONG),
+])
+def test_ratios_choose_the_content(body, wanted):
+    lines = [x.strip() for x in wanted.split("\n")]
+    assert html_text.main_text(f"<html><head><title>t</title></head><body>{body}</body></html>").split("\n") == lines
+
+
+def test_the_threshold_decides(monkeypatch):
+    page = f"<ul>{LINKS}</ul><div><p>{LONG}</p><p>{LONG * 3}</p></div><p><a>foot</a> <a>note</a></p>"
+    usual = html_text.main_text(page)
+    assert usual == f"{LONG.strip()}\n{(LONG * 3).strip()}"
+    monkeypatch.setattr(html_text, "threshold", min)
+    assert "link 3" in html_text.main_text(page)
+    monkeypatch.setattr(html_text, "threshold", max)
+    assert html_text.main_text(page) == (LONG * 3).strip()
+
+
+def test_deeply_nested_pages_take_linear_time():
+    import time
+
+    began = time.monotonic()
+    assert html_text.main_text("<b>" * 20_000 + "<p>x" * 20_000).count("x") == 20_000
+    assert time.monotonic() - began < 10
