@@ -160,9 +160,10 @@ def j6_g1_duplicate_candidates(spark, sf):
     left = names.join(p.select(*keys, F.col("display_name").alias("a"), F.col("id").alias("x")), [*keys, "a"])
     both = left.join(p.select(*keys, F.col("display_name").alias("b"), F.col("id").alias("y")), [*keys, "b"]).filter("a < b or x < y")
     pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
-    r = source_records(spark, sf).select("model_id", "source_id", "flag").distinct()
-    ra, rb = r.select(F.col("model_id").alias("a"), "source_id", F.col("flag").alias("fa")), r.select(F.col("model_id").alias("b"), "source_id", F.col("flag").alias("fb"))
-    apart = pairs.join(ra, "a").join(rb, ["b", "source_id"]).filter("fa <> fb").select("a", "b").distinct()
+    # one row for a product and source: two differ there unless all their flags are the same one
+    r = source_records(spark, sf).groupBy("model_id", "source_id").agg(F.min("flag").alias("low"), F.max("flag").alias("high"))
+    side = lambda x: r.select(F.col("model_id").alias(x), "source_id", *[F.col(c).alias(f"{c}_{x}") for c in ("low", "high")])
+    apart = pairs.join(side("a"), "a").join(side("b"), ["b", "source_id"]).filter("not (low_a = high_a and low_b = high_b and low_a = low_b)").select("a", "b").distinct()
     return pairs.join(apart, ["a", "b"], "left_anti")
 
 
