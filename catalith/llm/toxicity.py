@@ -39,7 +39,7 @@ WIDTH = 24
 #: Labelled texts of either class that the model is fitted on; a bounded sample of labelled rows.
 TRAIN = 3000
 #: Candidates for landmarks that are sent to the driver, the texts they must be in, and words that a task remembers.
-CANDIDATES, LEAST, MEMORY = 2000, 2, 800_000
+CANDIDATES, LEAST, MEMORY = 2000, 2, 300_000
 
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
 _EDGES, _SIGNS = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[\W_]+")
