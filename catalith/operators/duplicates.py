@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalith.operators.resolution import best_parts, compare_specs, name_list, name_score
+from catalith.operators.resolution import compare_specs, compared, name_list, name_score
 from catalith.operators.trigram_join import similar_names
 
 #: Decisions that stand: such pairs are not evaluated again.
@@ -56,7 +56,7 @@ def evaluate(products: DataFrame, history: DataFrame, keys: list[str], primary:
     pick = lambda c, query: F.when(newer_a == F.lit(query), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
     both = both.withColumns({"query": pick("names", True), "candidate": pick("names", False), "qs": pick("specs", True), "cs": pick("specs", False)})
     found = compare_specs(both.withColumns({"ia": F.col("a"), "ib": F.col("b")}).drop("a", "b").withColumnsRenamed({"qs": "a", "cs": "b"}), primary, matcher).drop("a", "b").withColumnsRenamed({"ia": "a", "ib": "b"})
-    found = found.withColumn("parts", best_parts(F.col("query"), F.col("candidate")))
+    found = compared(found, ["a", "b"], "query", "candidate")
     found = found.withColumn("score", F.coalesce(name_score(F.col("parts"), F.col("primary_mismatches"), F.col("matcher_mismatches")), F.lit(0))).filter(F.col("score") >= limits.review)
     reasons = F.array_compact(F.array(
         F.when(F.col("score") < limits.merge, "score"), F.when(F.col("primary_mismatches") > 0, "primary spec"),

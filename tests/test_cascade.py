@@ -60,6 +60,9 @@ def test_best_parts_is_the_best_of_all_pairs(spark):
     wanted = max((brute(x, y, DEFAULT_RULES)[3], brute(x, y, DEFAULT_RULES)[0]) for x, y in itertools.product(a, b))
     assert (got["base"], got["string"]) == pytest.approx(wanted)
     assert value(spark, resolution.best_parts(F.array().cast("array<string>"), F.array(F.lit("x")))) is None
+    pairs = spark.createDataFrame([(1, a, b), (2, a, b), (3, [], b), (4, ["bolt"], ["bolt", "bolt"])], "k int, q array<string>, c array<string>")
+    found = {r["k"]: r["parts"] for r in resolution.compared(pairs, ["k"], "q", "c").collect()}
+    assert found[1] == found[2] == got and found[3] is None and found[4]["base"] == 90
 
 
 ROW = {"query_id": 1, "candidate_id": 10, "score": 90, "string": 0.9, "spec": 0.5, "comparable": 2, "matching": 2, "primary": 0, "matcher": 0, "critical": False, "suffix_missing": False}
