@@ -248,7 +248,7 @@ def f29_f30_sliding_window(spark, sf):
     return b.select("item_id", ratio.alias("ratio"), contains_near(F.col("t"), needle).alias("found"))
 
 
-@P.query()
+@P.query(f"{with_sql(PRODUCT_SQL)} SELECT DISTINCT display_name, true AS symmetric, true AS whole, replace(display_name, ' ', '-') AS slug, trim(display_name) AS name FROM product")
 def q1_similarity_symmetry(spark, sf):
     """Invariants over all names: similarity is symmetric and 1 for a name with itself."""
     n = products(spark, sf).select("display_name").distinct()

@@ -95,13 +95,15 @@ def f16_token_weights(spark, sf):
     return t.groupBy("id").agg(F.sum(T.token_weight(F.col("t"), [(r"\d+", 2.5), ("^q", 1.5)])).alias("weight"))
 
 
-@P.query()
+@P.query(r"""WITH x AS (SELECT item_id, '[read more](http://x.example) ![pic](a.png) ' || text AS x FROM benchmark)
+SELECT item_id, regexp_replace(regexp_replace(x, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS plain, trim(regexp_replace(regexp_replace(x, '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS bare FROM x""")
 def f25_f26_markdown_and_punctuation(spark, sf):
     x = F.concat(F.lit("[read more](http://x.example) ![pic](a.png) "), F.left("text", F.length("text")))
     return table(spark, sf, "benchmark").select("item_id", T.without_links(x).alias("plain"), T.without_punctuation(x).alias("bare"))
 
 
-@P.query()
+@P.query(r"""WITH s AS (SELECT item_id, lower(regexp_replace(trim(text), '\s+', ' ', 'g')) AS s FROM benchmark), w AS (SELECT item_id, s, string_split(s, ' ') AS w FROM s)
+SELECT item_id, contains(s, array_to_string(w[1:6], ' ')) AS first, contains(s, w[-1]) AS last, contains(regexp_replace(regexp_replace(s, '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g'), 'no such phrase as this') AS none FROM w""")
 def f27_text_in_source(spark, sf):
     """Whether the first and last words of benchmark items, and a made-up phrase, are in their source."""
     words = F.split(F.trim("text"), r"\s+")
