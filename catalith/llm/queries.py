@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.llm import chat, fingerprints, html_text, language_id, packing, sentence_pieces, token_output, topk, toxicity
+from catalith.llm import chat, clustering, fingerprints, html_text, language_id, packing, sentence_pieces, token_output, topk, toxicity, vector_codes
 from catalith.llm.common import table
 from catalith.llm.near_dedup import near_duplicates
 
@@ -60,6 +60,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen bytes of code for every vector, from codebooks of 64 entries."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of sixteen centroids for every vector, after three rounds."""
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -71,6 +81,8 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 OP1_SQL = """
@@ -121,4 +133,56 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component, d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = d.doc_id
 """
 
-ORACLES = {"op1_chat_formatting": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL}
+_KEPT = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_SQUARE = "list_sum(list_transform(list_zip({}, {}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+
+OP11_SQL = f"""
+WITH e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE {_KEPT} AND len(embedding) > 0 AND len(embedding) % 16 = 0),
+l AS (SELECT len(v) AS n FROM e GROUP BY 1 ORDER BY count(*) DESC, n DESC LIMIT 1),
+k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, v, n // 16 AS s FROM e JOIN l ON len(v) = n),
+w AS MATERIALIZED (SELECT r, p, list_slice(v, p * s + 1, p * s + s) AS w FROM (SELECT r, v, s, unnest(range(16)) AS p FROM k)),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS i FROM k WHERE vec_id IS NOT NULL QUALIFY i < 64),
+b0 AS MATERIALIZED (SELECT p, i, w FROM w JOIN f USING (r)),
+""" + "".join(f"""
+a{n} AS MATERIALIZED (
+  SELECT r, p, min(struct_pack(d := {_SQUARE.format("w.w", f"b{n}.w")}, i := i)) AS x FROM w JOIN b{n} USING (p) GROUP BY r, p),
+""" + (f"""
+u{n} AS (SELECT p, x.i AS i, j, floor(sum(w[j]) / count(*))::BIGINT AS c
+  FROM (SELECT p, x, w, unnest(range(1, len(w) + 1)) AS j FROM a{n} JOIN w USING (r, p)) GROUP BY ALL),
+b{n + 1} AS MATERIALIZED (
+  SELECT p, i, coalesce(c, w) AS w FROM b{n} LEFT JOIN (SELECT p, i, list(c ORDER BY j) AS c FROM u{n} GROUP BY p, i) USING (p, i)),
+""" if n < 2 else "") for n in range(3)) + """
+h AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, i)) AS h FROM b2),
+c AS (SELECT r, string_agg(printf('%02x', x.i), '' ORDER BY p) AS code, sum(x.d)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM k JOIN c USING (r), h
+"""
+
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE {_KEPT} AND len(embedding) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS i, v AS c FROM v WHERE vec_id IS NOT NULL QUALIFY i < 16),
+""" + "".join(f"""
+a{n} AS MATERIALIZED (
+  SELECT r, any_value(v) AS v, min(struct_pack(d := {_SQUARE.format("v", "c")}, i := i)) AS x FROM v CROSS JOIN c{n} GROUP BY r),
+""" + (f"""
+u{n} AS (SELECT x.i AS i, j, floor(sum(v[j]) / count(*))::BIGINT AS c FROM (SELECT x, v, unnest(range(1, 65)) AS j FROM a{n}) GROUP BY ALL),
+c{n + 1} AS MATERIALIZED (
+  SELECT i, coalesce(m, c) AS c FROM c{n} LEFT JOIN (SELECT i, list(c ORDER BY j) AS m FROM u{n} GROUP BY i) USING (i)),
+""" if n < 3 else "") for n in range(4)) + """
+f AS (SELECT r, x.i AS i, x.d AS d FROM a3)
+SELECT vec_id, f.i::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY f.i)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM f JOIN v USING (r) JOIN c3 ON c3.i = f.i
+"""
+
+ORACLES = {
+    "op1_chat_formatting": OP1_SQL,
+    "op4_exact_top_k": OP4_SQL,
+    "op6_minhash_near_dedup": OP6_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op13_centroid_clustering": OP13_SQL,
+}
