@@ -119,8 +119,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each pair of places, from one running sum."""
-    up, down = _power(len(data))
-    sums = np.empty(len(data) + 1, np.uint64)
+    return run_hashes(_BYTE[data], start, end)
+
+
+def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the run values[start:end] of 64-bit values for each pair of places, from one running sum."""
+    up, down = _power(len(values))
+    sums = np.empty(len(values) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[data] * up, out=sums[1:])
+    np.cumsum(values * up, out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))

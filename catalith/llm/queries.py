@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catalith.llm import chat, clustering, fingerprints, html_text, language_id, packing, sentence_pieces, token_output, topk, toxicity, vector_codes
+from catalith.llm import chat, clustering, fingerprints, html_text, language_id, packing, sentence_pieces, substring_dedup, token_output, topk, toxicity, vector_codes
 from catalith.llm.common import table
 from catalith.llm.near_dedup import near_duplicates
 
@@ -65,6 +66,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when windows of 35 words that stand elsewhere too are removed."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of sixteen centroids for every vector, after three rounds."""
     return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
@@ -82,6 +88,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
     "op11_vector_codes": op11_vector_codes,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
@@ -159,6 +166,19 @@ c AS (SELECT r, string_agg(printf('%02x', x.i), '' ORDER BY p) AS code, sum(x.d)
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM k JOIN c USING (r), h
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+s AS (SELECT r, i, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS s, count(*) OVER (PARTITION BY r) AS n FROM w),
+h AS (SELECT r, i, md5(s) AS s FROM s WHERE i + 35 <= n),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM h JOIN (SELECT s FROM h GROUP BY s HAVING count(*) > 1) USING (s)),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN g USING (r, i) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN n USING (r)
+"""
+
 OP13_SQL = f"""
 WITH v AS MATERIALIZED (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -184,5 +204,6 @@ ORACLES = {
     "op4_exact_top_k": OP4_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op12_substring_dedup": OP12_SQL,
     "op13_centroid_clustering": OP13_SQL,
 }
