@@ -205,6 +205,12 @@ def numbers(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))
 
 
+def numbers_meet(a: Column, b: Column) -> Column:
+    """Whether the texts share a run of digits, or neither has one."""
+    x, y = (F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)) for c in (a, b))
+    return F.arrays_overlap(x, y) | ((F.size(x) == 0) & (F.size(y) == 0))
+
+
 def first_number(x: Column) -> Column:
     return F.get(numbers(x), F.lit(0)).try_cast("double")
 
