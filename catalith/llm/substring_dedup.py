@@ -249,7 +249,8 @@ def _spans(rows: DataFrame, window: int) -> DataFrame:
     texts = stored(rows.select(*_KEYS, "text").join(chosen, _KEYS).mapInArrow(_texts, TEXTS), "texts")
 
     factored = texts.filter("not deep").groupBy("block").applyInArrow(_factor(window), SPANS)
-    windows = stored(texts.filter("deep").mapInArrow(_windows(window), "key long, words long, copies long, low int, window long"), "windows")
+    # few documents may stand for all regions of such keys, so these are dealt out anew before they are cut
+    windows = stored(texts.filter("deep").repartition("key", "words").mapInArrow(_windows(window), "key long, words long, copies long, low int, window long"), "windows")
     place = F.xxhash64("words", "low")
     twice = windows.groupBy("key", "window").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("copies").alias("copies"))
     twice = stored(twice.filter("a <> b or copies > 1").select("key", "window"), "twice")
