@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.llm.common import flat_text, mix, run_hashes, slices, span_hashes, stored
@@ -230,14 +230,25 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
+def _merged(spans: Column) -> Column:
+    """The same places in spans (low, high) in ascending order of which no two meet."""
+    kind = "array<struct<low:int,high:int>>"
+
+    def take(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        joined = F.struct(last["low"].alias("low"), F.greatest(last["high"], s["high"]).alias("high"))
+        return F.when(last["high"] >= s["low"], F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), joined)).otherwise(F.array_append(done, s))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), take)
+
+
 def _spans(rows: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, low, high): the words of every row that stand in repeated windows; the words from low on, before high."""
+    """(k1, k2, spans): for every row that has words in repeated windows a few rows with spans of these, array of (low, high): the words from low on, before high."""
     found = stored(rows.mapInArrow(_regions(window), REGIONS), "regions")
     keys = found.groupBy("key").agg(F.count("*").alias("all"), F.sum("weight").alias("weight"), (F.min("words") == F.max("words")).alias("alike"))
     keys = stored(keys.filter("weight > 1").select("key", F.expr("all > 1 and alike").alias("whole")), "keys")
     places = stored(found.join(keys, "key"), "places")
-    ends = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
-    whole = places.filter("whole").select(*_KEYS, ends(F.col("first"), F.col("first") + F.col("n") + window - 1).alias("s"))
+    whole = places.filter("whole").select(*_KEYS, F.array(F.struct(F.col("first").alias("low"), (F.col("first") + F.col("n") + window - 1).cast("int").alias("high"))).alias("spans"))
 
     mixed = places.filter("not whole")
     kinds = stored(mixed.groupBy("key", "words").agg(F.count("*").alias("copies"), F.min(F.struct(*_KEYS, "low", "high", "n")).alias("at")), "kinds")
@@ -255,10 +266,10 @@ def _spans(rows: DataFrame, window: int) -> DataFrame:
     twice = windows.groupBy("key", "window").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("copies").alias("copies"))
     twice = stored(twice.filter("a <> b or copies > 1").select("key", "window"), "twice")
     split = windows.join(twice, ["key", "window"]).select("key", "words", "low", (F.col("low") + window).alias("high"))
-    spans = factored.union(split).groupBy("key", "words").agg(F.collect_set(F.struct("low", "high")).alias("spans"))  # as many as the region has windows
-    spans = stored(spans, "spans")
-    parts = mixed.join(spans, ["key", "words"]).select(*_KEYS, "first", F.explode("spans").alias("s"))
-    return whole.union(parts.select(*_KEYS, ends(F.col("first") + F.col("s.low"), F.col("first") + F.col("s.high")).alias("s")))
+    spans = factored.union(split.select("key", "words", "low", F.col("high").cast("int").alias("high"))).groupBy("key", "words").agg(F.collect_set(F.struct("low", "high")).alias("spans"))  # as many as the region has windows
+    spans = stored(spans.select("key", "words", _merged(F.col("spans")).alias("spans")), "spans")
+    there = F.transform("spans", lambda s: F.struct((F.col("first") + s["low"]).alias("low"), (F.col("first") + s["high"]).alias("high")))
+    return whole.union(mixed.join(spans, ["key", "words"]).select(*_KEYS, there.alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,6 +282,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("k2"))
-    spans = _spans(rows, window).groupBy(*_KEYS).agg(F.collect_set("s").alias("spans"))  # as many as the document has words
+    spans = _spans(rows, window).groupBy(*_KEYS).agg(F.flatten(F.collect_set("spans")).alias("spans"))  # as many as the document has regions
     spans = spans.select(*_KEYS, F.transform("spans", lambda s: F.array(s["low"], s["high"])).alias("spans"))
     return rows.join(stored(spans, "documents"), _KEYS, "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
