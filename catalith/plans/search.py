@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from catalith.functions.similarity import bigram_dice, prefix_words, trigram_similarity
 from catalith.functions.text import edit_ratio, slug, word_jaccard
 from catalith.operators.facets import Facet, count, passes
+from catalith.operators.name_search import admin_search, autocomplete, public_search, recall
+from catalith.operators.trigram_index import TrigramIndex
 from catalith.operators.trigram_join import similar_names
 from catalith.plans.catalogue import with_sql
 from catalith.plans.define import Plans
+from catalith.sources.shared import new_path
 from catalith.sources.tables import OFFER_SQL, PRODUCT_SQL, RECORD_SQL, SOURCE_SQL, offers, products, source_records, sources, table
 
 P = Plans()
@@ -194,3 +197,73 @@ def f21_f24_category_match(spark, sf):
     scored = names.join(known, F.lit(True)).withColumn("score", F.round(score, 6)).filter("score >= 0.5")
     best = F.max_by(F.struct("category", "score"), F.struct("score", F.expr("transform(split(category, ''), c -> -ascii(c))")))
     return scored.groupBy("name").agg(best.alias("m")).select("name", "m.category", "m.score")
+
+
+def changed_catalogue(spark, sf):
+    """Products with a model; every seventh has a new display name, and every ninth alias is gone, since the index was first built."""
+    p = products(spark, sf)
+    kind = F.element_at(F.split("display_name", " "), -1)
+    old = p.withColumns({"model": F.concat_ws(" ", kind, "size"), "kind": kind, "slug": F.when(F.col("id") % 3 != 0, slug(F.col("display_name")))})
+    new = old.withColumn("display_name", F.when(F.col("id") % 7 == 0, F.concat_ws(" ", "kind", "display_name", F.lit("ii"))).otherwise(F.col("display_name")))
+    return old, new
+
+
+CHANGED_SQL = f"""{PRODUCT_SQL}, p AS (SELECT id, brand, enabled, CASE WHEN id % 7 = 0 THEN kind || ' ' || display_name || ' ii' ELSE display_name END AS display_name, kind || ' ' || size AS model, kind, colour, id % 3 <> 0 AS slugged FROM product),
+a AS (SELECT id, kind || ' ' || colour AS alias FROM product WHERE id % 9 <> 0 UNION ALL SELECT id, brand || ' ' || kind FROM product)"""
+
+
+def index_of(spark, sf) -> TrigramIndex:
+    """The index over the old catalogue, into which the changes are then taken."""
+    old, new = changed_catalogue(spark, sf)
+    colour = F.get_json_object("specs", "$.colour")
+    named = lambda field, place, text: F.struct(F.lit(field).alias("field"), F.lit(place).alias("place"), text.alias("text"))
+    names = F.array(named("display", 0, F.col("display_name")), named("model", 0, F.col("model")), named("alias", 0, F.concat_ws(" ", "kind", colour)), named("alias", 1, F.concat_ws(" ", "brand", "kind")))
+    index = TrigramIndex(spark, new_path(spark, "trigrams"))
+    index.apply(old.select("id", F.explode(names).alias("x")).select("id", "x.*"), 0)
+    renamed = new.filter("id % 7 = 0").select("id", F.lit("display").alias("field"), F.lit(0).alias("place"), F.col("display_name").alias("text"))
+    gone = new.filter("id % 9 = 0").select("id", F.lit("alias").alias("field"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("text"))
+    index.apply(renamed.union(gone), 1)
+    return index
+
+
+RELEVANT_SQL = f"""r AS (SELECT p.*, a.alias, {similarity_sql("lower(p.display_name)", "'ring red'")} AS by_name, coalesce({similarity_sql("a.alias", "'ring red'")}, 0) AS by_alias FROM p LEFT JOIN a ON a.id = p.id WHERE enabled),
+b AS (SELECT id, any_value(display_name) AS display_name, any_value(slugged) AS slugged, round(greatest(max(by_name), max(by_alias)), 6) AS relevance FROM r
+  WHERE display_name ILIKE '%ring red%' OR alias ILIKE '%ring red%' OR by_name > 0.1 OR by_alias > 0.1 GROUP BY id)"""
+
+
+@P.query(f"""{with_sql(CHANGED_SQL)}, s AS (SELECT id, display_name, model, greatest({similarity_sql("lower(display_name)", "'red ring'")}, {similarity_sql("lower(model)", "'red ring'")}) AS score FROM p)
+SELECT id, round(score, 6) AS score FROM s WHERE score >= 0.1 OR display_name ILIKE '%red ring%' OR model ILIKE '%red ring%'""")
+def q1_admin_search(spark, sf):
+    """All products that the admin search finds, by the stored index."""
+    return admin_search(index_of(spark, sf), changed_catalogue(spark, sf)[1], "Red ring ").withColumn("score", F.round("score", 6))
+
+
+@P.query(f"{with_sql(CHANGED_SQL)}, {RELEVANT_SQL} SELECT id, display_name, relevance, (SELECT count(*) FROM b) AS total FROM b ORDER BY relevance DESC, id LIMIT 20 OFFSET 20")
+def q2_public_search_page(spark, sf):
+    """The second page of the public search, with the number of all that it finds."""
+    return public_search(index_of(spark, sf), changed_catalogue(spark, sf)[1], "ring red", page=2).select("id", "display_name", "relevance", "total")
+
+
+@P.query(f"{with_sql(CHANGED_SQL)}, s AS (SELECT * FROM p WHERE enabled AND (display_name ILIKE '%i%' OR brand ILIKE '%i%')) SELECT id, display_name, (SELECT count(*) FROM s) AS total FROM s ORDER BY display_name, id LIMIT 20")
+def q2_public_search_short(spark, sf):
+    """A term under three characters: a pattern in display name or brand, by name."""
+    return public_search(index_of(spark, sf), changed_catalogue(spark, sf)[1], "i").select("id", "display_name", "total")
+
+
+@P.query(f"{with_sql(CHANGED_SQL)}, {RELEVANT_SQL} SELECT id, display_name FROM (SELECT * FROM b ORDER BY relevance DESC, id LIMIT 5) WHERE slugged")
+def q3_autocomplete(spark, sf):
+    """The five most relevant products, of which those without a slug go afterwards."""
+    return autocomplete(index_of(spark, sf), changed_catalogue(spark, sf)[1], "ring red").select("id", "display_name")
+
+
+@P.query(f"""{with_sql(CHANGED_SQL)}, q AS (SELECT id AS query_id, brand, display_name || ' ' || size AS name, CASE WHEN id % 2 = 0 THEN id END AS ref FROM product WHERE id % 11 = 0),
+s AS (SELECT query_id, ref, p.id, a.alias, round({similarity_sql("lower(p.display_name)", "lower(q.name)")}, 6) AS by_name, coalesce({similarity_sql("a.alias", "regexp_replace(lower(q.name), '([a-z]) +([0-9])', '" + chr(92) + "1" + chr(92) + "2', 'g')")}, 0) AS by_alias, {similarity_sql("p.model", "q.name")} AS by_model
+  FROM q JOIN p ON p.brand = q.brand LEFT JOIN a ON a.id = p.id),
+r AS (SELECT *, round(greatest(by_name, by_alias, by_model), 6) AS score FROM s WHERE greatest(by_name, by_alias, by_model) > 0.4),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY by_name DESC, score DESC, id, alias) <= 5)
+SELECT query_id, id AS candidate_id, max(score) AS score FROM f WHERE ref IS DISTINCT FROM id GROUP BY query_id, id""")
+def e6_e13_indexed_recall(spark, sf):
+    """Candidates of a mention: five rows by name similarity, each product by the greatest of its three, without the mention's reference."""
+    p = products(spark, sf).filter("id % 11 = 0")
+    mentions = p.select(F.col("id").alias("query_id"), "brand", F.concat_ws(" ", "display_name", "size").alias("name"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("reference_id"))
+    return recall(index_of(spark, sf), changed_catalogue(spark, sf)[1], mentions)
