@@ -110,17 +110,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.record_batch([pa.array([name] * len(values)), pa.array(values.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
 
-def fit(rows: DataFrame, train: int = TRAIN) -> Filters:
-    """Learns the filters from rows (text, lang); about `train` rows of each language count, chosen by hash of the text.
+def fit(rows: DataFrame, train: int = TRAIN, id_col: str = "doc_id") -> Filters:
+    """Learns the filters from rows (text, lang); about `train` rows of each language count, all of a language that has no more, chosen by hash of id and text.
 
-    Rows with null text or lang are left out; every language that is left counts. Without any row no language is known.
+    Rows with null text or lang are left out; every language that is left counts. Without any row no language is known. Rows that are equal in both, as where there is no id, are chosen together; of
+    each language the one of least hash is always among the chosen.
     """
-    rows = rows.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    rows = rows.filter("text is not null and lang is not null")
+    rows = rows.select("text", "lang", F.xxhash64("text", *[id_col][: id_col in rows.columns]).alias("at"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min(F.pmod("at", F.lit(1 << 20))).alias("least")).orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return Filters([], np.zeros((1, 1 << SLOT_BITS), _U), np.zeros(0))
-    part = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train / r["count"]))]), F.col("lang"))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < part * (1 << 20))
+    part = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(min(1.0, train / r["count"]), (r["least"] + 1) / (1 << 20)))]), F.col("lang"))
+    sample = rows.filter(F.pmod("at", F.lit(1 << 20)) < part * (1 << 20)).drop("at")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # bytes of n-grams are 32 and above, the numbers that shorter runs begin with below
     counts = counts.withColumn("short", F.col("gram") < F.lit(32 << 8 * (N - 1)))

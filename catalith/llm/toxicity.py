@@ -10,7 +10,8 @@ landmarks' kernel matrix (the Nystroem map) to a linear SVM with squared hinge l
 words, where a word stands on either side as often as toxic and clean texts have it. A text is read as the bag of its words' margins:
 the three greatest, their sum, and the number of words go to a second linear SVM, trained on the labelled texts, whose
 margin a sigmoid turns into the score. So one word that is only like an insult weighs less than two that are.
-Characters of a word set apart by white space are read as one word too.
+Characters of a word set apart by white space are read as one word too. Words of a few characters, which have few subsequences or none of ORDER, are read between
+signs for their two ends as well, so a short insult is a landmark like a long one; words of over WIDTH characters are read in windows.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from catalith.llm.common import slices, stored
 
 ORDER, DECAY = 4, 0.6
-#: Toxic and harmless landmarks, their most characters, and the kernel value from which a word is too close to one that was chosen, of either kind.
-LANDMARKS, HARMLESS, LONGEST, CLOSE, EQUAL = 64, 32, 14, 0.85, 0.98
+#: Toxic and harmless landmarks, and the kernel value from which a word is too close to one that was chosen, of either kind.
+LANDMARKS, HARMLESS, CLOSE, EQUAL = 64, 32, 0.85, 0.98
+#: Words of up to so many characters are framed by signs for their ends; those of fewer than ORDER are read only so.
+SHORT, BEGIN, END = 4, "\x02", "\x03"
 #: Share of a landmark's characters that a word must have in order for the kernel to be worked out; below, it counts as zero.
 COMMON = 0.7
 #: Kernel value from which a word is like a landmark, and how many such words the first machine is trained on.
@@ -85,7 +88,7 @@ class Landmarks:
 
     def __init__(self, strings: list[str]):
         self.strings, self.own = strings, _own(strings)
-        self.codes = _codes(strings, LONGEST, -1)
+        self.codes = _codes(strings, max(map(len, strings), default=ORDER), -1)
         self.least = [max(ORDER, -(-len(s) * COMMON // 1)) for s in strings]
         self.letters = np.array(sorted({c for s in strings for c in map(ord, s)}), np.int32)
         self.masks = np.zeros((len(strings), len(self.letters) + 1), np.uint32)
@@ -143,11 +146,17 @@ class Model:
         return 1 / (1 + np.exp(np.clip(-(self.slope * margin + self.shift), -60, 60)))
 
 
+def _framed(word: str) -> str:
+    """A short word between signs for its ends, as many as make ORDER characters at least."""
+    signs = max(1, -(-(ORDER - len(word)) // 2))
+    return BEGIN * signs + word + END * signs
+
+
 def _forms(token: str) -> list[str]:
     """What the kernel reads of a raw token: its middle part without outer signs, also without inner ones, in windows if it is long."""
     w = _EDGES.sub("", token)
     found = [w] if w.isalnum() else [w, _SIGNS.sub("", w)]
-    found = [x for x in found if len(x) >= ORDER]
+    found = [x for x in found if len(x) >= ORDER] + [_framed(x) for x in found if 0 < len(x) <= SHORT]
     return [y for x in found for y in ([x] if len(x) <= WIDTH else [x[i : i + WIDTH] for i in range(0, len(x) - WIDTH // 2, WIDTH // 2)])]
 
 
@@ -212,7 +221,11 @@ def _counts(rows: DataFrame) -> DataFrame:
     """word, a (toxic texts that have it), b (clean ones) of words that a landmark can be."""
     word = F.regexp_replace(F.col("word"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     words = rows.select("id", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).select("id", "toxic", word.alias("word"))
-    words = words.filter(F.length("word").between(ORDER, LONGEST)).distinct()
+    n = F.length("word")
+    framed = lambda signs: F.concat(F.lit(BEGIN * signs), "word", F.lit(END * signs))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - WIDTH // 2, F.lit(1)), F.lit(WIDTH // 2)), lambda i: F.substring("word", i, F.lit(WIDTH)))
+    forms = F.when(n == 0, F.array().cast("array<string>")).when(n <= ORDER - 3, F.array(framed(2))).when(n < ORDER, F.array(framed(1))).when(n <= SHORT, F.array(F.col("word"), framed(1))).when(n <= WIDTH, F.array("word")).otherwise(windows)
+    words = words.select("id", "toxic", F.explode(forms).alias("word")).distinct()
     return words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
 
 
@@ -233,7 +246,7 @@ def _apart(words: list[str], kept: list[str], most: int, close: float) -> list[s
         if room == 0:
             break
         if kept:
-            k = kernel(np.repeat(_codes([w], LONGEST, 0), len(kept), axis=0), _codes(kept, LONGEST, -1))
+            k = kernel(np.repeat(_codes([w], len(w), 0), len(kept), axis=0), _codes(kept, max(map(len, kept)), -1))
             if (k / (own[w] * np.array([own[x] for x in kept]))).max() >= close:
                 continue
         kept.append(w)
@@ -255,7 +268,7 @@ def _like(counts: DataFrame, landmarks: list[str]) -> DataFrame:
 
 def _nystroem(strings: list[str]) -> np.ndarray:
     marks = Landmarks(strings)
-    inner = np.array([kernel(np.repeat(_codes([s], LONGEST, 0), len(strings), axis=0), marks.codes) for s in strings]) / np.outer(marks.own, marks.own)
+    inner = np.array([kernel(np.repeat(_codes([s], len(s), 0), len(strings), axis=0), marks.codes) for s in strings]) / np.outer(marks.own, marks.own)
     value, vector = np.linalg.eigh((inner + inner.T) / 2)
     return (vector / np.sqrt(np.maximum(value, 0.01))) @ vector.T
 
