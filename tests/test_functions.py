@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
+from test_resolution import basic, drawn_names
 
 from catalith.functions import similarity as S
 from catalith.functions import text as T
@@ -29,9 +34,9 @@ def test_sanitised_and_idempotent(spark, given, wanted):
     assert value(spark, T.sanitised(F.lit(once))) == wanted
 
 
-@pytest.mark.parametrize(("given", "wanted"), [("QRS 456TUV", "qrs456tuv"), ("31AB410CD-E", "31ab410cd-e"), ("QT88(XY)ZW", "qt88xy zw")])
-def test_basic(spark, given, wanted):
-    assert value(spark, T.basic(F.lit(given))) == wanted
+@pytest.mark.parametrize("given", drawn_names(8, 12))
+def test_basic(spark, given):
+    assert value(spark, T.basic(F.lit(given))) == basic(given)
 
 
 def test_slug_and_fallback(spark):
@@ -40,15 +45,23 @@ def test_slug_and_fallback(spark):
 
 
 def test_digit_words(spark):
-    assert value(spark, T.digit_words(F.lit("ASUS ROG PG-34WCDM"), F.lit("asus"))) == "pg34wcdm"
-    assert value(spark, T.digit_words(F.lit("Trek Powerfly LT"), F.lit("Trek"))) == "powerfly"
+    rng = random.Random(2)
+    for _ in range(12):
+        brand, words = "Acme", [rng.choice(["plain", "wide", "K7", "12-x", "Q.9", "z"]) for _ in range(rng.randrange(1, 4))]
+        plain = [re.sub("[^a-z0-9]", "", w.lower()) for w in words]
+        digits = [w for w in plain if re.search("[0-9]", w)]
+        longest = max(enumerate(words), key=lambda w: (len(w[1]), -w[0]))[0]
+        named = rng.choice(["", "Acme ", "ACME "]) + " ".join(words)
+        assert value(spark, T.digit_words(F.lit(named), F.lit(brand))) == (" ".join(digits) if digits else plain[longest])
 
 
 def test_tokens(spark):
-    x = F.lit("MAG 341CQP QD")
-    assert value(spark, T.tokens(x)) == ["mag", "341", "cqp", "qd"]
-    assert value(spark, T.critical_alphas(x)) == ["mag"]
-    assert value(spark, T.suffix_alphas(x)) == ["cqp", "qd"]
+    for name in drawn_names(9, 12):
+        words = re.findall("[a-z]+|[0-9]+", name.lower())
+        first = next((i for i, w in enumerate(words) if w.isdigit()), len(words))
+        assert value(spark, T.tokens(F.lit(name))) == words
+        assert value(spark, T.critical_alphas(F.lit(name))) == [a for a, b in itertools.pairwise(words) if a.isalpha() and b.isdigit()]
+        assert value(spark, T.suffix_alphas(F.lit(name))) == [w for w in words[first:] if w.isalpha()]
 
 
 def test_trigram_similarity(spark):
