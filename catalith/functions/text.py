@@ -13,12 +13,16 @@ from pyspark.sql.types import StringType
 SPACES = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 # fixed values: characters folded to plain ones when text is cleaned, by group
-SINGLE_QUOTES = "\u2018\u2019\u201A\u201B\u2032\u00B4\u0060"
+SINGLE_QUOTES = "\u2018\u2019\u201A\u201B\u2032"
 DOUBLE_QUOTES = "\u201C\u201D\u201E\u201F\u2033\u00AB\u00BB"
-DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
+LONG_DASHES = "\u2014\u2015"
+DASHES = "\u2010\u2011\u2013\u2212"
 ELLIPSIS = "\u2026"
+LINE_ENDS = "\u2028\u2029"
 WIDE_SPACES = "\u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A\u202F\u205F\u3000"
-ZERO_WIDTH = "\u200B\u200C\u200D\u2060\uFEFF\u00AD"
+NO_WIDTH = "\u200B\u200C\u200D\uFEFF\u00AD\u200E\u200F"
+#: A backslash before one of the signs that markdown gives a meaning.
+ESCAPED = r"\\([*_~`\[\]()#+\-!.>])"
 #: Letters that canonical decomposition turns into one plain character and marks, and that character; made by rule.
 _LETTERS = [(chr(c), base) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(base := "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))) == 1 and base != chr(c)]
 ACCENTED, PLAIN = "".join(a for a, _ in _LETTERS), "".join(b for _, b in _LETTERS)
@@ -97,19 +101,21 @@ def normalised(x: Column) -> Column:
 
 
 def sanitised(x: Column) -> Column:
-    """Folds quotes, dashes, ellipses and wide spaces, strips zero-width characters, takes markdown escapes away. Idempotent."""
-    x = F.translate(x, SINGLE_QUOTES, "'" * len(SINGLE_QUOTES))
-    x = F.translate(x, DOUBLE_QUOTES, '"' * len(DOUBLE_QUOTES))
-    x = F.translate(x, DASHES, "-" * len(DASHES))
-    x = F.translate(x, WIDE_SPACES, " " * len(WIDE_SPACES))
-    x = F.regexp_replace(F.translate(x, ZERO_WIDTH, ""), ELLIPSIS, "...")
-    return trimmed(F.regexp_replace(x, r"\\+([*_#\[\]()~`>+.!|-])", "$1"))
+    """Plain characters for typographic ones: quotes and short dashes to one character, long dashes to two hyphens, the ellipsis to three dots, separators of lines and paragraphs to line ends, wide spaces to
+    spaces; characters without width go, and so does one backslash before a sign of markdown. Outer white space and everything else stay; null gives an empty text.
+
+    Expects composed text, see nfc().
+    """
+    x = F.translate(F.coalesce(x, F.lit("")), SINGLE_QUOTES + DASHES + LINE_ENDS + WIDE_SPACES, "'" * len(SINGLE_QUOTES) + "-" * len(DASHES) + "\n" * len(LINE_ENDS) + " " * len(WIDE_SPACES))
+    x = F.translate(F.translate(x, DOUBLE_QUOTES, '"' * len(DOUBLE_QUOTES)), NO_WIDTH, "")
+    x = F.regexp_replace(F.regexp_replace(x, f"[{LONG_DASHES}]", "--"), ELLIPSIS, "...")
+    return F.regexp_replace(x, ESCAPED, "$1")
 
 
 def model_name(x: Column) -> Column:
     """Joins letters and digits that a space parts: `MPG 341` and `341 Q` lose it."""
-    joined = F.regexp_replace(x, r"([A-Za-z]) +(?=[0-9])", "$1")
-    return F.regexp_replace(joined, r"([0-9]) +(?=[A-Za-z])", "$1")
+    joined = F.regexp_replace(x, rf"([A-Za-z]){SPACES}+(?=[0-9])", "$1")
+    return F.regexp_replace(joined, rf"([0-9]){SPACES}+(?=[A-Za-z])", "$1")
 
 
 def slug(x: Column, fallback: Column | None = None) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from catalith.functions import text as T
@@ -22,24 +20,23 @@ def named(spark, sf):
     return products(spark, sf).select("id", "brand", "size", F.concat(F.col("brand"), F.lit(" "), F.upper("display_name"), F.lit(" "), F.col("size"), F.lit(" Q"), F.col("id"), F.lit("-B")).alias("name"))
 
 
-@P.query("SELECT doc_id, trim(regexp_replace(lower(text), '[\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g')) AS text FROM documents WHERE lang = 'en'")
+@P.query("SELECT doc_id, trim(regexp_replace(lower(text), '[\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g')) AS text FROM documents")
 def f1_normalise(spark, sf):
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", T.normalised(F.col("text")).alias("text"))
-
-
-WHITE = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", T.SPACES)
+    return table(spark, sf, "documents").select("doc_id", T.normalised(F.col("text")).alias("text"))
 
 
-def folded_sql(x: str) -> str:
-    """sanitised() of the composed form in SQL."""
-    for chars, new in ((T.SINGLE_QUOTES, "''"), (T.DOUBLE_QUOTES, '"'), (T.DASHES, "-"), (T.WIDE_SPACES, " "), (T.ZERO_WIDTH, ""), (T.ELLIPSIS, "...")):
-        x = f"regexp_replace({x}, '[{chars}]', '{new}', 'g')"
-    return f"regexp_replace(regexp_replace({x}, '\\\\+([*_#\\[\\]()~`>+.!|-])', '\\1', 'g'), '^{WHITE}+|{WHITE}+$', '', 'g')"
+FOLDED_SQL = r"""
+WITH t AS (SELECT doc_id, nfc_normalize(coalesce(text, '')) AS t FROM documents),
+q AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\x{2018}\x{2019}\x{201A}\x{201B}\x{2032}]', '''', 'g'), '[\x{201C}-\x{201F}\x{2033}\x{AB}\x{BB}]', '"', 'g') AS t FROM t),
+d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[\x{2014}\x{2015}]', '--', 'g'), '[\x{2010}\x{2011}\x{2013}\x{2212}]', '-', 'g'), '\x{2026}', '...', 'g') AS t FROM q),
+w AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\x{2028}\x{2029}]', chr(10), 'g'), '[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g') AS t FROM d)
+SELECT doc_id, regexp_replace(regexp_replace(t, '[\x{200B}-\x{200F}\x{FEFF}\x{AD}]', '', 'g'), '\\([*_~`\[\]()#+\-!.>])', '\1', 'g') AS text FROM w
+"""
 
 
-@P.query(f"SELECT doc_id, {folded_sql('nfc_normalize(text)')} AS text FROM documents")
+@P.query(FOLDED_SQL)
 def f2_sanitise(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.sanitised(T.nfc("text")).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", T.sanitised(T.nfc(F.coalesce("text", F.lit("")))).alias("text"))
 
 
 @P.query(f"{with_sql(NAMED_SQL)} SELECT id, regexp_replace(regexp_replace(name, '([A-Za-z]) +([0-9])', '\\1\\2', 'g'), '([0-9]) +([A-Za-z])', '\\1\\2', 'g') AS name FROM named")
