@@ -43,6 +43,8 @@ WIDTH = 24
 TRAIN = 3000
 #: Candidates for landmarks that are sent to the driver, the texts they must be in, and words that a task remembers.
 CANDIDATES, LEAST, MEMORY = 2000, 2, 300_000
+#: Words whose kernel values are worked out at a time.
+PART = 10_000
 
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
 _EDGES, _SIGNS = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[\W_]+")
@@ -169,11 +171,12 @@ def _tokens(text: str) -> set[str]:
 
 
 class Reader:
-    """Bags of texts; remembers the margins of words it has seen, as most words come again."""
+    """Bags of texts; remembers the words it has seen, as most come again: those with a margin, and of the many without one a 64-bit hash."""
 
     def __init__(self, model: Model):
         self.model, self.landmarks = model, Landmarks(model.landmarks)
         self.seen: dict[str, float] = {}
+        self.plain: set[int] = set()
 
     def margins(self, words: list[str]) -> np.ndarray:
         """How far each word is above the margin of a clean one; 0 for words that are like no landmark."""
@@ -185,20 +188,22 @@ class Reader:
 
     def bags(self, texts: list[str | None]) -> np.ndarray:
         tokens = [_tokens(t) if t else set() for t in texts]
-        if len(self.seen) > MEMORY:
-            self.seen = {}
-        new = list(set().union(*tokens).difference(self.seen)) if tokens else []
-        forms = [_forms(t) for t in new]
-        flat = [f for fs in forms for f in fs]
-        self.seen.update((t, 0.0) for t in new)
-        if flat:
-            margin = self.margins(flat)
-            owner = np.repeat(np.arange(len(new)), [len(f) for f in forms])
-            for i in np.flatnonzero(margin):
-                self.seen[new[owner[i]]] = max(self.seen[new[owner[i]]], float(margin[i]))
+        if len(self.seen) + len(self.plain) > MEMORY:
+            self.seen, self.plain = {}, set()
+        every = [t for t in set().union(*tokens) if t not in self.seen and hash(t) not in self.plain]
+        for k in range(0, len(every), PART):
+            new = every[k : k + PART]
+            forms = [_forms(t) for t in new]
+            flat = [f for fs in forms for f in fs]
+            if flat:
+                margin = self.margins(flat)
+                owner = np.repeat(np.arange(len(new)), [len(f) for f in forms])
+                for i in np.flatnonzero(margin):
+                    self.seen[new[owner[i]]] = max(self.seen.get(new[owner[i]], 0.0), float(margin[i]))
+            self.plain.update(hash(t) for t in new if t not in self.seen)
         out = np.zeros((len(texts), 5))
         for i, own in enumerate(tokens):
-            top = sorted(filter(None, map(self.seen.__getitem__, own)), reverse=True)
+            top = sorted((self.seen[t] for t in own if t in self.seen), reverse=True)
             out[i, : min(3, len(top))] = top[:3]
             out[i, 3:] = np.log1p(sum(top)), np.log1p(len(own)) / 10
         return out
