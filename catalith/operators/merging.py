@@ -15,7 +15,7 @@ def vote(candidates: DataFrame, ranges: DataFrame) -> DataFrame:
     all others are its roundings; then the latest, then the greatest priority, then the least tie.
     """
     number = F.col("value").try_cast("double")
-    rows = candidates.join(F.broadcast(ranges), "key", "left").withColumn("number", number)  # one row for a schema key
+    rows = candidates.join(ranges, "key", "left").withColumn("number", number)
     plain = lambda x: F.regexp_replace(F.lower(x), r"\s+", "")
     # a bound that isn't given holds nothing off; a value that is no number fails any bound that is
     bounded = F.col("low").isNotNull() | F.col("high").isNotNull()

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalith.functions import text as T
-from catalith.functions.similarity import bigram_dice, cosine, prefix_words
+from catalith.functions.similarity import bigram_dice, prefix_words
 from catalith.operators.duplicates import merge_direction
 from catalith.operators.merging import identity, vote
 from catalith.operators.resolution import alias_match, name_list, query_model
 from catalith.operators.specs import Mapping, coerced, display_order, errors, translatable
+from catalith.operators.vector_index import VectorIndex
 from catalith.plans.catalogue import with_sql
 from catalith.plans.define import Plans
 from catalith.plans.resolving import e6_e13_fuzzy_recall
 from catalith.plans.resolving import ORACLES as RESOLVING_SQL
+from catalith.sources.shared import new_path
 from catalith.sources.tables import PRODUCT_SQL, RECORD_SQL, TASK_SQL, products, source_records, table, tasks
 
 P = Plans()
@@ -98,6 +100,10 @@ def e27_query_model(spark, sf):
     return products(spark, sf).select("id", query_model(at(0, F.element_at(words, -1)), at(1, words[0]), at(2, F.col("brand")), F.col("display_name")).alias("model"))
 
 
+#: Categories that names may be told by.
+MOST_CATEGORIES = 10_000
+
+
 def resolve_category(mentions, categories, least: float = 0.5):
     """id, category of mentions (id, category, hint): the category given, else the enabled one (categories: category) that the hint names.
 
@@ -106,7 +112,9 @@ def resolve_category(mentions, categories, least: float = 0.5):
     hints = mentions.filter("category is null and hint is not null").select("hint").distinct()
     x, y = F.col("hint"), F.col("name")
     score = F.when(F.lower(F.trim(x)) == F.lower(y), 2.0).otherwise(F.greatest(T.word_jaccard(x, y), prefix_words(x, y), bigram_dice(x, y)))
-    # every hint against every category: these are configured by hand, and few
+    # every hint against every category, which are configured by hand; checked, as nobody sees to it elsewhere
+    if categories.count() > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} categories to tell by name")
     scored = hints.join(F.broadcast(categories.select(F.col("category").alias("name"))), F.lit(True)).withColumn("score", F.round(score, 6)).filter(F.col("score") >= least)
     best = scored.groupBy("hint").agg(F.min_by("name", F.struct((-F.col("score")).alias("s"), "name")).alias("named"))
     return mentions.join(best, "hint", "left").select("id", F.coalesce("category", "named").alias("category"))
@@ -119,16 +127,6 @@ def e2_category_resolution(spark, sf):
     return resolve_category(mentions, p.filter("enabled").select("category").distinct())
 
 
-def vector_recall(queries, rows, least: float = 0.4, k: int = 5):
-    """query_id, candidate_id, similarity: the k rows (id, embedding) most like each of a stated set of queries (query_id, embedding), above `least`."""
-    from pyspark.sql import Window
-
-    both = rows.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("q"))), F.expr("id <> query_id"))
-    scored = both.select("query_id", F.col("id").alias("candidate_id"), F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("similarity")).filter(F.col("similarity") > least)
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate_id")
-    return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).drop("place")
-
-
 @P.query(f"""WITH fuzzy AS ({RESOLVING_SQL['e6_e13_fuzzy_recall']}), {PRODUCT_SQL}, open AS (SELECT id FROM product WHERE id % 11 = 0 AND id NOT IN (SELECT query_id FROM fuzzy WHERE score >= 0.9)),
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS candidate_id, round(list_cosine_similarity(q.e, v.e), 9) AS similarity FROM v q JOIN open ON open.id = q.vec_id JOIN v ON v.vec_id <> q.vec_id)
 SELECT query_id, candidate_id FROM s WHERE similarity > 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, candidate_id) <= 5""")
@@ -137,7 +135,10 @@ def e7_embedding_recall(spark, sf):
     settled = e6_e13_fuzzy_recall(spark, sf).filter("score >= 0.9").select(F.col("query_id").alias("id")).distinct()
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     open_ = products(spark, sf).filter("id % 11 = 0").select("id").join(settled, "id", "left_anti")
-    return vector_recall(v.join(open_, "id").withColumnRenamed("id", "query_id"), v, least=0.2).select("query_id", "candidate_id")
+    index = VectorIndex(spark, new_path(spark, "recall")).build(v.withColumnRenamed("embedding", "vector"), lists=16)
+    asked = v.join(open_, "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = index.search(asked, 6, None, 0.2).filter("query_id <> id")  # a mention's own vector is among its six nearest
+    return found.filter("rank <= 6").select("query_id", F.col("id").alias("candidate_id"))
 
 
 @P.query(f"""{with_sql(RECORD_SQL)}, cell AS (SELECT model_id, last_updated, source_id % 5 AS priority, -(record_id * 10 + line) AS t, unnest(['brand', 'model', 'display_name', 'release_year']) AS field,
