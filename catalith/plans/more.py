@@ -233,7 +233,11 @@ def g10_repoint_tasks(spark, sf):
     return t.groupBy("source_id").agg(F.count("*").alias("n"))
 
 
-@P.query()
+@P.query(r"""WITH n AS (SELECT item_id AS id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM benchmark WHERE text IS NOT NULL), c AS (SELECT id, t, replace(t, ' ', '') AS s FROM n),
+g AS (SELECT id, substr(s, i, 2) AS g, count(*) AS k FROM (SELECT id, s, unnest(range(1, length(s))) AS i FROM c) GROUP BY 1, 2), m AS (SELECT id, sum(k) AS n FROM g GROUP BY 1),
+d AS (SELECT x.id AS a, y.id AS b, sum(least(x.k, y.k)) AS k FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
+SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON x.id < y.id LEFT JOIN d ON d.a = x.id AND d.b = y.id LEFT JOIN m p ON p.id = x.id LEFT JOIN m q ON q.id = y.id
+WHERE x.t = y.t OR (x.t <> '' AND y.t <> '' AND (contains(x.t, y.t) OR contains(y.t, x.t) OR x.s = y.s OR 2 * d.k / (p.n + q.n) >= 0.9))""")
 def f28_near_duplicate_texts(spark, sf):
     """Pairs of benchmark items that are equal, hold one another, or have a Dice coefficient of 0.9."""
     return near_texts(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))

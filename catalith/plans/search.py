@@ -188,7 +188,16 @@ def f17_f22_name_scores(spark, sf):
     return n.select("a", F.round(edit_ratio(F.col("a"), F.lit("red widget")), 6).alias("edit_ratio"), F.round(word_jaccard(F.col("a"), F.lit("Red  widget")), 6).alias("jaccard"))
 
 
-@P.query()
+DICE_SQL = """CASE WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN 1 WHEN len(p) + len(q) = 0 THEN 0 ELSE
+  2 * coalesce(list_sum(list_transform(list_distinct(list_intersect(p, q)), lambda v: least(len(list_filter(p, lambda z: z = v)), len(list_filter(q, lambda z: z = v))))), 0) / (len(p) + len(q)) END"""
+
+
+@P.query(f"""{with_sql(PRODUCT_SQL)}, n AS (SELECT DISTINCT display_name AS name FROM product), k AS (SELECT unnest(['red rings', 'blue widget', 'small gears', 'large']) AS category),
+w AS (SELECT name, category, lower(name) AS a, lower(category) AS b, string_split(lower(name), ' ') AS x, string_split(lower(category), ' ') AS y FROM n, k),
+g AS (SELECT *, list_transform(range(1, length(replace(a, ' ', ''))), lambda i: substr(replace(a, ' ', ''), i, 2)) AS p, list_transform(range(1, length(replace(b, ' ', ''))), lambda i: substr(replace(b, ' ', ''), i, 2)) AS q,
+  list_transform(range(1, least(len(x), len(y)) + 1), lambda i: starts_with(x[i], y[i]) OR starts_with(y[i], x[i])) AS hits FROM w),
+s AS (SELECT name, category, round(CASE WHEN a = b THEN 1 ELSE greatest(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), coalesce(nullif(list_position(hits, false), 0) - 1, len(hits)) / greatest(len(x), len(y)), {DICE_SQL}) END, 6) AS score FROM g)
+SELECT name, category, score FROM s WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, category) = 1""")
 def f21_f24_category_match(spark, sf):
     """Best category for each name: exact wins, else the greatest of word, prefix and pair scores from 0.5, the first by name on a tie."""
     names = products(spark, sf).select(F.col("display_name").alias("name")).distinct()
