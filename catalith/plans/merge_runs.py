@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalith.operators.duplicates import candidate_pairs, merge_direction
 from catalith.operators.merge_run import executed, forest, merge_order, new_aliases, reordered, repointed, touched
+from catalith.operators.merging import identity
 from catalith.plans.define import Plans
 from catalith.plans.search import similarity_sql
 from catalith.sources.shared import written
@@ -146,3 +147,19 @@ def g10_tasks_after_run(spark, sf):
 def g10_products_after_run(spark, sf):
     """The products that are left."""
     return products(spark, sf).join(run(spark, sf).select(F.col("source").alias("id")), "id", "left_anti").select("id", "display_name")
+
+
+@P.query(f"""{RUN_SQL}, {RECORD_SQL}, r AS (SELECT record_id * 8 + line AS id, model_id, CASE WHEN record_id % 11 <> 0 THEN (source_id % 20)::VARCHAR ELSE 'manual' END AS source, source_id, flag, quantity, last_updated FROM record),
+t AS (SELECT r.*, e.root, e.path, min(e.path) OVER (PARTITION BY e.root, r.source) AS first FROM r JOIN every e ON e.product = r.model_id),
+l AS (SELECT *, source_id % 5 AS priority FROM t WHERE path = first QUALIFY row_number() OVER (PARTITION BY root, source ORDER BY last_updated DESC, id DESC, source_id DESC, flag DESC, quantity DESC) = 1),
+c AS (SELECT root, last_updated, priority, -id AS t, unnest(['brand', 'model']) AS field, unnest(['B' || source_id % 3, flag || ' ' || quantity::INTEGER % 4]) AS value FROM l),
+g AS (SELECT root, field, lower(value) AS same, count(*) AS votes, max((last_updated, priority, t)) AS newest, arg_max(value, (last_updated, priority, t)) AS value FROM c GROUP BY 1, 2, 3),
+w AS (SELECT root, field, value FROM g QUALIFY row_number() OVER (PARTITION BY root, field ORDER BY votes DESC, newest DESC) = 1)
+SELECT root AS model_id, max(value) FILTER (WHERE field = 'brand') AS brand, max(value) FILTER (WHERE field = 'model') AS model FROM w GROUP BY root""")
+def g11_identity_after_run(spark, sf):
+    """Identity of the products that took others in, agreed on anew by the latest record of each source that they have now."""
+    r = source_records(spark, sf).withColumns({"id": F.col("record_id") * 8 + F.col("line"), "source": F.when(F.col("record_id") % 11 != 0, (F.col("source_id") % 20).cast("string")).otherwise("manual")})
+    kept = repointed(r.drop("line"), "model_id", [F.col("source")], forest(run(spark, sf))).filter("action <> 'delete'")
+    latest = kept.groupBy("root", "source").agg(F.max(F.struct("last_updated", "id", "source_id", "flag", "quantity")).alias("x")).select(F.col("root").alias("model_id"), "x.*")
+    brand, model = F.concat(F.lit("B"), F.col("source_id") % 3), F.concat_ws(" ", "flag", F.col("quantity").cast("int") % 4)
+    return identity(latest.select("model_id", "last_updated", (F.col("source_id") % 5).alias("priority"), F.col("id").alias("tie"), brand.alias("brand"), model.alias("model")), ["brand", "model"])
