@@ -6,8 +6,9 @@ wherever they stand. The fingerprint holds every anchor of a text with its place
 long the text is. Two fingerprints are aligned by the distances of their anchors: an anchor is common to both if it has
 the same hash and stands as far behind the anchor before it. The likeness is the Jaccard similarity of these sets.
 
-Tokens are words (longer ones than WORD code points are cut); texts of up to SHORT code points have a second sketch over
-single code points, as a few words say little. Two texts that both have the second sketch are compared by it.
+Tokens are words (longer ones than WORD code points are cut), for texts of every length. Of K - S + 1 windows in a row at least
+one is an anchor, so anchors stand at most that far apart. Texts of fewer than K words, and those of a few more in which no
+window is an anchor, have one anchor at place 0: the hash of all their words.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from catalith.llm.common import runs, stored
 
 K, S = 5, 2
-WORD, SHORT = 32, 256
+WORD = 32
 #: Rows that stand in one window when the next document is looked up, and such windows in one window of the second level.
 RUN, RUNS = 1024, 4096
 
@@ -44,22 +45,21 @@ def _anchors(tokens: Column) -> Column:
 
     few = F.array(F.struct(F.xxhash64(F.array_join(tokens, "\u0000"), F.size(tokens)).alias("h"), F.lit(0).alias("at")))
     full = _let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: _let(inner(h), chosen))
-    return F.when(F.size(tokens) == 0, F.array().cast("array<struct<h: bigint, at: int>>")).when(F.size(tokens) < K, few).otherwise(full)
+    some = _let(full, lambda found: F.when(F.size(found) == 0, few).otherwise(found))
+    return F.when(F.size(tokens) == 0, F.array().cast("array<struct<h: bigint, at: int>>")).when(F.size(tokens) < K, few).otherwise(some)
 
 
 def sketch(text: Column) -> Column:
-    """Struct of the word sketch `w`, and the code point sketch `c`, null for longer texts. text must not be null."""
+    """Struct with the anchors `w` of a text's words. text must not be null."""
     cut = F.regexp_replace(text, r"([^\x20\x09-\x0D]{%d})(?=[^\x20\x09-\x0D])" % WORD, "$1 ")
     words = F.filter(F.split(cut, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    points = F.filter(F.split(text, ""), lambda p: p != "")
-    short = F.length(text) <= SHORT
-    return F.struct(_let(words, _anchors).alias("w"), F.when(short, _let(points, _anchors)).alias("c"))
+    return F.struct(_let(words, _anchors).alias("w"))
 
 
 def as_text(s: Column) -> Column:
-    """The fingerprint as text: for each anchor 16 hexadecimal digits of its hash and 8 of its place, `w:` words, `c:` code points."""
-    digits = lambda x: F.array_join(F.transform(x, lambda v: F.lower(F.concat(F.lpad(F.hex(v["h"]), 16, "0"), F.lpad(F.hex(v["at"]), 8, "0")))), "")
-    return F.concat(F.lit("w:"), digits(s["w"]), F.when(s["c"].isNotNull(), F.concat(F.lit(" c:"), digits(s["c"]))).otherwise(""))
+    """The fingerprint as text: for each anchor 8 hexadecimal digits, the lower half of its hash, and one for how far it stands behind the anchor before it."""
+    digits = lambda x: F.array_join(F.transform(x, lambda v, i: F.concat(F.lpad(F.hex(v["h"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), F.hex((v["at"] - F.coalesce(F.get(x, i - 1)["at"], F.lit(0))).cast("long")))), "")
+    return F.lower(digits(s["w"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -72,7 +72,7 @@ def likeness(a: Column, b: Column) -> Column:
         common = lambda u, v: _let(F.size(F.array_intersect(u, v)), lambda n: n / (F.size(u) + F.size(v) - n))
         return F.when(F.size(x) + F.size(y) == 0, F.lit(1.0)).otherwise(_let(aligned(x), lambda u: _let(aligned(y), lambda v: common(u, v))))
 
-    return F.when(a["c"].isNotNull() & b["c"].isNotNull(), share(a["c"], b["c"])).otherwise(share(a["w"], b["w"]))
+    return share(a["w"], b["w"])
 
 
 def with_next(docs: DataFrame) -> DataFrame:
