@@ -11,7 +11,8 @@ short paragraphs right after them in their container.
 
 Menus, footers, sidebars, dialogs and reader comments are never content. Forms, page headers and what a class, id or role calls an advert, notice
 or the like are not either, unless the ratios speak against the name: an element with most of the upper cluster's characters is content if it
-has an article or main element in it, or if the page has none outside of such elements. Scripts, styles and markup comments are no text.
+has an article or main element in it, or if the page has none outside of such elements. Headings in the header of an article or main element
+are its own. Scripts, styles and markup comments are no text.
 """
 
 from __future__ import annotations
@@ -107,12 +108,15 @@ class Lines(HTMLParser):
         self.tags = self.hidden = self.boilerplate = self.region = self.doubt = self.container = self.number = 0
         #: Doubtful elements that are or have an article or main element.
         self.holding: set[int] = set()
+        #: The last header that began inside an article or main element.
+        self.titling = -1
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             heading = any(self.counts[h] for h in HEADINGS)
-            self.lines.append(Line(text, self.tags, self.region, self.doubt, self.container, heading))
+            doubt = 0 if heading and self.doubt == self.titling else self.doubt
+            self.lines.append(Line(text, self.tags, self.region, doubt, self.container, heading))
         self.parts, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -139,6 +143,8 @@ class Lines(HTMLParser):
         self.number += 1
         doubt = self.number if doubtful and not self.doubt else 0
         self.doubt = self.doubt or doubt
+        if doubt and self.region and tag == "header" and not named:
+            self.titling = doubt
         region = self.number if tag in REGION and not self.region and not self.boilerplate and not boilerplate else 0
         self.region = self.region or region
         if region and self.doubt:
