@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,6 +11,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalith.sources.shared import shared_dir  # noqa: F401
+from catalith.sources.shared import written as stored  # noqa: F401
+
 #: Most bytes of text and most rows that a task turns into numpy arrays at a time.
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 2048
 
@@ -22,25 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; where it is unset, as in tests, a folder of our own becomes the checkpoint folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: the lineage is cut and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def runs(docs: DataFrame, per_run: int, most: int = 512) -> Column:
     """Column: a number that cuts docs (doc_id long, tie long) into runs of about per_run rows and never falls in ascending (doc_id, tie).
 

@@ -360,3 +360,35 @@ def test_deeply_nested_pages_take_linear_time():
     began = time.monotonic()
     assert html_text.main_text("<b>" * 20_000 + "<p>x" * 20_000).count("x") == 20_000
     assert time.monotonic() - began < 10
+
+
+def test_fingerprints_take_one_sketch_for_all_lengths(spark):
+    """From 5 words on, whatever the code points: the same anchors in a short text and inside a long one; no two different texts are alike for want of anchors."""
+    r = random.Random(12)
+    short = [" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for n in range(1, 9) for _ in range(12)]
+    long = short[-1] + " " + " ".join(f"v{i}" for i in range(900))
+    got = [x for x in fingerprints.edited_fingerprints(table(spark, list(enumerate([*short, long])))).orderBy("doc_id").collect()]
+    assert all(x["fingerprint"] for x in got) and all(x["near_next"] == 0 for x in got[:-2])
+    assert got[-1]["fingerprint"].startswith(got[-2]["fingerprint"]) and len(got[-1]["fingerprint"]) < len(long)
+    kept = fingerprints.fingerprints(table(spark, [(1, long)])).first()
+    at = 0
+    for k, anchor in enumerate(kept["sketch"]["w"]):
+        low, gap = kept["fingerprint"][9 * k : 9 * k + 8], kept["fingerprint"][9 * k + 8]
+        at += int(gap, 16)
+        assert (int(low, 16), at) == (anchor["h"] & 0xFFFFFFFF, anchor["at"])
+
+
+@pytest.mark.parametrize(("body", "wanted"), [
+    (f"<header><h1>Site</h1></header><article><header><h1>Headline</h1><p>By A. Writer</p><nav>{LINKS}</nav></header><p>{LONG}</p></article>", f"Headline\n{LONG}"),
+    (f"<main><header><h2>Headline</h2></header><p>{LONG}</p></main><header><h2>More</h2></header>", f"Headline\n{LONG}"),
+    (f"<main><header class='ad'><h2>Buy</h2></header><p>{LONG}</p></main>", LONG),
+    (f"<article><header><h1>One</h1></header><p>{LONG}</p></article><article><header><h1>Two</h1></header><p>{LONG}</p></article>", f"One\n{LONG}\nTwo\n{LONG}"),
+])
+def test_headlines_in_the_header_of_an_article(body, wanted):
+    assert [x.strip() for x in html_text.main_text(f"<body>{body}</body>").split("\n")] == [x.strip() for x in wanted.split("\n")]
+
+
+def test_piece_query_decodes_every_text(spark, tmp_path):
+    spark.createDataFrame(ODD, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.op7_sentence_pieces(spark, str(tmp_path)).collect()}
+    assert {i: x["decoded"] for i, x in got.items()} == {i: t or "" for i, t in ODD}
