@@ -66,6 +66,11 @@ def answer(text: Column, schema: dict, strict: bool = False) -> Column:
     return F.when(F.coalesce(valid(v, schema, True, strict), F.lit(False)), value(v, schema, True, strict))
 
 
+def known_value(text: Column, allowed: tuple[str, ...]) -> Column:
+    """The text if it is one of `allowed` as it is written, else null."""
+    return F.when(text.isin(*allowed), text)
+
+
 def contribution(brand: Column, model: Column, specs: Column, release_year: Column, finish: Column) -> Column:
     """What a model's answer contributes to a product, as a struct; null if the answer was cut off or nothing in it is usable.
 
