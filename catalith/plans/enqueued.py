@@ -17,7 +17,7 @@ P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
 
 #: Texts of order lines: the order in capitals with blanks around it, the kind of product, its size as a number, and nothing. The dictionary has the orders that are fulfilled, the model doesn't know the products.
-ASKED_SQL = """WITH asked AS (SELECT l_orderkey, unnest(['  ORDER ' || l_orderkey, p_name || ' ', ' ' || p_size, NULL]) AS text, (month(l_shipdate) - 1) // 4 AS batch FROM lineitem JOIN part ON p_partkey = l_partkey),
+ASKED_SQL = """WITH asked AS (SELECT l_orderkey, unnest(['  ORDER ' || l_orderkey, p_name || ' ', ' ' || p_size, NULL]) AS text, ((month(l_shipdate) - 1) // 4)::INTEGER AS batch FROM lineitem JOIN part ON p_partkey = l_partkey),
 k AS (SELECT DISTINCT batch, lower(trim(text)) AS text FROM asked WHERE text IS NOT NULL AND NOT regexp_full_match(trim(text), '[0-9]+')), d AS (SELECT 'order ' || o_orderkey AS text FROM orders WHERE o_orderstatus = 'F'),
 r AS (SELECT batch, k.text, CASE WHEN d.text IS NOT NULL THEN 'dictionary' WHEN NOT starts_with(k.text, 'order ') THEN 'untranslated' WHEN batch = min(batch) OVER (PARTITION BY k.text) THEN 'llm' ELSE 'cache' END AS origin FROM k LEFT JOIN d ON d.text = k.text)"""
 
