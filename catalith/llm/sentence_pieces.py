@@ -19,7 +19,8 @@ The lists grow with the word, so words of over LONG characters are folded by tak
 with one number for a place.
 
 Words go to documents again by block: documents of neighbouring ids are a block, and each block gets the segmentation of
-every word in it once, however often it occurs there.
+every word in it once, however often it occurs there. On the way words are dealt into parts by their CRC-32: a block asks each part for
+its words, a part gives each block the ids of those. What a block and a part send one another, and the texts of a block, are compressed Arrow tables.
 """
 
 from __future__ import annotations
@@ -27,17 +28,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from catalith.llm.common import runs, slices
+from catalith.llm.common import flat_text, runs, slices
 
 SPACE = "▁"
 #: Bytes of text of a block, about, and characters of a word up to which paths are held by their lists of merges.
 BLOCK, LONG = 16 << 20, 64
+#: Least number of parts that words are dealt into, words that a task holds before it asks for them, and ids that it decodes at a time.
+PARTS, HELD, DECODED = 128, 2_000_000, 1 << 20
 #: Part of a cost that names the place of a merge, and what ends a list of merges.
 PLACE, LAST = 32, 2**63 - 1
 
@@ -120,14 +126,60 @@ class Cutter:
             self.joined[self.number[a], self.number[b]] = True
         self.before = SPACE if pieces.prefix else ""
 
-    def words(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        text = (self.before + text).replace(" ", SPACE)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def cut(self, texts: list[str | None]) -> tuple[pa.StringArray, np.ndarray]:
+        """The words of all texts one after the other, and for each text how many there are up to its end."""
+        texts = [(self.before + t).replace(" ", SPACE) if t else "" for t in texts]
+        whole = "".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         kind = self.number[np.minimum(points, len(self.number) - 1)]
-        cuts = [0, *(np.flatnonzero(~self.joined[kind[:-1], kind[1:]]) + 1).tolist(), len(text)]
-        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        cuts = np.ones(len(points) + 1, bool)
+        cuts[1:-1] = ~self.joined[kind[:-1], kind[1:]]
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        cuts[ends] = True
+        width = np.ones(len(points) + 1, np.int8)
+        for least in (0x80, 0x800, 0x10000):
+            width[1:] += points >= least
+        width[0] = 0
+        offsets = np.cumsum(width, dtype=np.int32)[cuts]
+        words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(whole.encode()))
+        return words, np.cumsum(cuts, dtype=np.int64)[ends] - 1
+
+    def words(self, text: str | None) -> list[str]:
+        return self.cut([text])[0].to_pylist()
+
+
+def _packed(**columns: pa.Array) -> bytes:
+    """A table as compressed bytes."""
+    batch, sink = pa.record_batch(list(columns.values()), list(columns)), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(held: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(held).read_next_batch()
+
+
+def _sent(words: pa.Array, ids: pa.Array | None = None, kind: type = np.int32) -> bytes:
+    """Words, and their ids as numbers of a kind, as compressed bytes: lengths stand in place of ends, which are compressed less well."""
+    one = lambda x: pa.ListArray.from_arrays([0, len(x)], pa.array(x))
+    data, offsets = flat_text(words)
+    more = {} if ids is None else {"n": one(ids.value_lengths().cast(pa.int32())), "ids": one(np.asarray(ids.flatten()).astype(kind))}
+    return _packed(text=pa.array([data.tobytes()], pa.binary()), size=one(np.diff(offsets).astype(np.int32)), **more)
+
+
+def _received(held: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words, the number of ids of each, and all ids."""
+    row = _unpacked(held)
+    size, *ids = (np.asarray(row.column(k).values) for k in row.schema.names[1:])
+    words = pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), row.column("text")[0].as_buffer())
+    return words, *(x.astype(np.int64) for x in ids or [np.empty(0), np.empty(0)])
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs values[start:start + size], one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return values[np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)]
 
 
 def lattice(words_: DataFrame, pieces: Pieces, cost: str = "rank") -> DataFrame:
@@ -236,48 +288,105 @@ def encode(docs: DataFrame, pieces: Pieces, fold: str = "rank", id_col: str = "d
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     blocks = max(1, (size["bytes"] or 0) // BLOCK)
     rows = rows.withColumn("block", runs(rows, max(1, size["n"] // blocks))).drop("tie")
-    cutter = Cutter(pieces)
+    parts = max(PARTS, blocks)
+    cutter, kind = Cutter(pieces), np.min_scalar_type(len(pieces.texts))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.Array]] = {}
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            for block, some in held.items():
+                words = pa.chunked_array(some).unique().sort()
+                part = np.fromiter((crc32(w) % parts for w in words.cast(pa.binary()).to_pylist()), np.int64, len(words))
+                order = np.argsort(part, kind="stable")
+                numbers, starts = np.unique(part[order], return_index=True)
+                sent = [_sent(words.take(pa.array(some))) for some in np.split(order, starts[1:])] if len(words) else []
+                yield pa.record_batch([pa.array([block] * len(sent), pa.int64()), pa.array(numbers, pa.int64()), pa.array(sent, pa.binary())], ["block", "part", "asked"])
+            held.clear()
+
         for batch in slices(batches, "text"):
-            found: dict[int, set[str]] = {}
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found.setdefault(block, set()).update(cutter.words(text))
-            for block, some in found.items():
-                yield pa.record_batch([pa.array([block] * len(some), pa.int64()), pa.array(list(some), pa.string())], ["block", "word"])
+            for block, some in by_block(batch):
+                held.setdefault(block, []).append(cutter.cut(some.column("text").to_pylist())[0].unique())
+            if sum(len(x) for some in held.values() for x in some) > HELD:
+                yield from asked()
+        yield from asked()
+
+    def by_block(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+        block = batch.column("block").to_numpy()
+        for b in np.unique(block).tolist():
+            yield b, batch.filter(pa.array(block == b))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for block, some in by_block(batch):
+                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([_packed(doc_id=some.column("doc_id"), text=some.column("text"))], pa.binary())], ["block", "docs"])
+
+    def listed(asked: pa.Table) -> pa.Table:
+        return pa.table([pa.chunked_array([_received(x)[0] for x in asked.column("asked").to_pylist()], pa.string()).unique()], ["word"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = [_received(x)[0] for x in left.column("asked").to_pylist()]
+        ids = right.column("ids").combine_chunks()
+        found = ids.take(pc.index_in(pa.concat_arrays(asked), value_set=right.column("word").combine_chunks())) if asked else ids
+        ends = np.cumsum([len(x) for x in asked], dtype=np.int64)
+        sent = [_sent(x, found.slice(end - len(x), len(x)), kind) for x, end in zip(asked, ends.tolist(), strict=True)]
+        return pa.table([left.column("block"), pa.array(sent, pa.binary())], ["block", "answers"])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        index = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        held = right.column("tokens").combine_chunks()
-        offsets = np.asarray(held.offsets, np.int64) if len(index) else np.zeros(1, np.int64)
-        values, ends = _ids(pieces, np.asarray(held.values, np.int32)[offsets[0] : offsets[-1]], offsets - offsets[0])
+        known = [_received(x) for x in right.column("answers").to_pylist()]
+        words = pa.concat_arrays([pa.array([], pa.string()), *(w for w, _, _ in known)])
+        sizes, values = (np.concatenate([np.empty(0, np.int64), *(x[k] for x in known)]) for k in (1, 2))
+        starts = np.cumsum(sizes) - sizes
         out = []
-        for text in left.column("text").to_pylist():
-            at = np.fromiter(map(index.__getitem__, cutter.words(text)), np.int64)
-            count = ends[at + 1] - ends[at]
-            place = np.cumsum(count) - count
-            out.append(values[np.arange(int(count.sum())) + np.repeat(ends[at] - place, count)])
-        return pa.table([left.column("doc_id"), pa.array([len(x) for x in out], pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
-
-    # a word is asked for once by each block, so no word has more rows than there are blocks
-    asked = rows.select("block", "text").mapInArrow(ask, "block long, word string").distinct()
-    answers = asked.join(_tokens(asked.select("word").distinct(), pieces, "score" if fold in ("score", "viterbi") else "rank"), "word")
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens int, ids array<int>")
+        for docs in map(_unpacked, left.column("docs").to_pylist()):
+            cut, ends = cutter.cut(docs.column("text").to_pylist())
+            coded = cut.dictionary_encode()
+            at = np.asarray(pc.index_in(coded.dictionary, value_set=words), np.int64)[np.asarray(coded.indices)]
+            stops = np.append(0, np.append(0, np.cumsum(sizes[at]))[ends]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(stops), pa.array(_gathered(values, starts[at], sizes[at]), pa.int32()))
+            out.append(pa.table([docs.column("doc_id"), pa.array(np.diff(stops), pa.int32()), ids], ["doc_id", "n_tokens", "ids"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+
+    asked = rows.select("block", "text").mapInArrow(ask, "block long, part long, asked binary").repartition("part")
+    words = asked.groupBy("part").applyInArrow(listed, "word string").repartition(parts, "word")  # many edges a word: no fewer tasks than parts
+    known = segmented(words, pieces, fold).withColumn("part", F.crc32("word") % parts)
+    answers = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, "block long, answers binary")
+    texts = rows.select("block", "doc_id", "text").mapInArrow(send, "block long, docs binary")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens int, ids array<int>")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
     """encoded with the column `decoded`: the pieces' text, bytes read as UTF-8, without the blank that was put before it.
 
-    Null ids give null. The pieces' bytes come as one array of the vocabulary's size.
+    Null ids give null; numbers that are no id are left out.
     """
-    spark = encoded.sparkSession
     by_byte = {i: b for b, i in enumerate(pieces.byte_ids)}
-    raw = [(i, bytes([by_byte[i]]).hex() if i in by_byte else p.replace(SPACE, " ").encode().hex()) for i, p in enumerate(pieces.texts)]
-    table = F.broadcast(spark.createDataFrame(raw, "i int, h string").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("_hex")))
-    both = encoded.join(table, F.lit(True))
-    text = F.decode(F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(F.col("_hex"), i)), "")), "utf-8")
-    text = F.when(F.lit(pieces.prefix) & text.startswith(" "), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
-    return both.withColumn("decoded", text).drop("_hex")
+    raw = [bytes([by_byte[i]]) if i in by_byte else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces.texts)] + [b""]
+    size = np.array([len(x) for x in raw], np.int64)
+    start, data = np.cumsum(size) - size, np.frombuffer(b"".join(raw), np.uint8)
+    others = encoded.drop("decoded") if ids_col != "decoded" else encoded
+
+    def text(held: bytes) -> str:
+        said = held.decode("utf-8", "replace")
+        return said[1:] if pieces.prefix and said.startswith(" ") else said
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(ids_col)
+            sizes, at = np.cumsum(np.asarray(column.value_lengths().fill_null(0), np.int64)), 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + DECODED, side="right")))
+                some = column.slice(at, stop - at)
+                ids = np.asarray(some.flatten().cast(pa.int64()).fill_null(-1))
+                ids = np.where((ids >= 0) & (ids < len(raw)), ids, len(raw) - 1)
+                ends = np.append(0, np.cumsum(size[ids]))[np.append(0, np.cumsum(np.asarray(some.value_lengths().fill_null(0), np.int64)))].tolist()
+                said = _gathered(data, start[ids], size[ids]).tobytes()
+                texts = [text(said[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], some.is_valid().to_pylist(), strict=False)]
+                rows = batch.slice(at, stop - at)
+                yield pa.record_batch([*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, "decoded"])
+                at = stop
+
+    return others.mapInArrow(run, StructType([*others.schema.fields, StructField("decoded", StringType())]))
 
 
 def default_model() -> str:

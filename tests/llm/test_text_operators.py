@@ -392,3 +392,47 @@ def test_piece_query_decodes_every_text(spark, tmp_path):
     spark.createDataFrame(ODD, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {x["doc_id"]: x for x in queries.op7_sentence_pieces(spark, str(tmp_path)).collect()}
     assert {i: x["decoded"] for i, x in got.items()} == {i: t or "" for i, t in ODD}
+
+
+def moved(spark, query):
+    """Bytes that the exchanges of query(spark) write."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        bus.waitUntilEmpty(30_000)
+        held = store.executorList(False)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.length()))
+
+    start = written()
+    query(spark).write.format("noop").mode("overwrite").save()
+    return written() - start
+
+
+def test_piece_query_moves_half_of_its_texts_at_most(spark, tmp_path):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghilmnoprstuv", k=r.randrange(3, 9))) for _ in range(600)]
+    texts = [" ".join(r.choices(words, k=250)) for _ in range(3000)]
+    table(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    assert moved(spark, lambda s: queries.op7_sentence_pieces(s, str(tmp_path))) < 0.5 * sum(map(len, texts))
+
+
+def test_pieces_over_several_blocks_and_flushes(spark, pieces, monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.default_model())
+    monkeypatch.setattr(sentence_pieces, "BLOCK", 1 << 14)
+    monkeypatch.setattr(sentence_pieces, "HELD", 50)
+    monkeypatch.setattr(sentence_pieces, "DECODED", 300)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(table(spark, [(None, None), (None, "a \u2581b"), (-5, ""), (7, "\u6f22\U0001f600 x"), (7, "\x00")]).select("doc_id", "text"))
+    got = sentence_pieces.decode(sentence_pieces.encode(docs.repartition(5), pieces), pieces).collect()
+    said = sorted((str(x["doc_id"]), x["ids"]) for x in got)
+    assert said == sorted((str(x["doc_id"]), model.encode(x["text"] or "")) for x in docs.collect())
+    assert all(x["decoded"] == model.decode(x["ids"]) for x in got)
+
+
+def test_decoding_of_odd_lists(spark, pieces):
+    rows = [(1, None), (2, []), (3, [1, None, -4, 10**6]), (4, pieces.byte_ids[65:68]), (5, [pieces.byte_ids[0xE6]])]
+    got = sentence_pieces.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), pieces)
+    assert got.columns == ["doc_id", "ids", "decoded"] and sentence_pieces.decode(got, pieces).columns == got.columns
+    assert {x["doc_id"]: x["decoded"] for x in got.collect()} == {1: None, 2: "", 3: pieces.texts[1], 4: "ABC", 5: "\ufffd"}
