@@ -160,18 +160,22 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text", scored: bool = True) -> DataFrame:
+def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text", scored: bool = True, lang_col: str | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that have a language: not `und`, and if `scored` a score above zero.
 
     A text with letters and no known n-gram, as of another script or of a language that wasn't learned, has no score,
-    but isn't `und`.
+    but isn't `und`. The string column `lang_col`, if named, becomes the language found; a text without a score keeps what it has there.
     """
     held = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             names, score = held.value.classify(batch.column(text_col))
-            yield batch.filter(pa.array((np.array(names) != UNKNOWN) & ((score > 0) | (not scored))))
+            kept = pa.array((np.array(names) != UNKNOWN) & ((score > 0) | (not scored)))
+            if lang_col:
+                found = pc.if_else(pa.array(score > 0), pa.array(names, pa.string()), batch.column(lang_col).cast(pa.string()))
+                batch = batch.set_column(batch.schema.get_field_index(lang_col), lang_col, found)
+            yield batch.filter(kept)
 
     return docs.mapInArrow(run, docs.schema)
 

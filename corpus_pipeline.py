@@ -16,8 +16,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that have a language by filters learned from the rows themselves: only `und` ones, without a letter, go."""
-    return language_id.keep_known(docs, language_id.fit(docs.filter(~language_id.held_out())), scored=False)
+    """Rows that have a language by filters learned from the rows themselves, with this language as their `lang`: only `und` ones, without a letter, go.
+
+    A text that shares nothing with any learned language keeps the `lang` that it came with.
+    """
+    return language_id.keep_known(docs, language_id.fit(docs.filter(~language_id.held_out())), scored=False, lang_col="lang")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of the documents that are left."""
-    return packing.pack_documents(docs)
+    """The packed pieces of the documents that are left; each bin is of one language, as the language stage found it."""
+    return packing.pack_documents(docs, by="lang")
 
 
 STAGES = [

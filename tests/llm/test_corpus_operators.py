@@ -343,6 +343,23 @@ def test_language_stage_rejects_only_texts_without_letters(spark):
     assert all(said[i]["score"] > 0 for i in (900, 901, 902, 903, 905, 906)) and (said[903]["lang_pred"], said[906]["lang_pred"]) == ("bb", "cc")
 
 
+def test_language_stage_decides_which_texts_share_a_bin(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(LANGS[x := rng.choice(list(LANGS))], k=40)), x) for i in range(300)]
+    said = [(i, t, None if i % 5 == 0 else next(k for k in LANGS if k != x) if i % 31 == 0 else x) for i, t, x in rows] + [(904, "\u6f22\u5b57\u6f22\u5b57", None), (950, "12 34!", "aa")]
+    second = corpus_pipeline.keep_known_languages(spark, spark.createDataFrame(said, "doc_id long, text string, lang string"), SF)
+    wanted = {i: x for i, _, x in rows} | {904: None}
+    assert {r["doc_id"]: r["lang"] for r in second.collect()} == wanted
+    last = corpus_pipeline.pack_bins(spark, second, SF).collect()
+    assert {r["doc_id"]: r["lang"] for r in last} == wanted and len(last) == len(wanted)
+    bins = {}
+    for r in last:
+        bins.setdefault(r["bin_id"], []).append(r)
+    assert all(len({r["lang"] for r in b}) == 1 and len({r["bin_size"] for r in b}) == 1 and sum(r["length"] for r in b) <= b[0]["bin_size"] for b in bins.values())
+    assert all(sorted(r["bin_offset"] for r in b) == [sum(r["length"] for r in sorted(b, key=lambda r: r["bin_offset"])[:k]) for k in range(len(b))] for b in bins.values())
+    assert corpus_pipeline.pack_bins(spark, second.limit(0), SF).count() == 0
+
+
 def test_language_stage_names_every_rejected_document(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     wanted = {r["doc_id"] for r in docs.collect() if not any(c.isalpha() for c in r["text"] or "")}
