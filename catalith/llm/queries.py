@@ -43,7 +43,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's piece ids by the public model, and the text that they decode to."""
     pieces = sentence_pieces.load(sentence_pieces.default_model())
-    return sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents"), pieces), pieces)
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"), pieces, decoded=True)
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ SPACE = "▁"
 #: Bytes of text of a block, about, and characters of a word up to which paths are held by their lists of merges.
 BLOCK, LONG = 16 << 20, 64
 #: Least number of parts that words are dealt into, words that a task holds before it asks for them, and ids that it decodes at a time.
-PARTS, HELD, DECODED = 128, 2_000_000, 1 << 20
+PARTS, HELD, DECODED = 128, 2_000_000, 1 << 17
 #: Part of a cost that names the place of a merge, and what ends a list of merges.
 PLACE, LAST = 32, 2**63 - 1
 
@@ -173,7 +173,7 @@ def _received(held: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     row = _unpacked(held)
     size, *ids = (np.asarray(row.column(k).values) for k in row.schema.names[1:])
     words = pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), row.column("text")[0].as_buffer())
-    return words, *(x.astype(np.int64) for x in ids or [np.empty(0), np.empty(0)])
+    return words, *(x.astype(np.int32) for x in ids or [np.empty(0), np.empty(0)])
 
 
 def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -182,6 +182,44 @@ def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
     return values[np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)]
 
 
+class Decoder:
+    """Reads ids as text, about DECODED of them at a time, as gathering takes several numbers for each byte of their text."""
+
+    def __init__(self, pieces: Pieces):
+        by_byte = {i: b for b, i in enumerate(pieces.byte_ids)}
+        raw = [bytes([by_byte[i]]) if i in by_byte else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces.texts)] + [b""]
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.start, self.data = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(raw), np.uint8)
+        self.prefix, self.most = pieces.prefix, DECODED
+
+    def parts(self, batch: pa.RecordBatch, ids_col: str = "ids") -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
+        """The rows of batch in parts, and the texts of their ids."""
+        column = batch.column(ids_col)
+        sizes, at = np.cumsum(np.asarray(column.value_lengths().fill_null(0), np.int64)), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + self.most, side="right")))
+            yield batch.slice(at, stop - at), self.texts(column.slice(at, stop - at))
+            at = stop
+
+    def texts(self, lists: pa.ListArray) -> pa.StringArray:
+        ids = np.asarray(lists.flatten().cast(pa.int64()).fill_null(-1))
+        said = b"".join(self._bytes(ids[k : k + self.most]) for k in range(0, len(ids), self.most))
+        ends = np.append(0, np.cumsum(self.size[self._known(ids)]))[np.append(0, np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64)))].tolist()
+        return pa.array([self._text(said[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)], pa.string())
+
+    def _known(self, ids: np.ndarray) -> np.ndarray:
+        """Ids, with the last place, which is empty, for numbers that are none."""
+        return np.where((ids >= 0) & (ids < len(self.size)), ids, len(self.size) - 1)
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        ids = self._known(ids)
+        return _gathered(self.data, self.start[ids], self.size[ids]).tobytes()
+
+    def _text(self, held: bytes) -> str:
+        said = held.decode("utf-8", "replace")
+        return said[1:] if self.prefix and said.startswith(" ") else said
+
+
 def lattice(words_: DataFrame, pieces: Pieces, cost: str = "rank") -> DataFrame:
     """word and its edges, an array of (start, stop, id, cost), for each distinct word; edges of a single character are left out."""
     table = F.broadcast(pieces.table(words_.sparkSession, cost))  # as many rows as the model's vocabulary
@@ -278,8 +316,8 @@ def segmented(words_: DataFrame, pieces: Pieces, fold: str = "rank") -> DataFram
     return _tokens(asked, pieces, "score" if fold in ("score", "viterbi") else "rank").mapInArrow(run, "word string, ids array<int>")
 
 
-def encode(docs: DataFrame, pieces: Pieces, fold: str = "rank", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (array<int>) of every row of docs.
+def encode(docs: DataFrame, pieces: Pieces, fold: str = "rank", id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids (array<int>) of every row of docs; decoded: also the text `decoded` as by decode(), read in the task that has the ids.
 
     A null or empty text has no ids. Ids may have any values. Repeated rows give repeated results; an empty table gives
     an empty one; other columns are ignored.
@@ -289,7 +327,9 @@ def encode(docs: DataFrame, pieces: Pieces, fold: str = "rank", id_col: str = "d
     blocks = max(1, (size["bytes"] or 0) // BLOCK)
     rows = rows.withColumn("block", runs(rows, max(1, size["n"] // blocks))).drop("tie")
     parts = max(PARTS, blocks)
-    cutter, kind = Cutter(pieces), np.min_scalar_type(len(pieces.texts))
+    cutter, kind, decoder = Cutter(pieces), np.min_scalar_type(len(pieces.texts)), Decoder(pieces) if decoded else None
+    names = ["doc_id", "n_tokens", "ids", *["decoded"] * decoded]
+    types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.string()] * decoded]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[pa.Array]] = {}
@@ -335,24 +375,28 @@ def encode(docs: DataFrame, pieces: Pieces, fold: str = "rank", id_col: str = "d
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         known = [_received(x) for x in right.column("answers").to_pylist()]
         words = pa.concat_arrays([pa.array([], pa.string()), *(w for w, _, _ in known)])
-        sizes, values = (np.concatenate([np.empty(0, np.int64), *(x[k] for x in known)]) for k in (1, 2))
-        starts = np.cumsum(sizes) - sizes
+        sizes, values = (np.concatenate([np.empty(0, np.int32), *(x[k] for x in known)]) for k in (1, 2))
+        del known
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
         out = []
         for docs in map(_unpacked, left.column("docs").to_pylist()):
             cut, ends = cutter.cut(docs.column("text").to_pylist())
             coded = cut.dictionary_encode()
             at = np.asarray(pc.index_in(coded.dictionary, value_set=words), np.int64)[np.asarray(coded.indices)]
-            stops = np.append(0, np.append(0, np.cumsum(sizes[at]))[ends]).astype(np.int32)
+            stops = np.append(0, np.append(0, np.cumsum(sizes[at], dtype=np.int64))[ends]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(stops), pa.array(_gathered(values, starts[at], sizes[at]), pa.int32()))
-            out.append(pa.table([docs.column("doc_id"), pa.array(np.diff(stops), pa.int32()), ids], ["doc_id", "n_tokens", "ids"]))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+            rows = pa.record_batch([docs.column("doc_id"), pa.array(np.diff(stops), pa.int32()), ids], names[:3])
+            del cut, coded, at
+            texts = [pa.chunked_array([t for _, t in decoder.parts(rows)], pa.string()).combine_chunks()] if decoder else []
+            out.append(pa.table([*rows.columns, *texts], names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in types], names)
 
     asked = rows.select("block", "text").mapInArrow(ask, "block long, part long, asked binary").repartition("part")
     words = asked.groupBy("part").applyInArrow(listed, "word string").repartition(parts, "word")  # many edges a word: no fewer tasks than parts
     known = segmented(words, pieces, fold).withColumn("part", F.crc32("word") % parts)
     answers = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, "block long, answers binary")
     texts = rows.select("block", "doc_id", "text").mapInArrow(send, "block long, docs binary")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens int, ids array<int>")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens int, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
@@ -360,31 +404,13 @@ def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFram
 
     Null ids give null; numbers that are no id are left out.
     """
-    by_byte = {i: b for b, i in enumerate(pieces.byte_ids)}
-    raw = [bytes([by_byte[i]]) if i in by_byte else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces.texts)] + [b""]
-    size = np.array([len(x) for x in raw], np.int64)
-    start, data = np.cumsum(size) - size, np.frombuffer(b"".join(raw), np.uint8)
     others = encoded.drop("decoded") if ids_col != "decoded" else encoded
-
-    def text(held: bytes) -> str:
-        said = held.decode("utf-8", "replace")
-        return said[1:] if pieces.prefix and said.startswith(" ") else said
+    decoder = Decoder(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(ids_col)
-            sizes, at = np.cumsum(np.asarray(column.value_lengths().fill_null(0), np.int64)), 0
-            while at < batch.num_rows:
-                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + DECODED, side="right")))
-                some = column.slice(at, stop - at)
-                ids = np.asarray(some.flatten().cast(pa.int64()).fill_null(-1))
-                ids = np.where((ids >= 0) & (ids < len(raw)), ids, len(raw) - 1)
-                ends = np.append(0, np.cumsum(size[ids]))[np.append(0, np.cumsum(np.asarray(some.value_lengths().fill_null(0), np.int64)))].tolist()
-                said = _gathered(data, start[ids], size[ids]).tobytes()
-                texts = [text(said[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], some.is_valid().to_pylist(), strict=False)]
-                rows = batch.slice(at, stop - at)
-                yield pa.record_batch([*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, "decoded"])
-                at = stop
+            for rows, texts in decoder.parts(batch, ids_col):
+                yield pa.record_batch([*rows.columns, texts], [*rows.schema.names, "decoded"])
 
     return others.mapInArrow(run, StructType([*others.schema.fields, StructField("decoded", StringType())]))
 

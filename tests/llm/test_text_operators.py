@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from catalith.llm import chat, fingerprints, html_text, queries, sentence_pieces, token_output
 
@@ -431,6 +433,39 @@ def test_pieces_over_several_blocks_and_flushes(spark, pieces, monkeypatch):
     assert all(x["decoded"] == model.decode(x["ids"]) for x in got)
 
 
+def test_piece_query_decodes_where_it_has_the_ids(spark, pieces, monkeypatch, tmp_path):
+    """One Python worker of a task holds ids and texts, not two; the texts are decode()'s own."""
+    monkeypatch.setattr(sentence_pieces, "BLOCK", 1 << 14)
+    monkeypatch.setattr(sentence_pieces, "DECODED", 300)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(table(spark, [*ODD, (None, None), (-5, "a \u2581b\x00"), (7, " " * 700)]).select("doc_id", "text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    query = queries.op7_sentence_pieces(spark, str(tmp_path))
+    assert query._jdf.queryExecution().optimizedPlan().toString().startswith("FlatMapCoGroupsInArrow")
+    plain = sentence_pieces.decode(sentence_pieces.encode(docs, pieces), pieces)
+    assert query.schema == plain.schema
+    assert sorted(map(str, query.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_decoding_takes_little_memory(pieces):
+    class Held:
+        schema = StructType([StructField("ids", ArrayType(IntegerType()))])
+
+        def drop(self, _):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    ids = pa.array(np.random.default_rng(3).integers(300, len(pieces.texts), 1 << 20), pa.int32())
+    batch = pa.record_batch([pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) + 1, 1 << 10), pa.int32()), ids)], ["ids"])
+    tracemalloc.start()
+    try:
+        n = sum(x.num_rows for x in sentence_pieces.decode(Held(), pieces)(iter([batch])))
+        assert n == 1 << 10 and tracemalloc.get_traced_memory()[1] < 48 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_decoding_of_odd_lists(spark, pieces):
     rows = [(1, None), (2, []), (3, [1, None, -4, 10**6]), (4, pieces.byte_ids[65:68]), (5, [pieces.byte_ids[0xE6]])]
     got = sentence_pieces.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), pieces)
